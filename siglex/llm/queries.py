@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siglex.llm import decontamination, fingerprints, line_dedup, packing, secrets, sharding, toxicity
+from siglex.llm import decontamination, extraction, fingerprints, line_dedup, ngram_join, packing, repeats, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("size").alias("bytes"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,6 +55,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_exact_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 

@@ -123,3 +123,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_windows: int = 1) -> DataFr
         F.col("n_slots").cast("long"),
         "verbatim",
     )
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no passage of ``benchmark``."""
+    keyed = docs.select(F.struct("*").alias("row"), F.concat_ws("-", F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id")).alias("doc_id"), "text")
+    found = leaks(keyed.select("doc_id", "text"), benchmark).select("doc_id").distinct()
+    return keyed.join(found, "doc_id", "left_anti").select("row.*")

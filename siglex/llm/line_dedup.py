@@ -38,8 +38,7 @@ def _lines(text: Column) -> Column:
 def _documents(docs: DataFrame) -> DataFrame:
     """Documents with a key made of doc_id and text: equal rows share it, and so their (equal) bitmaps."""
     return docs.select(
-        "doc_id",
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.struct("*").alias("row"),
         F.xxhash64("doc_id", "text").alias("d1"),
         F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"),
     )
@@ -55,7 +54,7 @@ def line_verdicts(docs: DataFrame, min_documents: int, min_chars: int = 1, keep_
     salts = partitions(docs.sparkSession)
     lines = (
         _documents(docs)
-        .select("doc_id", "d1", "d2", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+        .select("row.doc_id", "d1", "d2", F.posexplode(_lines(F.col("row.text"))).alias("pos", "line"))
         .withColumn("key", line_key(F.col("line")))
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "d1", "d2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
@@ -80,14 +79,14 @@ def line_verdicts(docs: DataFrame, min_documents: int, min_chars: int = 1, keep_
 
 
 def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """doc_id, bitmap, n_lines, n_dropped and kept text of every row of ``docs``.
+    """row (a struct of all columns), doc_id, bitmap, n_lines, n_dropped and kept text of every row of ``docs``.
 
     ``bitmap`` has (word, bits) pairs of dropped lines, by word; null where all
     lines stay. Null and empty texts are one empty line, which stays, as its key
     has no code point (with ``min_chars=0`` it is a line like others). Each row
     counts as a document of its own unless doc_id and text are both equal, in
     which case the rows count as one. An empty table gives an empty result.
-    Other columns are not read.
+    Other columns are carried in ``row`` only, so they cannot clash.
     """
     words = line_verdicts(docs, min_documents, min_chars, keep_first)
     bitmaps = words.groupBy("d1", "d2").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
@@ -101,20 +100,31 @@ def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, ke
         F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.array_compact(places)),
         lambda i: F.get(F.col("lines"), i),
     )
+    n_dropped = F.aggregate("bitmap", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w["bits"]))
     return (
         _documents(docs)
         .join(written(bitmaps, "keep-bitmaps"), ["d1", "d2"], "left")
+        .withColumn("text", F.coalesce("row.text", F.lit("")))
         .withColumn("lines", _lines(F.col("text")))
         .select(
-            "doc_id",
+            "row",
+            F.col("row.doc_id").alias("doc_id"),
             "bitmap",
             F.size("lines").cast("long").alias("n_lines"),
-            F.coalesce(F.aggregate("bitmap", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w["bits"])), F.lit(0).cast("long")).alias("n_dropped"),
+            F.coalesce(n_dropped, F.lit(0).cast("long")).alias("n_dropped"),
             F.when(F.col("bitmap").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         )
     )
 
 
+def without_repeated_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+    """``docs``, all columns, with the kept text (and its n_chars, if there is such a column); null texts stay null."""
+    text = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    rows = dedup_lines(docs, min_documents, min_chars, keep_first)
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siglex.llm.arrow_text import LOWER, distinct, has_bits, mixed, runs
@@ -159,8 +159,17 @@ def shared_tables(docs: DataFrame, buckets: int) -> tuple[bytes, bytes]:
     return bit_table(rows, F.col("h"), TABLE_BITS), bit_table(rows.where("frequent"), F.col("h"), TABLE_BITS)
 
 
+def document_key() -> tuple[Column, Column]:
+    """Two hashes of id and text; only rows equal in both share them."""
+    return F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2")
+
+
 def points(docs: DataFrame, tables: tuple[bytes, bytes], buckets: int) -> DataFrame:
-    """(doc_id, s1, s2, n, vector, keys) of every row: the digest of its set, its size, group counts and prefix keys."""
+    """(doc_id, d1, d2, s1, s2, n, vector, keys) of every row.
+
+    That is: hashes of id and text, the digest of its set, its size, group
+    counts and prefix keys.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(tables)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +196,10 @@ def points(docs: DataFrame, tables: tuple[bytes, bytes], buckets: int) -> DataFr
                     taken = np.argsort(own, kind="stable")[:prefix] if n > 1 else np.zeros(0, np.int64)
                     keys.append(s[taken[own[taken] > 0]].view(np.int64))
             cols = [pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int64()), pa.array(vectors, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "s1", "s2", "n", "vector", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], ["doc_id", "d1", "d2", "s1", "s2", "n", "vector", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, s1 long, s2 long, n long, vector binary, keys array<bigint>")
+    return docs.select("doc_id", "text", *document_key()).mapInArrow(made, f"doc_id {kind}, d1 long, d2 long, s1 long, s2 long, n long, vector binary, keys array<bigint>")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -317,6 +326,9 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``, similarity 0.75 or more on five-word shingles.
 
+    Also d1, d2 (hashes of id and text) and component, a number of the component
+    that is there for null ids too (null for empty sets).
+
     Null texts, empty texts and texts of white space have an empty set and are
     linked with nothing, each its own component. Sets of one shingle are linked
     with equal ones. The component id is the least doc_id reached; null ids are
@@ -351,9 +363,25 @@ def similar_components(docs: DataFrame) -> DataFrame:
     final = components(links.unionByName(more))
     of_class = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = written(of_class.join(least, "component").select("s1", "s2", "component_id"), "named")
+    named = written(of_class.join(least, "component").select("s1", "s2", "component", "component_id"), "named")
     return (
-        rows.select("doc_id", "s1", "s2", F.col("n").alias("n_shingles"))
+        rows.select("doc_id", "d1", "d2", "s1", "s2", F.col("n").alias("n_shingles"))
         .join(named, ["s1", "s2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select("doc_id", "d1", "d2", "component", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the one of least doc_id (ties by a hash of the text).
+
+    Rows with an empty set are all kept. Null ids come last in a component.
+    """
+    rows = written(similar_components(docs), "components")
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d1", "d2")).alias("one"))
+    keep = first.select(F.col("one.d1").alias("d1"), F.col("one.d2").alias("d2"), F.lit(True).alias("once")).unionByName(
+        rows.where("component is null").select("d1", "d2", F.lit(False).alias("once")).distinct()
     )
+    keyed = docs.select(F.struct("*").alias("row"), *document_key())
+    kept = keyed.join(written(keep, "kept"), ["d1", "d2"])
+    nth = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("d1"))  # a row that is there several times stays once
+    return kept.withColumn("nth", nth).where("nth = 1 or not once").select("row.*")

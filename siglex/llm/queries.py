@@ -39,7 +39,7 @@ def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_documents=10, min_chars=1)
+    rows = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_documents=10, min_chars=1)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -13,7 +13,7 @@ share one of the first ``n - ceil(t n) + 1``. The order puts shingles of one
 set first, then rare, then frequent ones, read off two bit tables of fixed
 size; any order gives all pairs, this one small buckets. Members of a bucket
 that are one component already need no comparison, which keeps large groups of
-copies linear: they are first linked to one pivot for each bucket.
+copies linear: rounds of linking to a few members of their buckets come first.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ GROUPS = 32
 TABLE_BITS = 26
 FREQUENT = 16
 LEAF = 16
+ROUNDS, PARTNERS = 3, 4  # of linking before the exact comparison
 BLOCK = 2048  # members of a bucket that one task compares with each other
 
 _SPACE = np.zeros(256, bool)
@@ -277,24 +278,40 @@ def overlap_pairs(n: np.ndarray, v: np.ndarray, label: np.ndarray, side: np.ndar
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def partners(labelled: DataFrame, turn: int) -> DataFrame:
+    """For each class (key, cid, label), at most ``PARTNERS`` pairs (a, b) with a member of another label from its buckets.
+
+    Every bucket offers one member, another one each turn, so the rows are in
+    proportion to the classes however large a bucket is. Pairs that are not
+    tried here are left to ``bucket_pairs``, unless the turns make them one component.
+    """
+    offered = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("b"), "label")).alias("o"), F.min("label").alias("x"), F.max("label").alias("y"))
+    offered = written(offered.where("x < y").select("key", "o.b", F.col("o.label").alias("other")), "offered")
+    pairs = labelled.join(offered, "key").where("label <> other").select(F.col("cid").alias("a"), "b").distinct()
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
+    return pairs.withColumn("nth", nth).where(F.col("nth") <= PARTNERS).select("a", "b")
+
+
 def bucket_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of members (key, cid, label, n, vector) of one bucket with different labels.
+    """Candidate pairs (a, b) of members (home, key, cid, label, n, vector) of one bucket (key) with different labels.
 
-    A bucket of m members is dealt to blocks of about ``BLOCK`` and to a task for
-    each pair of blocks, so no bucket meets in one task.
+    Buckets of one home (their least label) share most members and are dealt
+    together, so that a task gives out a pair once for all of them. A home is cut
+    into blocks by class and dealt to a task for each pair of blocks, so neither
+    a home nor a bucket meets in one task.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.groupBy("home").agg(F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     cells = (
-        members.join(sizes, "key")
+        members.join(sizes, "home")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "vector")
+        .select("home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "vector")
     )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = None, []
-        for batch in batches:  # sorted by cell
+        for batch in batches:  # sorted by cell, then by key
             cell = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
             edges = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
             for a, b in zip([0, *edges], [*edges, len(cell)], strict=True):
@@ -311,15 +328,17 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
 
     def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
-        if t.num_rows < 2:
-            return
-        side, cid, label, n = (t.column(c).to_numpy() for c in range(3, 7))
-        v = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(-1, GROUPS)
-        pairs = cid[overlap_pairs(n, v, label, side)]
+        key, side, cid, label, n = (t.column(c).to_numpy() for c in range(3, 8))
+        v = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(-1, GROUPS)
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+        out = [np.sort(cid[a:b][overlap_pairs(n[a:b], v[a:b], label[a:b], side[a:b])], 1) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    spread = cells.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    spread = cells.repartition(partitions(members.sparkSession), "home", "i", "j").sortWithinPartitions("home", "i", "j", "key")
     return spread.mapInArrow(joined, "a long, b long").distinct()
 
 
@@ -347,16 +366,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     each = full.groupBy("s1", "s2").agg(F.min("vector").alias("vector"), F.min("keys").alias("keys")).where(F.size("keys") > 0)
     keyed = each.join(classes, ["s1", "s2"]).select("cid", "s1", "s2", "n", "vector", F.explode("keys").alias("key"))
     keyed = written(keyed.select("key", "cid"), "keys")
-    several = keyed.groupBy("key").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).where("pivot < last")
-    several = written(several.select("key", "pivot"), "shared-keys")
-    members = written(keyed.join(several, "key"), "members")
+    several = keyed.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("key")
+    members = written(keyed.join(written(several, "shared-keys"), "key"), "members")
     in_buckets = members.select("cid").distinct().join(classes, "cid").select("cid", "s1", "s2")
     sets = written(sets_of(docs, in_buckets), "sets")
-    links = written(verified(members.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct(), sets), "pivot-links")
-    labels = components(links)
-    at = F.coalesce("component", "cid").alias("label")
-    labelled = written(members.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", at), "labelled")
-    open_keys = written(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"), "open-keys")
+    labelled, links = members.withColumn("label", F.col("cid")), None
+    for turn in range(ROUNDS):
+        new = verified(partners(labelled, turn), sets)
+        links = written(new if links is None else links.unionByName(new), "links")
+        labels = components(links).withColumnRenamed("node", "cid")
+        labelled = written(members.join(labels, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label")), "labelled")
+    open_keys = written(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key", F.col("x").alias("home")), "open-keys")
     vectors = full.join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).groupBy("cid").agg(F.min("n").alias("n"), F.min("vector").alias("vector"))
     rest = labelled.join(open_keys, "key").join(vectors, "cid")
     more = verified(bucket_pairs(rest), sets)

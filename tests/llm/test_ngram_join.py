@@ -59,7 +59,7 @@ def test_components_match_brute_force(spark):
 
 
 def test_large_bucket_is_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
     texts = corpus(3)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs).collect()}

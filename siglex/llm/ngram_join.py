@@ -31,7 +31,9 @@ from siglex.llm.components import components
 from siglex.llm.scratch import bit_table, partitions, written
 
 WORDS = 5
-GROUPS = 32
+GROUPS = 256
+SATURATED = 255  # counts of a group that a byte holds; vectors beyond it bound nothing
+STRIP = 2048
 TABLE_BITS = 26
 FREQUENT = 16
 LEAF = 16
@@ -192,7 +194,8 @@ def points(docs: DataFrame, tables: tuple[bytes, bytes], buckets: int) -> DataFr
                     s1.append(a)
                     s2.append(b)
                     size.append(n)
-                    vectors.append(np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16).tobytes() if n <= 65535 else b"\xff\xff" * GROUPS)
+                    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+                    vectors.append(counts.astype(np.uint8).tobytes() if counts.max() < SATURATED else b"\xff" * GROUPS)
                     prefix = n - (3 * n + 3) // 4 + 1
                     taken = np.argsort(own, kind="stable")[:prefix] if n > 1 else np.zeros(0, np.int64)
                     keys.append(s[taken[own[taken] > 0]].view(np.int64))
@@ -244,6 +247,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long")
 
 
+def _shared(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap: the summed coordinate minima, or the smaller set where a vector is saturated."""
+    out = np.minimum(x, y).sum(-1, dtype=np.int64)
+    open_ended = (x.max(-1) == SATURATED) | (y.max(-1) == SATURATED)
+    return np.where(open_ended, np.minimum(nx, ny), out)
+
+
 def overlap_pairs(n: np.ndarray, v: np.ndarray, label: np.ndarray, side: np.ndarray) -> np.ndarray:
     """Index pairs (i, j) with different labels whose overlap bound allows similarity 0.75, by an R-tree self-join.
 
@@ -251,7 +261,7 @@ def overlap_pairs(n: np.ndarray, v: np.ndarray, label: np.ndarray, side: np.ndar
     only; if all sides are equal, all with each other.
     """
     order = np.lexsort((v.argmax(1), n))
-    n, v, label, side = n[order], v[order].astype(np.int64), label[order], side[order]
+    n, v, label, side = n[order], v[order], label[order], side[order]
     cuts = np.arange(0, len(n), LEAF)
     high, least, most = np.maximum.reduceat(v, cuts), n[cuts], n[np.minimum(cuts + LEAF, len(n)) - 1]
     cross = side.min() != side.max()
@@ -261,20 +271,22 @@ def overlap_pairs(n: np.ndarray, v: np.ndarray, label: np.ndarray, side: np.ndar
         b = b[4 * most[a] >= 3 * least[b]]  # leaves are in order of size
         if not len(b):
             continue
-        bound = np.minimum(high[a], high[b]).sum(1)
+        bound = _shared(high[a], high[b], most[a], most[b])
         b = b[7 * bound >= 3 * (least[a] + least[b])]
         if not len(b):
             continue
         i = np.arange(cuts[a], min(cuts[a] + LEAF, len(n)))
-        j = (cuts[b][:, None] + np.arange(LEAF)).ravel()
-        j = j[j < len(n)]
-        x, y = np.repeat(i, len(j)), np.tile(j, len(i))
-        ok = (x < y) & (label[x] != label[y]) & (4 * n[x] >= 3 * n[y])
-        if cross:
-            ok &= side[x] != side[y]
-        x, y = x[ok], y[ok]
-        ok = 7 * np.minimum(v[x], v[y]).sum(1) >= 3 * (n[x] + n[y])
-        out.append(np.stack([order[x[ok]], order[y[ok]]], 1))
+        every = (cuts[b][:, None] + np.arange(LEAF)).ravel()
+        for at in range(0, len(every), STRIP):
+            j = every[at : at + STRIP]
+            j = j[j < len(n)]
+            x, y = np.repeat(i, len(j)), np.tile(j, len(i))
+            ok = (x < y) & (label[x] != label[y]) & (4 * n[x] >= 3 * n[y])
+            if cross:
+                ok &= side[x] != side[y]
+            x, y = x[ok], y[ok]
+            ok = 7 * _shared(v[x], v[y], n[x], n[y]) >= 3 * (n[x] + n[y])
+            out.append(np.stack([order[x[ok]], order[y[ok]]], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
@@ -329,7 +341,7 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
     def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
         key, side, cid, label, n = (t.column(c).to_numpy() for c in range(3, 8))
-        v = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(-1, GROUPS)
+        v = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(-1, GROUPS)
         edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
         out = [np.sort(cid[a:b][overlap_pairs(n[a:b], v[a:b], label[a:b], side[a:b])], 1) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)

@@ -67,7 +67,7 @@ def windows_above(s: bytes, window: int, bits: float) -> list[tuple[int, int]]:
     """Spans (joined windows) of ``s`` whose entropy is ``bits`` or more; one step costs two count changes."""
     if len(s) < window:
         return []
-    cost = [0.0] + [c * log2(c) for c in range(1, window + 1)]
+    cost = [0.0] + [c * log2(c) for c in range(1, window + 2)]  # one more until the oldest is gone
     counts, total = [0] * 256, 0.0
     out: list[list[int]] = []
     for i, c in enumerate(s):

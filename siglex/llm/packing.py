@@ -9,6 +9,9 @@ their rank within their length.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,11 +24,77 @@ from pyspark.sql import functions as F
 
 from siglex.llm.scratch import partitions, written
 
-#: Ids of chunks (runs between blanks) that a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Chunks (runs between blanks) and words that a worker remembers the ids of; then it starts anew.
+REMEMBERED = 600_000
 LONGEST_REMEMBERED = 40
 
-_memory: dict[str, dict] = {}
+#: Characters on which Python's and the tokeniser's letters, digits and lower case agree: printable ASCII and Latin-1 letters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+#: The steps of a tokeniser file for which ``_WORDS`` is the cut.
+_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+_memory: dict[str, ChunkIds] = {}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordIds(dict):
+    """Word in lower case -> little-endian unsigned 32-bit ids, by the tokeniser's own model."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.model, self.letters = tokenizer.model, {}
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        for tail in range(0x80, 0xC0):  # UTF-8 of the Latin-1 letters; bytes of ASCII stand for themselves
+            self.letters[0xC3], self.letters[tail] = alphabet.pre_tokenize_str(bytes((0xC3, tail)).decode())[0][0]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = _packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class ChunkIds(dict):
+    """Chunk -> ids; plain chunks are cut into words here, all others go through the whole tokeniser.
+
+    The cut is that of ``_STEPS``; with a tokeniser of other steps no chunk is
+    plain. Chunks that hold a special token are not plain either.
+    """
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
+        steps = json.loads(tokenizer.to_str())
+        self.tokenizer, self.words = tokenizer, WordIds(tokenizer) if steps["normalizer"] == _STEPS[0] and steps["pre_tokenizer"] == _STEPS[1] else None
+        self.special = [t["content"] for t in steps["added_tokens"]]
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.words is not None and _PLAIN.fullmatch(chunk) and not any(x in chunk for x in self.special):
+            ids = b"".join(map(self.words.__getitem__, _WORDS.findall(chunk.lower())))
+        else:
+            ids = _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if len(chunk) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 class ChunkTokenizer:
@@ -38,32 +107,16 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        if path not in _memory:
+            from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known = _memory.setdefault(path, {})
+            _memory[path] = ChunkIds(Tokenizer.from_file(path))
+        self.known = _memory[path]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunked = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        wanted = set().union(*chunked) - known.keys()
-        wanted.discard("")
-        known[""] = b""
-        once = {}
-        if wanted:
-            new = list(wanted)
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    (known if len(chunk) <= LONGEST_REMEMBERED else once)[chunk] = np.array(e.ids, "<u4").tobytes()
-        if once:
-            out = [b"".join([known[c] if c in known else once[c] for c in chunks]) for chunks in chunked]
-        else:
-            out = [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:

@@ -10,7 +10,8 @@ public = pytest.importorskip("public_tokenizers")
 def test_chunked_ids_are_the_tokenizers_ids():
     path = public.path("word_bpe_49k.json")
     whole = tokenizers.Tokenizer.from_file(path)
-    texts = ["", "Hello,  World!\n\tDon't", "É è 123 ½ á  x y", "<|endoftext|> ok", "x" * 300, "a\x1cb\x85c", "!!! &&&a*** b"]
+    texts = ["", "Hello,  World!\n\tDon't", "É è 123 ½ á  x y", "<|endoftext|> ok", "x" * 300, "a\x1cb\x85c", "!!! &&&a*** b", "ÀÉÿß÷×µªº don'T we'LL 4²x", "<|ENDOFTEXT|>a<|endoftext|>"]
+    texts += ["".join(chr(c) for c in (a, b, 101, a)) for a in (39, 65, 223, 247, 304, 769) for b in range(33, 600)]
     got = packing.ChunkTokenizer(path).ids(texts)
     import numpy as np
 

@@ -38,7 +38,8 @@ TABLE_BITS = 26
 FREQUENT = 16
 LEAF = 16
 ROUNDS, PARTNERS = 3, 4  # of linking before the exact comparison
-BLOCK = 2048  # members of a bucket that one task compares with each other
+BLOCK = 2048  # members of a home that one task compares with as many others
+LEVELS = 4  # counts of a group up to which minima are exact
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -247,46 +248,55 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long")
 
 
-def _shared(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Upper bound of the overlap: the summed coordinate minima, or the smaller set where a vector is saturated."""
-    out = np.minimum(x, y).sum(-1, dtype=np.int64)
-    open_ended = (x.max(-1) == SATURATED) | (y.max(-1) == SATURATED)
-    return np.where(open_ended, np.minimum(nx, ny), out)
+def _levels(v: np.ndarray, top: int) -> np.ndarray:
+    """One coordinate for each group and level up to ``top``, 1 where the count reaches it.
+
+    The product of two such rows is the sum of the minima of counts cut at ``top``.
+    """
+    return np.concatenate([v >= t for t in range(1, top + 1)], 1).astype(np.float32)
 
 
 def overlap_pairs(n: np.ndarray, v: np.ndarray, label: np.ndarray, side: np.ndarray) -> np.ndarray:
     """Index pairs (i, j) with different labels whose overlap bound allows similarity 0.75, by an R-tree self-join.
 
     Points with side 0 and 1 (two blocks of a large bucket) are compared across
-    only; if all sides are equal, all with each other.
+    only; if all sides are equal, all with each other. The bound is the summed
+    coordinate minima: a product of levels up to ``LEVELS``, and above them the
+    smaller of the two rests. A saturated vector bounds by the smaller set.
     """
     order = np.lexsort((v.argmax(1), n))
     n, v, label, side = n[order], v[order], label[order], side[order]
+    full = v.max(1) == SATURATED
+    v = np.where(full[:, None], 0, v)
+    rest = np.where(full, n, 0)
+    top = int(min(LEVELS, max(1, v.max())))
     cuts = np.arange(0, len(n), LEAF)
     high, least, most = np.maximum.reduceat(v, cuts), n[cuts], n[np.minimum(cuts + LEAF, len(n)) - 1]
+    x, boxes = _levels(v, top), _levels(high, top)
+    above, above_box = (np.maximum(w.astype(np.int64) - top, 0).sum(1) for w in (v, high))
+    above, whole = above + rest, np.logical_or.reduceat(full, cuts)
     cross = side.min() != side.max()
     out = []
     for a in range(len(cuts)):
-        b = np.arange(a, len(cuts))
-        b = b[4 * most[a] >= 3 * least[b]]  # leaves are in order of size
-        if not len(b):
-            continue
-        bound = _shared(high[a], high[b], most[a], most[b])
+        b = np.arange(a, np.searchsorted(least, 4 * most[a] / 3, "right"))  # leaves are in order of size
+        bound = boxes[b] @ boxes[a] + np.minimum(above_box[b], above_box[a])
+        bound = np.where(whole[b] | whole[a], most[a], bound)
         b = b[7 * bound >= 3 * (least[a] + least[b])]
-        if not len(b):
-            continue
         i = np.arange(cuts[a], min(cuts[a] + LEAF, len(n)))
         every = (cuts[b][:, None] + np.arange(LEAF)).ravel()
         for at in range(0, len(every), STRIP):
             j = every[at : at + STRIP]
             j = j[j < len(n)]
-            x, y = np.repeat(i, len(j)), np.tile(j, len(i))
-            ok = (x < y) & (label[x] != label[y]) & (4 * n[x] >= 3 * n[y])
+            ok = (i[:, None] < j) & (label[i][:, None] != label[j]) & (4 * n[i][:, None] >= 3 * n[j])
             if cross:
-                ok &= side[x] != side[y]
-            x, y = x[ok], y[ok]
-            ok = 7 * _shared(v[x], v[y], n[x], n[y]) >= 3 * (n[x] + n[y])
-            out.append(np.stack([order[x[ok]], order[y[ok]]], 1))
+                ok &= side[i][:, None] != side[j]
+            if not ok.any():
+                continue
+            bound = x[i] @ x[j].T + np.minimum(above[i][:, None], above[j])
+            bound = np.where(full[i][:, None] | full[j], n[i][:, None], bound)
+            ok &= 7 * bound >= 3 * (n[i][:, None] + n[j])
+            p, q = np.nonzero(ok)
+            out.append(np.stack([order[i[p]], order[j[q]]], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
@@ -305,25 +315,26 @@ def partners(labelled: DataFrame, turn: int) -> DataFrame:
 
 
 def bucket_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of members (home, key, cid, label, n, vector) of one bucket (key) with different labels.
+    """Candidate pairs (a, b) of members (home, cid, label, n, vector, keys) that share a bucket and have different labels.
 
     Buckets of one home (their least label) share most members and are dealt
-    together, so that a task gives out a pair once for all of them. A home is cut
-    into blocks by class and dealt to a task for each pair of blocks, so neither
-    a home nor a bucket meets in one task.
+    together: a class comes once with all its keys there, and a task compares
+    either each bucket of a home or, where that is less work, all members of the
+    home once. A home is cut into blocks by class and dealt to a task for each
+    pair of blocks, so neither a home nor a bucket meets in one task.
     """
-    sizes = members.groupBy("home").agg(F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("blocks"))
+    sizes = members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     cells = (
         members.join(sizes, "home")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "vector")
+        .select("home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "vector", "keys")
     )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = None, []
-        for batch in batches:  # sorted by cell, then by key
+        for batch in batches:  # sorted by cell
             cell = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
             edges = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
             for a, b in zip([0, *edges], [*edges, len(cell)], strict=True):
@@ -339,18 +350,27 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
             yield from found(parts)
 
     def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts)
-        key, side, cid, label, n = (t.column(c).to_numpy() for c in range(3, 8))
-        v = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(-1, GROUPS)
-        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
-        out = [np.sort(cid[a:b][overlap_pairs(n[a:b], v[a:b], label[a:b], side[a:b])], 1) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+        t = pa.Table.from_batches(parts).combine_chunks()
+        side, cid, label, n = (t.column(c).to_numpy() for c in range(3, 7))
+        v = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, GROUPS)
+        keys = t.column(8).combine_chunks()
+        row = np.repeat(np.arange(len(cid)), keys.value_lengths().to_numpy())
+        key = keys.flatten().to_numpy()
+        order = np.argsort(key, kind="stable")
+        row, key = row[order], key[order]
+        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        if len(cid) ** 2 <= (np.diff(edges) ** 2).sum():
+            groups = [np.arange(len(cid))]
+        else:
+            groups = [row[a:b] for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+        out = [np.sort(cid[g][overlap_pairs(n[g], v[g], label[g], side[g])], 1) for g in groups]
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         if len(pairs):
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    spread = cells.repartition(partitions(members.sparkSession), "home", "i", "j").sortWithinPartitions("home", "i", "j", "key")
+    spread = cells.repartition(partitions(members.sparkSession), "home", "i", "j").sortWithinPartitions("home", "i", "j")
     return spread.mapInArrow(joined, "a long, b long").distinct()
 
 
@@ -390,8 +410,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
         labelled = written(members.join(labels, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label")), "labelled")
     open_keys = written(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key", F.col("x").alias("home")), "open-keys")
     vectors = full.join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).groupBy("cid").agg(F.min("n").alias("n"), F.min("vector").alias("vector"))
-    rest = labelled.join(open_keys, "key").join(vectors, "cid")
-    more = verified(bucket_pairs(rest), sets)
+    at_home = labelled.join(open_keys, "key").groupBy("home", "cid").agg(F.min("label").alias("label"), F.collect_list("key").alias("keys"))  # no more keys than a prefix has
+    rest = at_home.join(vectors, "cid")
+    more = verified(written(bucket_pairs(rest), "bucket-pairs"), sets)
     final = components(links.unionByName(more))
     of_class = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -23,6 +23,19 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _edges(links: DataFrame) -> DataFrame:
+    return links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of ``links`` after one round of large-star and small-star, a > b.
+
+    Their least b for each a is a label: equal labels are of one component,
+    while unequal ones may be too until the rounds have ended.
+    """
+    return _stars(_stars(_edges(links), large=True), large=False).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b); the component is its least node.
 
@@ -30,8 +43,7 @@ def components(links: DataFrame) -> DataFrame:
     to the shared folder, and only their number and checksum reach the driver.
     Links of a node with itself or with null are ignored; no links, no rows.
     """
-    edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
-    edges, seen = written(edges, "links"), None
+    edges, seen = written(_edges(links), "links"), None
     while True:
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == seen or not state[0]:

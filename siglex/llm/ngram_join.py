@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siglex.llm.arrow_text import LOWER, distinct, has_bits, mixed, runs
-from siglex.llm.components import components
+from siglex.llm.components import components, contracted
 from siglex.llm.scratch import bit_table, partitions, written
 
 WORDS = 5
@@ -405,8 +405,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     labelled, links = members.withColumn("label", F.col("cid")), None
     for turn in range(ROUNDS):
         new = verified(partners(labelled, turn), sets)
-        links = written(new if links is None else links.unionByName(new), "links")
-        labels = components(links).withColumnRenamed("node", "cid")
+        links = written(contracted(new if links is None else links.unionByName(new)), "links")
+        labels = links.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("component"))
         labelled = written(members.join(labels, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label")), "labelled")
     open_keys = written(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key", F.col("x").alias("home")), "open-keys")
     vectors = full.join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).groupBy("cid").agg(F.min("n").alias("n"), F.min("vector").alias("vector"))

@@ -27,13 +27,18 @@ def _edges(links: DataFrame) -> DataFrame:
     return links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
 
 
+def _round(edges: DataFrame) -> DataFrame:
+    """Large-star, then small-star, of a written table; each star reads its input four times, so what is between them is written too."""
+    return _stars(written(_stars(edges, large=True), "stars"), large=False)
+
+
 def contracted(links: DataFrame) -> DataFrame:
     """Links (a, b) with the components of ``links`` after one round of large-star and small-star, a > b.
 
     Their least b for each a is a label: equal labels are of one component,
     while unequal ones may be too until the rounds have ended.
     """
-    return _stars(_stars(_edges(links), large=True), large=False).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    return _round(written(_edges(links), "links")).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = written(_stars(_stars(edges, large=True), large=False), "links")
+        edges = written(_round(edges), "links")
     return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -404,7 +404,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     sets = written(sets_of(docs, in_buckets), "sets")
     labelled, links = members.withColumn("label", F.col("cid")), None
     for turn in range(ROUNDS):
-        new = verified(partners(labelled, turn), sets)
+        new = written(verified(partners(labelled, turn), sets), "new-links")
         links = written(contracted(new if links is None else links.unionByName(new)), "links")
         labels = links.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("component"))
         labelled = written(members.join(labels, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label")), "labelled")
@@ -412,7 +412,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     vectors = full.join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).groupBy("cid").agg(F.min("n").alias("n"), F.min("vector").alias("vector"))
     at_home = labelled.join(open_keys, "key").groupBy("home", "cid").agg(F.min("label").alias("label"), F.collect_list("key").alias("keys"))  # no more keys than a prefix has
     rest = at_home.join(vectors, "cid")
-    more = verified(written(bucket_pairs(rest), "bucket-pairs"), sets)
+    more = written(verified(written(bucket_pairs(rest), "bucket-pairs"), sets), "more-links")
     final = components(links.unionByName(more))
     of_class = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -1,4 +1,8 @@
-"""Every stage of the pipeline, on the rows that the one before kept, against a plain Python version."""
+"""The stages of the pipeline, each on the rows that the one before kept.
+
+Line dedup, n-gram join and packing against plain Python; the toxicity stage
+against the operator's predictions; decontamination by conditions that must hold.
+"""
 
 import os
 from collections import Counter, defaultdict

@@ -29,6 +29,8 @@ from siglex.llm.scratch import bit_table, partitions, written
 
 GRAM = 32
 TABLE_BITS = 26
+#: Fixed value: ends what follows an anchor; UTF-8 never holds this byte, so one order holds for sorting and merging.
+END = b"\xff"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -114,8 +116,7 @@ def merge(sources: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int
     size = 1
     while size < len(sources):
         size *= 2
-    END = None
-    heads: list[tuple[int, bytes] | None] = [next(s, END) for s in sources] + [END] * (size - len(sources))
+    heads: list[tuple[int, bytes] | None] = [next(s, None) for s in sources] + [None] * (size - len(sources))
     shared = [0] * size  # with the last string given out
     tree = [0] * size
 
@@ -143,7 +144,7 @@ def merge(sources: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int
     first = build(1)
     while heads[first] is not None:
         yield shared[first], first, heads[first][1]
-        heads[first] = next(sources[first], END)
+        heads[first] = next(sources[first], None)
         if heads[first] is not None:
             shared[first] = heads[first][0]
         node = (first + size) // 2
@@ -247,8 +248,8 @@ def document_key(doc_id: object, text: bytes) -> tuple[int, int]:
 def sent(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
     """Sorted, front-coded runs, one row for each bucket."""
     for bucket, rows in held.items():
-        rows.sort()
-        run = Run.of([after + before for after, before, *_ in rows])
+        rows.sort(key=lambda x: x[0] + END + x[1])
+        run = Run.of([after + END + before for after, before, *_ in rows])
         ids = np.array([x[2:] for x in rows], np.int64)
         n_after, n_before = (np.array([len(x[k]) for x in rows], np.uint16) for k in (0, 1))
         cells = [bucket, n_after.tobytes(), n_before.tobytes(), ids.tobytes(), run.shared.tobytes(), run.sizes.tobytes(), run.rest]
@@ -289,7 +290,7 @@ def spans_of(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
         k = nth[source]
         nth[source] += 1
         cut = after_of[source][k]
-        after, before = whole[:cut], whole[cut:]
+        after, before = whole[:cut], whole[cut + len(END) :]
         if group and after[:GRAM] != last[:GRAM]:
             closed()
             group, owners = [], []

@@ -63,3 +63,26 @@ def test_merge_is_sorted_and_carries_prefixes():
     assert flat == sorted(s for x in lists for s in x)
     for (_, _, a), (k, _, b) in zip(merged, merged[1:], strict=False):
         assert k == repeats.common(a, b)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_cut_copy_beside_longer_ones_of_other_tasks(seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh ", k=60))
+    passage, tail = word() + word(), "\n" + word()[:20]
+    texts = [[before + passage + end for before, end in part] for part in ([("x", ""), ("zy", tail)], [("q", tail)])]
+    rows, raws = [], [t.encode() for part in texts for t in part]
+    for part in texts:
+        held = []
+        for t in part:
+            raw = t.encode()
+            a = raw.index(passage.encode()[80:])
+            held.append((raw[a : a + LENGTH], raw[max(0, a - LENGTH + repeats.GRAM) : a][::-1], raws.index(raw), 0, a))
+        rows += [row for batch in repeats.sent({0: held}) for row in batch.to_pylist()]
+    got = {(s["d1"], s["begin"], s["end"]) for batch in repeats.spans_of(rows, LENGTH) for s in batch.to_pylist()}
+    for i, raw in enumerate(raws):
+        if raws.index(raw) == i:
+            a = raw.index(passage.encode()[80:])
+            windows = [p for p in range(max(0, a - LENGTH + repeats.GRAM), a + 1) if p + LENGTH <= len(raw)]
+            many = {p for p in windows if sum(raw[p : p + LENGTH] in x for x in raws) > 1}
+            assert many == {p for p in windows if any(d == i and b <= p and p + LENGTH <= e for d, b, e in got)}

@@ -4,8 +4,8 @@ A text's words are canonicalised: numbers, names and units become typed
 placeholders, the rest is lower-cased without punctuation. Windows of eight
 template words are hash-joined between benchmark items and documents; what the
 placeholders stand for on both sides (the slots) must map one value to one
-value within an aligned occurrence, which keeps re-parameterised questions and
-drops templates that agree by chance.
+value within a window and over a stretch of neighbouring windows of an aligned
+occurrence; a conflict ends the stretch.
 """
 
 from __future__ import annotations
@@ -65,6 +65,32 @@ def _head(words: Column, i: Column | int) -> Column:
     return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
 
+def _consistent(slots: Column) -> Column:
+    """No value of the item stands for two values of the document."""
+    return F.size(F.array_distinct(slots)) == F.size(F.array_distinct(F.transform(slots, lambda s: s["item_slots"])))
+
+
+def _stretches(windows: Column, kind: str, least: int) -> Column:
+    """(n, slots) of the windows, ascending, that lie in maximal consistent stretches of ``least`` or more."""
+    none = F.array().cast(kind)
+    state = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"), none.alias("slots"), F.lit(0).alias("own_n"), none.alias("own"))
+
+    def ended(s: Column) -> tuple[Column, Column]:
+        enough = s["own_n"] >= least
+        return s["n"] + F.when(enough, s["own_n"]).otherwise(0), F.when(enough, F.array_distinct(F.concat(s["slots"], s["own"]))).otherwise(s["slots"])
+
+    def step(s: Column, x: Column) -> Column:
+        both = F.array_distinct(F.concat(s["own"], x["slots"]))
+        n, slots = ended(s)
+        new = F.when(x["item_at"] == s["last"], 0).otherwise(1)
+        return F.when(
+            _consistent(both),
+            F.struct(x["item_at"].alias("last"), s["n"].alias("n"), s["slots"].alias("slots"), (s["own_n"] + new).alias("own_n"), both.alias("own")),
+        ).otherwise(F.struct(x["item_at"].alias("last"), n.alias("n"), slots.alias("slots"), new.alias("own_n"), x["slots"].alias("own")))
+
+    return F.aggregate(windows, state, step, lambda s: F.struct(ended(s)[0].alias("n"), ended(s)[1].alias("slots")))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, min_windows: int = 1) -> DataFrame:
     """Rows (doc_id, item_id, n_windows, n_item_windows, coverage, n_slots, verbatim), one for each leak.
 
@@ -74,7 +100,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_windows: int = 1) -> DataFr
     starts are first sieved with a bit table of fixed size over the windows'
     first three words, which lets through every start that can match. Rows
     repeated in either table count once; an empty table gives an empty result.
-    Columns other than the ids and texts are not read.
+    ``n_windows`` counts an alignment's windows in consistent stretches of
+    ``min_windows`` or more. Columns other than the ids and texts are not read.
     """
     spark = docs.sparkSession
     items = _words(benchmark, "item_id")
@@ -100,18 +127,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_windows: int = 1) -> DataFr
 
     found = searched(_words(docs, "doc_id")).withColumnRenamed("slots", "doc_slots").withColumnRenamed("at", "doc_at")
     pairs = found.join(wanted.select("item_id", F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots")), "window")
-    aligned = pairs.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
-        F.count_distinct("item_at").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots")))).alias("slots"),
-    )
-    sides = F.col("slots")
-    consistent = F.size(sides) == F.size(F.array_distinct(F.transform(sides, lambda s: s["item_slots"])))
-    verbatim = F.forall(sides, lambda s: s["item_slots"].eqNullSafe(s["doc_slots"]))
+    pairs = pairs.withColumn("slots", F.array_distinct(F.arrays_zip("item_slots", "doc_slots")))
+    aligned = pairs.where(_consistent(F.col("slots"))).groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("item_at", "slots"))).alias("windows"))
     kept = (
-        aligned.where(consistent)
+        aligned.select("doc_id", "item_id", _stretches(F.col("windows"), aligned.schema["windows"].dataType.elementType["slots"].dataType.simpleString(), min_windows).alias("s"))
+        .select("doc_id", "item_id", "s.n", F.array_distinct("s.slots").alias("slots"))
         .groupBy("doc_id", "item_id")
-        .agg(F.max("n_windows").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"), F.bool_or(verbatim).alias("verbatim"))
-        .where(F.col("n_windows") >= min_windows)
+        .agg(F.max("n").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"), F.bool_or((F.col("n") > 0) & F.forall("slots", lambda s: s["item_slots"].eqNullSafe(s["doc_slots"]))).alias("verbatim"))
+        .where(F.col("n_windows") >= F.greatest(F.lit(min_windows), F.lit(1)))
     )
     sizes = wanted.groupBy("item_id").agg(F.count_distinct("at").alias("n_item_windows"))
     return kept.join(sizes, "item_id").select(

@@ -69,3 +69,17 @@ def test_reparameterised_leaks_and_clean_documents(spark):
     assert (1, 10) in got and not got[(1, 10)] and not {2, 3, 4} & {k for k, _ in got}
     assert sorted(r.doc_id for r in decontamination.without_leaks(d.where("doc_id < 5"), b).collect()) == [2, 3, 4]
     assert decontamination.leaks(d, b.where(F.lit(False))).count() == 0
+
+
+def _leaks(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontamination.leaks(d, b).collect()}
+
+
+def test_one_changed_slot_costs_only_its_windows(spark):
+    item = "if a train leaves at 3 and moves along the long green valley for a while and then it waits until 3 before it goes on through the hills and the woods to the far sea"
+    got = _leaks(spark, [f"So: {item.replace('until 3', 'until 4')}", f"So: {item}", "if 5 or 6 in one of these"], [item, "if 3 or 3 in one of these"])
+    assert set(got) == {(0, 0), (1, 0)}
+    assert got[(1, 0)].coverage == 1 and got[(1, 0)].verbatim
+    assert not got[(0, 0)].verbatim and got[(0, 0)].n_windows >= got[(1, 0)].n_windows - 8

@@ -83,3 +83,14 @@ def test_one_changed_slot_costs_only_its_windows(spark):
     assert set(got) == {(0, 0), (1, 0)}
     assert got[(1, 0)].coverage == 1 and got[(1, 0)].verbatim
     assert not got[(0, 0)].verbatim and got[(0, 0)].n_windows >= got[(1, 0)].n_windows - 8
+
+
+def test_verbatim_copies_of_any_passage(spark):
+    items = ["What is the capital of France?", "Anna Berta Carla Dora Emma Frida Gerda Hanna Ida", "12 7 9 31 44 8 15 16 23 42", "Blue whale", "Zygote", "?!"]
+    docs = [f"Quiz\n{x}" for x in items] + ["see (blue  WHALE). Then", "Quiz\nWhat is the capital of Spain?", "Quiz\nWho is the capital of France?", "blue sky and whale", "12 7 9 31 44 8 15 16 24 42 12 7 9"]
+    got = _leaks(spark, docs, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 3), (7, 0), (10, 2)}
+    assert all(got[(k, k)].verbatim and got[(k, k)].coverage == 1 for k in range(5)) and not got[(7, 0)].verbatim
+    assert _leaks(spark, ["one Zygote"], ["Zygote", "?!"]).keys() == {(0, 0)}
+    middle = "then they found out that in the end Mary had the keys to every door of the house"
+    assert _leaks(spark, ["Yes. Mary had the keys to every door of"], [middle]).keys() == {(0, 0)}

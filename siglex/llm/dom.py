@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Fixed values of HTML: elements without content, elements whose text is not shown, inline elements, and what closes an open p.
@@ -210,6 +211,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
     total = max(1, nodes[0].chars)
     above = [0] * len(nodes)
     tag_above = [0] * len(nodes)
+    tags_of = [Counter(nodes[b].tag for b in x.children) for x in nodes]
     out = []
     for i, x in enumerate(nodes):
         if i:
@@ -218,7 +220,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
             tag_above[i] = tag_above[x.parent] | (1 << TAG_OF[p.tag] if p.tag in TAG_OF else 0)
             brothers = p.children
             k = x.nth
-            same = sum(nodes[b].tag == x.tag for b in brothers[:64])
+            same = tags_of[x.parent][x.tag]
             before = nodes[brothers[k - 1]].chars if k else 0
             after = nodes[brothers[k + 1]].chars if k + 1 < len(brothers) else 0
             share = x.chars / max(1, p.chars)

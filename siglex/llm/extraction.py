@@ -23,6 +23,12 @@ from pyspark.sql import functions as F
 from siglex.llm import boosting, dom
 
 SAMPLE_PAGES, LAYOUTS = 200, 4
+#: Markup that hides tags, and a start tag that the parser marks (comments and scripts aside).
+HIDDEN = (
+    r"(?is)<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|"
+    rf"<({'|'.join(sorted(dom.RAW))})(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1\s*>|$)|<({'|'.join(sorted(dom.UNSEEN - dom.RAW))})(?=[\s/>])[^>]*(?<!/)>.*?</\2\s*>"
+)
+MARK = r"<(?i:article|main)[\s/>]|<[a-zA-Z][^<>]*articleBody"
 
 #: What the layouts are made of. MAIN stands for the article's blocks.
 CONTAINERS = (
@@ -109,8 +115,8 @@ def labelled(page: str, mark: int) -> tuple[list[list[float]], list[int]]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, per_page: int = LAYOUTS) -> boosting.Trees | None:
-    """Trees from at most ``sample`` pages, taken by a hash of id and address; None if none has a marked article."""
-    rows = pages.where("html is not null").select("html", F.xxhash64("page_id", "url", "html").alias("h")).orderBy("h").limit(sample).select("html", "h").collect()
+    """Trees from at most ``sample`` pages with a mark, taken by a hash of id, address and page; None if none has a marked article."""
+    rows = pages.where(F.col("html").rlike(MARK)).where(F.regexp_replace("html", HIDDEN, "").rlike(MARK)).select("html", F.xxhash64("page_id", "url", "html").alias("h")).orderBy("h").limit(sample).select("html", "h").collect()
     x: list[list[float]] = []
     y: list[int] = []
     for row in rows:
@@ -128,7 +134,7 @@ def main_text(pages: DataFrame, trees: boosting.Trees | None = None) -> DataFram
     """page_id, url, text, n_chars of every row of ``pages``.
 
     Null and empty pages give an empty text. Without ``trees`` they are trained
-    on a sample of ``pages``; if no sampled page has a marked article there are
+    on a sample of the pages with a marked article; if no page has one there are
     no labels, and all shown text counts as content. Repeated rows give repeated
     rows; an empty table gives an empty result. Other columns are not read.
     """

@@ -61,3 +61,16 @@ def test_trees_learn_an_interaction():
     z = r.random((500, 5))
     assert ((model.margin(z) > 0) == ((z[:, 1] > 0.5) ^ (z[:, 3] > 0.3))).mean() > 0.95
     assert re.match("float", str(model.leaf.dtype))
+
+
+def test_training_pages_are_marked_ones(spark):
+    plain = [(k, f"u{k}", page(k, ("<div>", "</div>"))[0].replace("<body>", "<body><!-- <article> --><script>'<main>'</script>")) for k in range(60)]
+    pages = spark.createDataFrame([*plain, (60, "u60", page(60)[0])], "page_id long, url string, html string")
+    assert all(extraction.train(pages.where(f"page_id <> {k}"), 1, 1) is not None for k in range(0, 60, 12))
+    assert extraction.train(pages.where("page_id < 60"), 1, 1) is None
+
+
+def test_all_siblings_of_a_tag_count():
+    nodes, _ = dom.parse("<div>" + "<ul></ul>" * 70 + "<p>a</p>" * 184 + "</div>")
+    shares = {(x.tag, f[14]) for x, f in zip(nodes, dom.features(nodes), strict=True) if x.tag in ("p", "ul")}
+    assert shares == {("ul", 70 / 254), ("p", 184 / 254)}

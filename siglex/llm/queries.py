@@ -27,7 +27,7 @@ def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.feistel_shards(_table(spark, sf_dir, "documents"), shards=24)
-    return rows.select("doc_id", F.col("size").alias("bytes"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

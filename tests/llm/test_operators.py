@@ -4,7 +4,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from siglex.llm import decontamination, fingerprints, line_dedup, secrets, sharding
+from siglex.llm import decontamination, fingerprints, line_dedup, queries, secrets, sharding
 
 
 def test_shards_are_a_permutation(spark):
@@ -94,3 +94,9 @@ def test_verbatim_copies_of_any_passage(spark):
     assert _leaks(spark, ["one Zygote"], ["Zygote", "?!"]).keys() == {(0, 0)}
     middle = "then they found out that in the end Mary had the keys to every door of the house"
     assert _leaks(spark, ["Yes. Mary had the keys to every door of"], [middle]).keys() == {(0, 0)}
+
+
+def test_shards_keep_the_column_size(spark, tmp_path):
+    spark.createDataFrame([(1, "té"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op2_feistel_shards(spark, str(tmp_path))
+    assert dict(rows.dtypes)["size"] == "bigint" and {r.doc_id: r["size"] for r in rows.collect()} == {1: 11, 2: 8}  # 8 besides the bytes of the text

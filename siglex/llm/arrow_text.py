@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20  # of an Arrow batch, whose copies lie on both sides of the socket
 RUN_BYTES = 1 << 18  # the arrays of a run then fit a core's cache
 
 #: A-Z to a-z, all other bytes as they are.
@@ -68,3 +70,16 @@ def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values; by sorting, which is faster here than the hashing of np.unique."""
     x = np.sort(x)
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size, so that long texts do not fill a task's memory.
+
+    The bounds are settings of the session and stay set; lower ones that are there already are kept.
+    """
+    conf = df.sparkSession.conf
+    for name, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= bound:
+            conf.set(name, str(bound))
+    return df.mapInArrow(function, schema)

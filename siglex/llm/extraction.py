@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siglex.llm import boosting, dom
+from siglex.llm.arrow_text import map_arrow
 
 SAMPLE_PAGES, LAYOUTS = 200, 4
 #: Markup that hides tags, and a start tag that the parser marks (comments and scripts aside).
@@ -158,4 +159,4 @@ def main_text(pages: DataFrame, trees: boosting.Trees | None = None) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return map_arrow(pages.select("page_id", "url", "html"), extracted, f"page_id {kind}, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglex.llm.arrow_text import has_bits
+from siglex.llm.arrow_text import has_bits, map_arrow
 from siglex.llm.scratch import bit_table, partitions, written
 
 TABLE_BITS = 23
@@ -65,7 +65,7 @@ def digests(docs: DataFrame, bits: int = 128) -> DataFrame:
                 ["k", "tie", "digest", "low"],
             )
 
-    return docs.select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("k"), "text").mapInArrow(made, "k long, tie long, digest string, low long")
+    return map_arrow(docs.select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("k"), "text"), made, "k long, tie long, digest string, low long")
 
 
 def _tie(text: str) -> int:
@@ -93,7 +93,7 @@ def colliding(docs: DataFrame, narrow: DataFrame, bits: int = 128) -> DataFrame:
                 packs.append(shrink.compress(canons[i]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(packs, pa.binary())], ["digest", "canon"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(packed, "digest string, canon binary")
+    rows = map_arrow(docs.select("doc_id", "text"), packed, "digest string, canon binary")
     return rows.groupBy("digest").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("digest")
 
 
@@ -147,13 +147,9 @@ def fingerprints(docs: DataFrame, bits: int = 128) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), *[pa.string()] * 5, pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], NAMES)
 
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(dealt, "bucket int, ahead int, k long, tie long, doc_id long, packed binary")
-        .repartition(partitions(spark), "bucket")
-        .sortWithinPartitions("bucket", "ahead", "k", "tie")
-        .mapInArrow(edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, canon_sha256 string, edited_canon_sha256 string, near_edited double, near_next double")
-    )
+    blocks = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), dealt, "bucket int, ahead int, k long, tie long, doc_id long, packed binary")
+    ordered = blocks.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "ahead", "k", "tie")
+    rows = map_arrow(ordered, edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, canon_sha256 string, edited_canon_sha256 string, near_edited double, near_next double")
     if not clash.isEmpty():
         for name, more in (("fingerprint", "canon_sha256"), ("edited_fingerprint", "edited_canon_sha256")):
             bad = clash.select(F.col("digest").alias(name), F.lit(True).alias("bad"))

@@ -2,9 +2,10 @@
 
 Every distinct set is a point: its shingles are hashed into groups and counted
 by group. Two sets share at most the sum of the coordinate minima, and so do
-two boxes of points; points are packed into R-tree leaves, pairs of leaves and
-then pairs of points whose bound is below what the similarity asks for are
-dropped, and surviving pairs are verified with the sets themselves.
+two boxes of points; points are packed into the leaves of an R-tree, pairs of
+boxes from the root down and then pairs of points whose bound is below what the
+similarity asks for are dropped, and surviving pairs are verified with the sets
+themselves. No pair is verified that the bound of its two vectors excludes.
 
 One R-tree over all sets would prune little, as random sets of one size lie
 alike in count space. So the points are first dealt to buckets by the shingles
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siglex.llm.arrow_text import LOWER, distinct, has_bits, mixed, runs
+from siglex.llm.arrow_text import LOWER, distinct, has_bits, map_arrow, mixed, runs
 from siglex.llm.components import components, contracted
 from siglex.llm.scratch import bit_table, partitions, written
 
@@ -40,6 +41,7 @@ LEAF = 16
 ROUNDS, PARTNERS = 3, 4  # of linking before the exact comparison
 BLOCK = 2048  # members of a home that one task compares with as many others
 LEVELS = 4  # counts of a group up to which minima are exact
+PAIRS = 1 << 16  # that are held before they are given out
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -103,6 +105,12 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & ((1 << 64) - 1)))
 
 
+def group_counts(shingles: np.ndarray) -> bytes:
+    """The count vector of a set; all bytes ``SATURATED`` where a count does not fit."""
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < SATURATED else bytes([SATURATED]) * GROUPS
+
+
 def _folded(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, 32-bit rest) of shingle hashes, and so the value that the bit tables know."""
     b = np.uint64(buckets)
@@ -126,7 +134,7 @@ def shared_tables(docs: DataFrame, buckets: int) -> tuple[bytes, bytes]:
             for _, starts, data in runs(batch.column(0)):
                 held += shingle_sets(starts, data)
                 size += sum(map(len, held[-(len(starts) - 1) :]))
-                if size > 1 << 22:
+                if size > 1 << 20:
                     yield dealt(held)
                     held, size = [], 0
         if size:
@@ -157,8 +165,8 @@ def shared_tables(docs: DataFrame, buckets: int) -> tuple[bytes, bytes]:
         own = at[n > 1]
         return pa.RecordBatch.from_arrays([pa.array(_known_as(np.full(len(own), bucket), x[own]).view(np.int64)), pa.array(n[n > 1] >= FREQUENT)], ["h", "frequent"])
 
-    blobs = docs.select("text").mapInArrow(hashed, "bucket int, rests binary")
-    rows = blobs.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "h long, frequent boolean")
+    blobs = map_arrow(docs.select("text"), hashed, "bucket int, rests binary")
+    rows = map_arrow(blobs.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket"), counted, "h long, frequent boolean")
     rows = written(rows, "shared-shingles")
     return bit_table(rows, F.col("h"), TABLE_BITS), bit_table(rows.where("frequent"), F.col("h"), TABLE_BITS)
 
@@ -195,8 +203,7 @@ def points(docs: DataFrame, tables: tuple[bytes, bytes], buckets: int) -> DataFr
                     s1.append(a)
                     s2.append(b)
                     size.append(n)
-                    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
-                    vectors.append(counts.astype(np.uint8).tobytes() if counts.max() < SATURATED else b"\xff" * GROUPS)
+                    vectors.append(group_counts(s))
                     prefix = n - (3 * n + 3) // 4 + 1
                     taken = np.argsort(own, kind="stable")[:prefix] if n > 1 else np.zeros(0, np.int64)
                     keys.append(s[taken[own[taken] > 0]].view(np.int64))
@@ -204,11 +211,11 @@ def points(docs: DataFrame, tables: tuple[bytes, bytes], buckets: int) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], ["doc_id", "d1", "d2", "s1", "s2", "n", "vector", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *document_key()).mapInArrow(made, f"doc_id {kind}, d1 long, d2 long, s1 long, s2 long, n long, vector binary, keys array<bigint>")
+    return map_arrow(docs.select("doc_id", "text", *document_key()), made, f"doc_id {kind}, d1 long, d2 long, s1 long, s2 long, n long, vector binary, keys array<bigint>")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, shingles) of the given classes (cid, s1, s2), from one text of each."""
+    """(cid, vector, shingles) of the given classes (cid, s1, s2), from one text of each."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(classes, F.col("s2"), TABLE_BITS))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,31 +228,38 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 for i in np.flatnonzero(has_bits(wanted, np.array([b for _, b in ids], np.int64).view(np.uint64))).tolist():
                     if ids[i] not in given:  # exact copies in a task travel once
                         given.add(ids[i])
-                        out.append((*ids[i], sets[i].tobytes()))
+                        out.append((*ids[i], group_counts(sets[i]), sets[i].tobytes()))
                 if len(given) > 1 << 16:
                     given = set()
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["s1", "s2", "shingles"])
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["s1", "s2", "vector", "shingles"])
 
-    rows = docs.select("text").mapInArrow(made, "s1 long, s2 long, shingles binary")
-    return rows.join(classes, ["s1", "s2"]).dropDuplicates(["cid"]).select("cid", "shingles")
+    rows = map_arrow(docs.select("text"), made, "s1 long, s2 long, vector binary, shingles binary")
+    return rows.join(classes, ["s1", "s2"]).dropDuplicates(["cid"]).select("cid", "vector", "shingles")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= 75 * union."""
+    """The pairs (a, b) with 100 * intersection >= 75 * union; the sets are compared only where the count vectors allow it."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in (2, 3))
+            n, m = (batch.column(c).to_numpy() for c in (4, 5))
+            bound = np.minimum(x, y).sum(1, dtype=np.int64)
+            bound = np.where((x[:, 0] == SATURATED) & (x.min(1) == SATURATED) | (y[:, 0] == SATURATED) & (y.min(1) == SATURATED), np.minimum(n, m), bound)
+            keep = 7 * bound >= 3 * (n + m)
+            left, right = batch.column(6), batch.column(7)
+            for k in np.flatnonzero(keep).tolist():
+                both = np.sort(np.concatenate([np.frombuffer(c[k].as_buffer(), np.uint64) for c in (left, right)]))
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= 75 * (len(both) - shared))
+                keep[k] = 100 * shared >= 75 * (len(both) - shared)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    x = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    y = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-    return pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long")
+    x = sets.select(F.col("cid").alias("b"), F.col("vector").alias("vy"), F.col("shingles").alias("y"))
+    y = sets.select(F.col("cid").alias("a"), F.col("vector").alias("vx"), F.col("shingles").alias("x"))
+    size = lambda c: F.octet_length(c) / 8
+    rows = pairs.select("a", "b").join(x, "b").join(y, "a")
+    return map_arrow(rows.select("a", "b", "vx", "vy", size("x").cast("long").alias("n"), size("y").cast("long").alias("m"), "x", "y"), checked, "a long, b long")
 
 
 def _levels(v: np.ndarray, top: int) -> np.ndarray:
@@ -256,48 +270,74 @@ def _levels(v: np.ndarray, top: int) -> np.ndarray:
     return np.concatenate([v >= t for t in range(1, top + 1)], 1).astype(np.float32)
 
 
-def overlap_pairs(n: np.ndarray, v: np.ndarray, label: np.ndarray, side: np.ndarray) -> np.ndarray:
+class Level:
+    """Boxes of one level of the R-tree: neighbouring points (or boxes of the level below) under one bound."""
+
+    def __init__(self, cuts: np.ndarray, high: np.ndarray, full: np.ndarray, least: np.ndarray, most: np.ndarray, top: int) -> None:
+        self.cuts, self.high, self.full, self.least, self.most = cuts, high, full, least, most
+        self.levels, self.above = _levels(high, top), np.maximum(high.astype(np.int64) - top, 0).sum(1)
+
+    def over(self, top: int) -> Level:
+        cuts = np.arange(0, len(self.high), LEAF)
+        return Level(cuts, np.maximum.reduceat(self.high, cuts), np.logical_or.reduceat(self.full, cuts), np.minimum.reduceat(self.least, cuts), np.maximum.reduceat(self.most, cuts), top)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether boxes ``a`` (down) and ``b`` (across) may hold points of similarity 0.75: by sizes and by the summed coordinate minima."""
+        bound = self.levels[a] @ self.levels[b].T + np.minimum(self.above[a][:, None], self.above[b])
+        smaller = np.minimum(self.most[a][:, None], self.most[b])
+        bound = np.where(self.full[a][:, None] | self.full[b], smaller, np.minimum(bound, smaller))
+        sizes = (4 * self.most[a][:, None] >= 3 * self.least[b]) & (4 * self.most[b] >= 3 * self.least[a][:, None])
+        return sizes & (7 * bound >= 3 * (self.least[a][:, None] + self.least[b]))
+
+
+def overlap_pairs(n: np.ndarray, v: np.ndarray, label: np.ndarray, side: np.ndarray) -> Iterator[np.ndarray]:
     """Index pairs (i, j) with different labels whose overlap bound allows similarity 0.75, by an R-tree self-join.
 
-    Points with side 0 and 1 (two blocks of a large bucket) are compared across
-    only; if all sides are equal, all with each other. The bound is the summed
-    coordinate minima: a product of levels up to ``LEVELS``, and above them the
-    smaller of the two rests. A saturated vector bounds by the smaller set.
+    Points are packed by size band and then by their greatest coordinates;
+    levels of boxes are built up to one root, and a pair of boxes whose bound
+    is too low prunes all below it. Points with side 0 and 1 (two blocks of a
+    large bucket) are compared across only; if all sides are equal, all with
+    each other. The bound is the summed coordinate minima: a product of levels
+    up to ``LEVELS``, and above them the smaller of the two rests. A saturated
+    vector bounds by the smaller set.
     """
-    order = np.lexsort((v.argmax(1), n))
+    band = np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3)).astype(np.int64)
+    first = v.argmax(1)
+    rest = v.copy()
+    rest[np.arange(len(v)), first] = 0
+    order = np.lexsort((rest.argmax(1), first, band))
     n, v, label, side = n[order], v[order], label[order], side[order]
     full = v.max(1) == SATURATED
-    v = np.where(full[:, None], 0, v)
-    rest = np.where(full, n, 0)
+    v = np.where(full[:, None], 0, v).astype(np.uint8)
     top = int(min(LEVELS, max(1, v.max())))
-    cuts = np.arange(0, len(n), LEAF)
-    high, least, most = np.maximum.reduceat(v, cuts), n[cuts], n[np.minimum(cuts + LEAF, len(n)) - 1]
-    x, boxes = _levels(v, top), _levels(high, top)
-    above, above_box = (np.maximum(w.astype(np.int64) - top, 0).sum(1) for w in (v, high))
-    above, whole = above + rest, np.logical_or.reduceat(full, cuts)
     cross = side.min() != side.max()
-    out = []
-    for a in range(len(cuts)):
-        b = np.arange(a, np.searchsorted(least, 4 * most[a] / 3, "right"))  # leaves are in order of size
-        bound = boxes[b] @ boxes[a] + np.minimum(above_box[b], above_box[a])
-        bound = np.where(whole[b] | whole[a], most[a], bound)
-        b = b[7 * bound >= 3 * (least[a] + least[b])]
-        i = np.arange(cuts[a], min(cuts[a] + LEAF, len(n)))
-        every = (cuts[b][:, None] + np.arange(LEAF)).ravel()
-        for at in range(0, len(every), STRIP):
-            j = every[at : at + STRIP]
-            j = j[j < len(n)]
-            ok = (i[:, None] < j) & (label[i][:, None] != label[j]) & (4 * n[i][:, None] >= 3 * n[j])
+    tree = [Level(np.arange(len(n)), v, full, n, n, top)]
+    while len(tree[-1].high) > 1:
+        tree.append(tree[-1].over(top))
+
+    def children(level: int, boxes: np.ndarray) -> np.ndarray:
+        below = (tree[level].cuts[boxes][:, None] + np.arange(LEAF)).ravel()
+        return below[below < len(tree[level - 1].high)]
+
+    def search(level: int, a: int, against: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs below box ``a`` and the boxes ``against`` (none before ``a``)."""
+        against = against[tree[level].near(np.array([a]), against)[0]]
+        i = children(level, np.array([a]))
+        for at in range(0, len(against), STRIP // LEAF if level == 1 else max(1, len(against))):
+            j = children(level, against[at : at + STRIP // LEAF] if level == 1 else against)
+            if level > 1:
+                for box in i.tolist():
+                    yield from search(level - 1, box, j[j >= box])
+                continue
+            ok = (i[:, None] < j) & (label[i][:, None] != label[j])
             if cross:
                 ok &= side[i][:, None] != side[j]
-            if not ok.any():
-                continue
-            bound = x[i] @ x[j].T + np.minimum(above[i][:, None], above[j])
-            bound = np.where(full[i][:, None] | full[j], n[i][:, None], bound)
-            ok &= 7 * bound >= 3 * (n[i][:, None] + n[j])
-            p, q = np.nonzero(ok)
-            out.append(np.stack([order[i[p]], order[j[q]]], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            if ok.any():
+                p, q = np.nonzero(ok & tree[0].near(i, j))
+                yield np.stack([order[i[p]], order[j[q]]], 1)
+
+    if len(n) > 1:
+        yield from search(len(tree) - 1, 0, np.zeros(1, np.int64))
 
 
 def partners(labelled: DataFrame, turn: int) -> DataFrame:
@@ -363,15 +403,22 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
             groups = [np.arange(len(cid))]
         else:
             groups = [row[a:b] for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
-        out = [np.sort(cid[g][overlap_pairs(n[g], v[g], label[g], side[g])], 1) for g in groups]
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        if len(pairs):
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        for g in groups:  # pairs found in several buckets are made one by the caller
+            held: list[np.ndarray] = []
+            for pairs in overlap_pairs(n[g], v[g], label[g], side[g]):
+                held.append(np.sort(cid[g][pairs], 1))
+                if sum(map(len, held)) > PAIRS:
+                    yield given(held)
+                    held = []
+            if held:
+                yield given(held)
+
+    def given(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     spread = cells.repartition(partitions(members.sparkSession), "home", "i", "j").sortWithinPartitions("home", "i", "j")
-    return spread.mapInArrow(joined, "a long, b long").distinct()
+    return map_arrow(spread, joined, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame) -> DataFrame:

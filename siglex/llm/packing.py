@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siglex.llm.arrow_text import map_arrow
 from siglex.llm.scratch import partitions, written
 
 #: Chunks (runs between blanks) and words that a worker remembers the ids of; then it starts anew.
@@ -137,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (part.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select("doc_id", "text"), cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

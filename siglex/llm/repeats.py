@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglex.llm.arrow_text import has_bits, mixed, owner, packed, runs
+from siglex.llm.arrow_text import has_bits, map_arrow, mixed, owner, packed, runs
 from siglex.llm.scratch import bit_table, partitions, written
 
 GRAM = 32
 TABLE_BITS = 26
+HELD = 1 << 26  # bytes of contexts and owners in a run
+PAIRED = 256  # distinct contexts of a gram that are compared two by two; more go by intervals
 #: Fixed value: ends what follows an anchor; UTF-8 never holds this byte, so one order holds for sorting and merging.
 END = b"\xff"
 
@@ -153,30 +155,68 @@ def merge(sources: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int
             node //= 2
 
 
-def repeated_ranges(strings: list[bytes], shared: list[int], befores: list[bytes], counts: list[int], length: int) -> Iterator[tuple[int, int, int]]:
-    """(i, least, most) of the distinct contexts ``i`` of one gram.
+def agreements(shared: np.ndarray) -> np.ndarray:
+    """Common prefix lengths of every two of a sorted list, from those of neighbours; -1 with itself."""
+    m = len(shared)
+    out = np.full((m, m), -1, np.int64)
+    for i in range(m - 1):
+        out[i, i + 1 :] = out[i + 1 :, i] = np.minimum.accumulate(shared[i + 1 :])
+    return out
+
+
+def repeated_ranges(after: np.ndarray, before: np.ndarray, shared: np.ndarray, shared_before: np.ndarray, order: np.ndarray, many: np.ndarray, length: int) -> np.ndarray:
+    """Rows (i, least, most) of the distinct contexts ``i`` of one gram.
 
     Windows that begin ``s`` bytes before the anchor occur twice for every
-    ``least <= s <= most``. ``strings`` are what follows the anchor, ascending,
-    with ``shared`` prefixes; ``befores`` what stands before it, backwards.
+    ``least <= s <= most``. ``after`` and ``before`` are lengths of what stands
+    on both sides, in ascending order of what follows, with ``shared`` prefixes;
+    ``shared_before`` are those in ``order``, the ascending order of what stands
+    before. A context that is there ``many`` times repeats all its windows.
     """
-    m, reach = len(strings), length - GRAM
-    after_len, before_len = np.array([len(s) for s in strings]), np.array([len(b) for b in befores])
-    order = sorted(range(m), key=befores.__getitem__)
-    shared_before = np.array([0] + [common(befores[a], befores[b]) for a, b in zip(order, order[1:], strict=False)])
+    m, reach = len(after), length - GRAM
+    least, most = np.maximum(length - after, 0), np.minimum(before, reach)
+    alone = np.flatnonzero(many & (least <= most))
+    own = np.column_stack([alone, least[alone], most[alone]])
+    if many.all() or m < 2:
+        return own
+    if m == 2:
+        low, high = max(0, length - int(shared[1])), min(reach, int(shared_before[1]))
+        rows = [(i, low, high) for i in (0, 1) if not many[i] and low <= high]
+        return np.concatenate([own, np.array(rows, np.int64).reshape(-1, 3)])
     place = np.empty(m, np.int64)
     place[order] = np.arange(m)
-    shared_after, many = np.array(shared), np.array(counts) > 1
-    ends = np.unique(np.concatenate([[0, reach + 1], shared_before + 1, before_len + 1, length - shared_after, length - after_len]))
+    if m <= PAIRED:
+        low = np.maximum(length - agreements(shared), 0)
+        high = np.minimum(agreements(shared_before)[place][:, place], reach)
+        i, j = np.nonzero((low <= high) & ~many[:, None])
+        width = reach + 3
+        steps = np.bincount(i * width + low[i, j] + 1, minlength=m * width) - np.bincount(i * width + high[i, j] + 2, minlength=m * width)
+        inside = np.cumsum(steps) > 0  # every row of steps sums to none
+        at = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2) + 1
+        return np.concatenate([own, np.column_stack([at[:, 0] // width, at[:, 0] % width - 1, at[:, 1] % width - 2])])
+    ends = np.unique(np.concatenate([[0, reach + 1], shared_before + 1, before + 1, length - shared, length - after]))
     ends = ends[(ends >= 0) & (ends <= reach + 1)]
-    for low, high in zip(ends, ends[1:], strict=False):  # between two ends nothing changes
-        after = np.cumsum(shared_after < length - low)
-        before = np.cumsum(shared_before < low)[place] if low else np.zeros(m, np.int64)
-        key = after * (m + 1) + before
-        fits = (after_len >= length - low) & (before_len >= low)
-        _, back, n = np.unique(np.where(fits, key, -1 - np.arange(m)), return_inverse=True, return_counts=True)
-        for i in np.flatnonzero(fits & ((n[back] > 1) | many)):
-            yield int(i), int(low), int(high - 1)
+    out, since = [own], np.full(m, -1)
+    for low in ends:  # between two ends nothing changes
+        if low <= reach:
+            fits = np.flatnonzero((least <= low) & (low <= most))
+            same_after = np.cumsum(shared < length - low)[fits]
+            same_before = np.cumsum(shared_before < low)[place[fits]] if low else 0
+            key = same_after * (m + 1) + same_before
+            by = np.argsort(key, kind="stable")
+            equal = key[by][1:] == key[by][:-1]
+            twice = np.zeros(len(fits), bool)
+            twice[by[1:]] = equal
+            twice[by[:-1]] |= equal
+            now = np.zeros(m, bool)
+            now[fits[twice]] = True
+            now &= ~many
+        else:
+            now = np.zeros(m, bool)
+        closed = np.flatnonzero((since >= 0) & ~now)
+        out.append(np.column_stack([closed, since[closed], np.full(len(closed), low - 1)]))
+        since = np.where(now, np.where(since < 0, low, since), -1)
+    return np.concatenate(out)
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -194,12 +234,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 own, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    again = keyed.mapInArrow(hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    again = map_arrow(keyed, hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     table = spark.sparkContext.broadcast(bit_table(again, F.col("h"), TABLE_BITS))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(table.value, np.uint8)
-        held: dict[int, list] = {}
+        held: dict[int, dict] = {}
         size = 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -214,15 +254,19 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                     lo, hi = int(starts[r]), int(starts[r + 1])
                     if r not in keys:
                         keys[r] = document_key(ids[first + r], raw[lo:hi])
-                    after, before = raw[a : min(hi, a + length)], raw[max(lo, a - length + GRAM) : a][::-1]
-                    held.setdefault(g % buckets, []).append((after, before, *keys[r], a - lo))
-                    size += len(after) + len(before)
-            if size > 1 << 26:  # a sorted run is sent out and a new one begun
-                yield from sent(held)
-                held, size = {}, 0
+                    context = raw[a : min(hi, a + length)], raw[max(lo, a - length + GRAM) : a][::-1]
+                    of = held.setdefault(g % buckets, {})
+                    if context not in of:
+                        of[context] = []
+                        size += len(context[0]) + len(context[1])
+                    of[context].append((*keys[r], a - lo))
+                    size += 100  # of a Python tuple
+                    if size > HELD:  # a sorted run is sent out and a new one begun
+                        yield from sent(held)
+                        held, size = {}, 0
         yield from sent(held)
 
-    rows = keyed.mapInArrow(contexts, "bucket int, n_after binary, n_before binary, ids binary, shared binary, sizes binary, rest binary")
+    rows = map_arrow(keyed, contexts, "bucket int, n_after binary, n_before binary, n_owners binary, ids binary, shared binary, sizes binary, rest binary")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list] = {}
@@ -236,7 +280,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         if bucket is not None:
             yield from spans_of(own.pop(bucket), length)
 
-    return rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(merged, "d1 long, d2 long, begin long, end long")
+    return map_arrow(rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket"), merged, "d1 long, d2 long, begin long, end long")
 
 
 def document_key(doc_id: object, text: bytes) -> tuple[int, int]:
@@ -245,45 +289,49 @@ def document_key(doc_id: object, text: bytes) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & ((1 << 64) - 1)))
 
 
-def sent(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-    """Sorted, front-coded runs, one row for each bucket."""
-    for bucket, rows in held.items():
-        rows.sort(key=lambda x: x[0] + END + x[1])
-        run = Run.of([after + END + before for after, before, *_ in rows])
-        ids = np.array([x[2:] for x in rows], np.int64)
-        n_after, n_before = (np.array([len(x[k]) for x in rows], np.uint16) for k in (0, 1))
-        cells = [bucket, n_after.tobytes(), n_before.tobytes(), ids.tobytes(), run.shared.tobytes(), run.sizes.tobytes(), run.rest]
-        kinds = [pa.int32(), *[pa.binary()] * 6]
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], ["bucket", "n_after", "n_before", "ids", "shared", "sizes", "rest"])
+def sent(held: dict[int, dict]) -> Iterator[pa.RecordBatch]:
+    """Sorted, front-coded runs of distinct contexts with their owners, one row for each bucket."""
+    for bucket, of in held.items():
+        order = sorted(of, key=lambda c: c[0] + END + c[1])
+        run = Run.of([after + END + before for after, before in order])
+        ids = np.array([owner for c in order for owner in of[c]], np.int64)
+        n_after, n_before = (np.array([len(c[k]) for c in order], np.uint16) for k in (0, 1))
+        n_owners = np.array([len(of[c]) for c in order], np.uint32)
+        cells = [bucket, n_after.tobytes(), n_before.tobytes(), n_owners.tobytes(), ids.tobytes(), run.shared.tobytes(), run.sizes.tobytes(), run.rest]
+        kinds = [pa.int32(), *[pa.binary()] * 7]
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], ["bucket", "n_after", "n_before", "n_owners", "ids", "shared", "sizes", "rest"])
 
 
 def spans_of(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
     """Merge the runs of one bucket and give out the covered spans of its grams."""
-    sources, after_of, before_of, ids_of = [], [], [], []
+    sources, after_of, ids_of, ends_of = [], [], [], []
     for r in rows:
         sources.append(iter(Run(np.frombuffer(r["shared"], np.uint16), np.frombuffer(r["sizes"], np.uint16), r["rest"])))
         after_of.append(np.frombuffer(r["n_after"], np.uint16).tolist())
-        before_of.append(np.frombuffer(r["n_before"], np.uint16).tolist())
         ids_of.append(np.frombuffer(r["ids"], np.int64).reshape(-1, 3))
+        ends_of.append([0, *np.cumsum(np.frombuffer(r["n_owners"], np.uint32)).tolist()])
     nth = [0] * len(sources)
     group: list[tuple] = []  # (after, shared, before) of distinct contexts
-    owners: list[list[tuple[int, int]]] = []
+    owners: list[np.ndarray] = []
+    whose: list[int] = []  # context of each array of owners
     out: list[np.ndarray] = []
 
     def closed() -> None:
         """Spans of the gram whose contexts are in ``group``."""
-        if len(group) > 1 or len(owners[0]) > 1:
-            ranges: dict[int, list] = {}
-            for i, low, high in repeated_ranges([g[0] for g in group], [g[1] for g in group], [g[2] for g in group], [len(o) for o in owners], length):
-                mine = ranges.setdefault(i, [])
-                if mine and mine[-1][1] >= low - 1:
-                    mine[-1][1] = high
-                else:
-                    mine.append([low, high])
-            for i, mine in ranges.items():
-                ids = np.array([ids_of[s][k] for s, k in owners[i]])
-                for low, high in mine:
-                    out.append(np.column_stack([ids[:, :2], ids[:, 2] - high, ids[:, 2] - low + length]))
+        counts = np.bincount(whose, [len(o) for o in owners], len(group)).astype(np.int64)
+        if counts.sum() < 2:
+            return
+        befores = [g[2] for g in group]
+        order = sorted(range(len(group)), key=befores.__getitem__)
+        shared_before = np.array([0] + [common(befores[a], befores[b]) for a, b in zip(order, order[1:], strict=False)])
+        lengths = np.array([(len(g[0]), len(g[2]), g[1]) for g in group])
+        ranges = repeated_ranges(lengths[:, 0], lengths[:, 1], lengths[:, 2], shared_before, np.array(order), counts > 1, length)
+        if not len(ranges):
+            return
+        ids, first, size = np.concatenate(owners), np.cumsum(counts) - counts, counts[ranges[:, 0]]
+        which = np.repeat(np.arange(len(ranges)), size)
+        ids = ids[np.repeat(first[ranges[:, 0]] - np.cumsum(size) + size, size) + np.arange(len(which))]
+        out.append(np.column_stack([ids[:, :2], ids[:, 2] - ranges[which, 2], ids[:, 2] - ranges[which, 1] + length]))
 
     last = b""
     for shared, source, whole in merge(sources):
@@ -293,13 +341,12 @@ def spans_of(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
         after, before = whole[:cut], whole[cut + len(END) :]
         if group and after[:GRAM] != last[:GRAM]:
             closed()
-            group, owners = [], []
+            group, owners, whose = [], [], []
         agree = min(common(group[-1][0], after, min(shared, cut, len(group[-1][0]))), cut) if group else 0
-        if group and group[-1][0] == after and group[-1][2] == before:
-            owners[-1].append((source, k))
-        else:
+        if not (group and agree == len(after) == len(group[-1][0]) and group[-1][2] == before):
             group.append((after, agree, before))
-            owners.append([(source, k)])
+        owners.append(ids_of[source][ends_of[source][k] : ends_of[source][k + 1]])
+        whose.append(len(group) - 1)
         last = after
     if group:
         closed()
@@ -345,8 +392,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             kinds = [*[pa.int64()] * 3, pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(keyed, f"doc_id {kind}, text string, d1 long, d2 long").join(per_document, ["d1", "d2"], "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = map_arrow(docs.select("doc_id", "text"), keyed, f"doc_id {kind}, text string, d1 long, d2 long").join(per_document, ["d1", "d2"], "left")
+    return map_arrow(rows.select("doc_id", "text", "spans"), cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(kept: bytes) -> str:

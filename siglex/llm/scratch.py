@@ -15,15 +15,22 @@ from pyspark.sql import functions as F
 
 #: Bits in one bitmap of Spark's bitmap_construct_agg.
 BITMAP_BITS = 32768
+ROW_GROUP = 32 << 20  # bytes that a task holds before they are written
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``."""
+    """The shared folder named by ``spark.checkpoint.dir``, or a checkpoint folder that was set by hand.
+
+    With neither, only a session on one machine gets a folder of its own; on a
+    cluster that would be unreachable for others, so it is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="siglex-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -31,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/siglex-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siglex.llm.arrow_text import runs
+from siglex.llm.arrow_text import map_arrow, runs
 
 #: The base patterns (all characters are ASCII, so they run on UTF-8 bytes), least lengths, order.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -165,7 +165,7 @@ def find_secrets(docs: DataFrame, scan: SecretScan | None = None) -> DataFrame:
             )
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(scanned, schema)
+    return map_arrow(docs.select("doc_id", "text"), scanned, schema)
 
 
 def _row(text: bytes, base: list, every: list) -> tuple[int, int, int, str, str]:

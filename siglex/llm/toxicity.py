@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siglex.llm.arrow_text import LOWER, distinct, owner, packed, runs
+from siglex.llm.arrow_text import LOWER, distinct, map_arrow, owner, packed, runs
 
 GRAMS = (3, 4, 5, 6)
 BITS = 21
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, featur
 
     schema = "y int, block int, counts binary"
     seen, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in sample.mapInArrow(counted, schema).groupBy("y", "block").applyInArrow(summed, schema).collect():
+    for r in map_arrow(sample, counted, schema).groupBy("y", "block").applyInArrow(summed, schema).collect():
         own = np.frombuffer(r.counts, np.int32)
         if r.block < 0:
             n[r.y] = own[0]
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, featur
                 out += [own[cut[i] : cut[i + 1]].astype(np.int16).tobytes() for i in range(len(starts) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["y", "own"])
 
-    rows = sample.mapInArrow(extracted, "y int, own binary").collect()  # at most 2 * rows_per_class rows of 2 * features bytes
+    rows = map_arrow(sample, extracted, "y int, own binary").collect()  # at most 2 * rows_per_class rows of 2 * features bytes
     own = [np.frombuffer(r.own, np.int16).astype(np.int64) for r in rows]
     y = np.array([r.y for r in rows], float)
     scale = np.concatenate([[0.0], ratio[best]])
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(s + m.bias, -40, 40))))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
+    return map_arrow(docs.select("doc_id", "text"), scored, f"doc_id {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000) -> DataFrame:
@@ -225,4 +225,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, rows_per_class: int = 40
                 keep[first : first + len(starts) - 1] = np.bincount(row, m.weight[f], len(starts) - 1) + m.bias < 0
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return map_arrow(docs, kept, docs.schema)

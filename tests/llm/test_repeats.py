@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,11 +74,11 @@ def test_a_cut_copy_beside_longer_ones_of_other_tasks(seed):
     texts = [[before + passage + end for before, end in part] for part in ([("x", ""), ("zy", tail)], [("q", tail)])]
     rows, raws = [], [t.encode() for part in texts for t in part]
     for part in texts:
-        held = []
+        held = {}
         for t in part:
             raw = t.encode()
             a = raw.index(passage.encode()[80:])
-            held.append((raw[a : a + LENGTH], raw[max(0, a - LENGTH + repeats.GRAM) : a][::-1], raws.index(raw), 0, a))
+            held.setdefault((raw[a : a + LENGTH], raw[max(0, a - LENGTH + repeats.GRAM) : a][::-1]), []).append((raws.index(raw), 0, a))
         rows += [row for batch in repeats.sent({0: held}) for row in batch.to_pylist()]
     got = {(s["d1"], s["begin"], s["end"]) for batch in repeats.spans_of(rows, LENGTH) for s in batch.to_pylist()}
     for i, raw in enumerate(raws):
@@ -86,3 +87,51 @@ def test_a_cut_copy_beside_longer_ones_of_other_tasks(seed):
             windows = [p for p in range(max(0, a - LENGTH + repeats.GRAM), a + 1) if p + LENGTH <= len(raw)]
             many = {p for p in windows if sum(raw[p : p + LENGTH] in x for x in raws) > 1}
             assert many == {p for p in windows if any(d == i and b <= p and p + LENGTH <= e for d, b, e in got)}
+
+
+def test_both_ways_of_comparing_contexts_agree(monkeypatch):
+    for seed in range(30):
+        r = random.Random(seed)
+        some = lambda: "".join(r.choices("ab", (9, 1), k=r.randint(0, LENGTH))).encode()
+        contexts = sorted({(b"x" * repeats.GRAM + some()[: LENGTH - repeats.GRAM], some()[: LENGTH - repeats.GRAM]) for _ in range(r.randint(1, 40))}, key=lambda c: c[0] + repeats.END + c[1])
+        order = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
+        near = lambda x: np.array([0] + [repeats.common(a, b) for a, b in zip(x, x[1:], strict=False)])
+        given = (np.array([len(a) for a, _ in contexts]), np.array([len(b) for _, b in contexts]), near([a for a, _ in contexts]), near([contexts[i][1] for i in order]), np.array(order))
+        many = np.array([r.random() < 0.2 for _ in contexts])
+        marks = []
+        for paired in (0, 256):
+            monkeypatch.setattr(repeats, "PAIRED", paired)
+            rows = repeats.repeated_ranges(*given, many, LENGTH).tolist()
+            marks.append({(i, s) for i, low, high in rows for s in range(low, high + 1)})
+        brute = {
+            (i, s) for i, (a, b) in enumerate(contexts) for s in range(LENGTH - repeats.GRAM + 1) if len(a) >= LENGTH - s and len(b) >= s
+            and (many[i] or any(j != i and x[: LENGTH - s] == a[: LENGTH - s] and len(x) >= LENGTH - s and y[:s] == b[:s] and len(y) >= s for j, (x, y) in enumerate(contexts)))
+        }
+        assert marks[0] == marks[1] == brute
+
+
+def long_corpus(seed):
+    """Passages of 400 bytes and more at starts, middles and ends of texts, with NUL bytes, cut copies and a periodic text."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefghé\0", k=r.randint(1, 9)))
+    passages = [" ".join(word() for _ in range(r.randint(90, 160))) for _ in range(5)]
+    texts = [None, "", "z" * 3000, "ab" * 900]
+    for _ in range(120):
+        p = r.choice(passages)
+        cut = p[r.randint(0, 30) : len(p) - r.randint(0, 60)]
+        texts.append(r.choice(["", word(), word() + " " + word()]) + cut + r.choice(["", "\n" + word(), word()]))
+    return texts + texts[4:14]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 7])
+def test_whole_length_over_several_tasks(spark, parts):
+    texts = long_corpus(parts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs, 400).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 400)
+
+
+def test_repeated_rows_null_ids_and_a_long_periodic_text(spark):
+    rows = [(None, "q" * 60), (None, "q" * 60), (7, "w" * 60), (7, "w" * 60), (8, "k" * 300_000)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), LENGTH).collect())
+    assert got == [(0, 60, 60), (0, 60, 60), (7, 60, 60), (7, 60, 60), (8, 300_000, 300_000)]

@@ -24,6 +24,7 @@ from siglex.llm import boosting, dom
 from siglex.llm.arrow_text import map_arrow
 
 SAMPLE_PAGES, LAYOUTS = 200, 4
+SHORT = 0.25  # share of the layouts whose article is cut to a few words
 #: Markup that hides tags, and a start tag that the parser marks (comments and scripts aside).
 HIDDEN = (
     r"(?is)<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|"
@@ -91,7 +92,10 @@ def layouts(page: str, seed: int, n: int) -> Iterator[str]:
 
     for _ in range(n):
         own = []
-        for tag, text in article:
+        shown = article
+        if r.random() < SHORT:  # articles of a few words are articles too
+            shown = [(tag, " ".join(text.split()[: r.randint(1, 4)])) for tag, text in article[: r.randint(1, 3)]]
+        for tag, text in shown:
             kind = tag if tag in KEPT_TAGS else "p"
             own.append(f"<{kind} data-kept>{escape(text)}</{kind}>")
             if r.random() < 0.08:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,4 +83,17 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
         now = conf.get(name, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= bound:
             conf.set(name, str(bound))
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        given_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def given_back() -> None:
+    """Memory that a finished task no longer needs goes back to the system, as Spark keeps its Python workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -26,7 +26,7 @@ from siglex.llm.arrow_text import map_arrow
 from siglex.llm.scratch import partitions, written
 
 #: Chunks (runs between blanks) and words that a worker remembers the ids of; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 LONGEST_REMEMBERED = 40
 
 #: Characters on which Python's and the tokeniser's letters, digits and lower case agree: printable ASCII and Latin-1 letters.

@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siglex.llm.arrow_text import LOWER, distinct, map_arrow, owner, packed, runs
+from siglex.llm.scratch import written
 
 GRAMS = (3, 4, 5, 6)
 BITS = 21
 BLOCK = 1 << 15
+SAMPLE_TASKS = 12  # the sample is bounded; each task counts it in arrays of fixed size
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int) ->
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text"), counts
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text")
+    return written(rows.repartition(SAMPLE_TASKS), "toxicity-sample"), counts
 
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, features: int = 4096) -> Model:
@@ -212,7 +215,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000) ->
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below 0.5."""
+    """The rows of ``docs``, all columns, whose text scores below 0.5.
+
+    Null and empty texts have the score of the bias alone. Equal texts, repeated
+    rows among them, stay or go together; null ids count like others. An empty
+    table gives an empty result; without labels of both classes the score is the
+    share of label 1, so all rows stay unless most labels are toxic.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows_per_class))
     at = docs.columns.index("text")
 

@@ -3,7 +3,8 @@
 Three fixed patterns give the base spans. Beside them, candidate strings (long
 runs of token characters) are searched by character class with a window whose
 Shannon entropy is kept up by incremental counts; windows above the class's
-threshold join into spans, unless an allow-list pattern covers them.
+threshold join into spans, unless an allow-list pattern covers them. Entropy
+spans are found in their own right, also where a base span stands.
 """
 
 from __future__ import annotations
@@ -128,8 +129,7 @@ def scan_text(text: bytes, hexes: list[tuple[int, int]], candidates: list[tuple[
         base += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_CHARS]
     if b"AKIA" in text:
         base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_CHARS]
-    more = [x for a, b in candidates for x in _extra(text, a, b, scan, allowed)]
-    return base, base + [x for x in more if not any(a <= x[0] and x[1] <= b for a, b, _ in base)]
+    return base, base + [x for a, b in candidates for x in _extra(text, a, b, scan, allowed)]
 
 
 def find_secrets(docs: DataFrame, scan: SecretScan | None = None) -> DataFrame:

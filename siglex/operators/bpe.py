@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siglex.sources.shared import written
+
 Merges = list[tuple[int, int]]
 #: Pairs of a round that reach the driver; those beyond only bound how many merges a round may take.
 HEAD = 4096
@@ -66,19 +68,42 @@ def merged(seq: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
     return out[keep]
 
 
+NEVER = np.iinfo(np.int64).max
+
+
 def apply_merges(seq: np.ndarray, merges: Merges, base: int, first: int = 0) -> np.ndarray:
-    """All merges in rank order; only pairs that can occur are tried."""
-    for k, (left, right) in enumerate(merges):
-        if len(seq) < 2:
+    """All merges in rank order, negative values as separators.
+
+    A place whose pair ranks before both overlapping ones is merged before
+    them in any case, so all such places go at once; runs of one pair (a, a)
+    merge every second place from the left. Passes end where no pair is known.
+    """
+    if not merges:
+        return seq
+    pairs = np.array(merges, np.int64)
+    keys = (pairs[:, 0] << 32) | pairs[:, 1]
+    order = np.argsort(keys)
+    keys = keys[order]
+    while len(seq) > 1:
+        key = np.where((seq[:-1] < 0) | (seq[1:] < 0), -1, (seq[:-1] << 32) | seq[1:])
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        rank = np.where(keys[place] == key, order[place], NEVER)
+        starts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+        own = rank[starts]
+        beside = np.concatenate([[NEVER], own, [NEVER]])
+        least = (own < beside[:-2]) & (own < beside[2:])
+        if not least.any():
             break
-        seq = merged(seq, left, right, base + first + k)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rank))))
+        at = np.flatnonzero(least[run] & ((np.arange(len(rank)) - starts[run]) % 2 == 0))
+        seq = seq.copy()
+        seq[at] = base + first + rank[at]
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        seq = seq[keep]
     return seq
 
 
-def _batch_merged(flat: np.ndarray, merges: Merges, base: int, first: int) -> np.ndarray:
-    return apply_merges(flat, merges, base, first)
-
-
 def tokenise(seqs: DataFrame, merges: Merges, base: int, first: int = 0, column: str = "toks") -> DataFrame:
     """``toks`` merged; all sequences of a batch are joined with separators and merged at once."""
     at = seqs.columns.index(column)
@@ -91,7 +116,7 @@ def tokenise(seqs: DataFrame, merges: Merges, base: int, first: int = 0, column:
             flat = np.asarray(col.values)[offsets[0] : offsets[-1]].astype(np.int64)
             offsets = offsets - offsets[0]
             joined = np.insert(flat, offsets[1:], -1)  # a separator after every sequence
-            out = _batch_merged(joined, merges, base, first)
+            out = apply_merges(joined, merges, base, first)
             ends = np.flatnonzero(out == -1)
             new = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(new), pa.array(out[out != -1].astype(np.int32)))
@@ -101,22 +126,6 @@ def tokenise(seqs: DataFrame, merges: Merges, base: int, first: int = 0, column:
     return seqs.mapInArrow(run, schema)
 
 
-def _array_pairs(seqs: DataFrame) -> DataFrame:
-    """Pair counts of arrays, counted by batch and summed by Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = batch.column(0)
-            offsets = np.asarray(col.offsets)
-            flat = np.asarray(col.values)[offsets[0] : offsets[-1]].astype(np.int64)
-            joined = np.insert(flat, offsets[1:] - offsets[0], -1)
-            inside = (joined[:-1] >= 0) & (joined[1:] >= 0)
-            key, n = np.unique((joined[:-1][inside] << 32) | joined[1:][inside], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["l", "r", "n"])
-
-    return seqs.select("toks").mapInArrow(run, "l int, r int, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
-
-
 def accepted(head: list[tuple[int, int, int]], floor: int, limit: int, relaxed: bool = False) -> Merges:
     """Merges of one round, from pairs (l, r, n) by (-n, l, r); counts beyond the head are ``floor`` at most.
 
@@ -146,42 +155,106 @@ def accepted(head: list[tuple[int, int, int]], floor: int, limit: int, relaxed:
     return out
 
 
-def train(seqs: DataFrame, base: int, vocabulary: int, relaxed: int = 0, rounds_between_cuts: int = 8, progress: list | None = None) -> Merges:
+def _stepped(seqs: DataFrame, new: Merges, base: int, first: int) -> DataFrame:
+    """Rows of sequences after ``new`` merges (toks) and, beside them, pair counts of each batch (l, r, n): one pass, one table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(0)
+            offsets = np.asarray(col.offsets)
+            flat = np.asarray(col.values)[offsets[0] : offsets[-1]].astype(np.int64)
+            out = apply_merges(np.insert(flat, offsets[1:] - offsets[0], -1), new, base, first)
+            ends = np.flatnonzero(out == -1)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)), pa.array(out[out != -1].astype(np.int32)))
+            inside = (out[:-1] >= 0) & (out[1:] >= 0)
+            key, n = np.unique((out[:-1][inside] << 32) | out[1:][inside], return_counts=True)
+            rows, pairs = len(lists), len(key)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([lists, pa.nulls(pairs, lists.type)]),
+                    *(pa.concat_arrays([pa.nulls(rows, x.type), x]) for x in (pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64)))),
+                ],
+                ["toks", "l", "r", "n"],
+            )
+
+    return seqs.select("toks").mapInArrow(run, "toks array<int>, l int, r int, n long")
+
+
+def train(seqs: DataFrame, base: int, vocabulary: int, relaxed: int = 0, selection: str = "greedy", progress: list | None = None) -> Merges:
     """Merges up to ``vocabulary`` ids by greedy counts; ties by (l, r). Stops where no pair occurs twice.
 
-    ``relaxed`` > 0 takes up to so many merges a round, an approximation for
-    large vocabularies. Lineage is cut by reliable checkpoints.
+    Each round writes the merged sequences and their pair counts as one table
+    of the shared folder. ``relaxed`` > 0 takes up to so many merges a round, an
+    approximation for large vocabularies. ``selection="lazy_heap"`` takes one
+    merge a round, and a pair of base ids only while all of its first
+    occurrences are still there. ``progress`` receives rows (step, l, r, new_id,
+    pair_count, total_tokens after the round).
     """
+    if selection not in ("greedy", "lazy_heap"):
+        raise ValueError(f"unknown selection {selection!r}")
     merges: Merges = []
-    _checkpoint_dir(seqs.sparkSession)
-    current = seqs.select("toks").checkpoint()
-    rounds = 0
+    table = written(_stepped(seqs, [], base, 0), "merge-round")
+    whole = None
     while base + len(merges) < vocabulary:
-        top = _array_pairs(current).orderBy(F.desc("n"), "l", "r").limit(HEAD).collect()
-        head = [(r.l, r.r, r.n) for r in top if r.n > 1]
+        counts = table.where("l is not null").groupBy("l", "r").agg(F.sum("n").alias("n"))
+        if selection == "lazy_heap":
+            whole = written(counts, "first-pairs") if whole is None else whole
+            there = counts.join(F.broadcast(whole.withColumnRenamed("n", "n_first")), ["l", "r"], "left")  # at most base squared pairs
+            counts = there.where((F.col("l") >= base) | (F.col("r") >= base) | (F.col("n") == F.col("n_first"))).drop("n_first")
+        top = counts.orderBy(F.desc("n"), "l", "r").limit(HEAD).collect()
+        head = [(x.l, x.r, x.n) for x in top if x.n > 1]
         if not head:
             break
         floor = head[-1][2] if len(top) == HEAD else 0
-        limit = vocabulary - base - len(merges)
+        limit = 1 if selection == "lazy_heap" else vocabulary - base - len(merges)
         new = accepted(head, floor, min(limit, relaxed) if relaxed else limit, bool(relaxed))
+        table = written(_stepped(table.where("toks is not null"), new, base, len(merges)), "merge-round")
         if progress is not None:
-            counts = {(l, r): n for l, r, n in head}
-            progress += [(len(merges) + k, *pair, base + len(merges) + k, counts[pair]) for k, pair in enumerate(new)]
-        current = tokenise(current, new, base, len(merges))
+            n_of = {(l, r): n for l, r, n in head}
+            total = table.where("toks is not null").agg(F.sum(F.size("toks"))).first()[0]
+            progress += [(len(merges) + k, *pair, base + len(merges) + k, n_of[pair], total) for k, pair in enumerate(new)]
         merges += new
-        rounds += 1
-        if rounds % rounds_between_cuts == 0:
-            current = current.checkpoint()
     return merges
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's folder; one of our own only where none is set."""
-    import tempfile
+def best_by(tokens: DataFrame, key: list[str], by: list[str], new: int) -> tuple[DataFrame, DataFrame]:
+    """One round for several vocabularies side by side: (best pair of each, tokens with it applied)."""
+    best = written(best_pairs(pair_counts(tokens, key, by).where("n > 1"), by).withColumn("new_id", F.lit(new)), "best-pairs")
+    return best, applied_by(tokens, key, by, best)
+
 
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siglex-"))
+def applied_by(tokens: DataFrame, key: list[str], by: list[str], pairs: DataFrame) -> DataFrame:
+    """Tokens with one pair (by, l, r, new_id) merged for each vocabulary; rows without a pair stay."""
+    w = Window.partitionBy(*key).orderBy("pos")
+    t = tokens.join(F.broadcast(pairs.select(*by, F.col("l").alias("_l"), F.col("r").alias("_r"), F.col("new_id").alias("_new"))), by, "left")  # one row a vocabulary
+    t = t.withColumn("_next", F.lead("tok").over(w)).withColumn("_g", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*key, "tok").orderBy("pos")))
+    t = t.withColumn("_k", F.row_number().over(Window.partitionBy(*key, "tok", "_g").orderBy("pos")))
+    hit = F.coalesce((F.col("tok") == F.col("_l")) & (F.col("_next") == F.col("_r")) & ((F.col("_l") != F.col("_r")) | (F.col("_k") % 2 == 1)), F.lit(False))
+    t = t.withColumn("_hit", hit).withColumn("_gone", F.coalesce(F.lag("_hit").over(w), F.lit(False))).where("not _gone")
+    return t.withColumn("tok", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("tok"))).withColumn("pos", (F.row_number().over(w) - 1).cast("int")).select(*tokens.columns)
+
+
+def train_by(tokens: DataFrame, key: list[str], by: list[str], base: int, merges: int) -> tuple[DataFrame, DataFrame]:
+    """(by, rank, l, r, n, new_id) of ``merges`` merges for each vocabulary, and the tokens after them; all advance in one round."""
+    table = None
+    for k in range(merges):
+        best, tokens = best_by(tokens, key, by, base + k)
+        tokens = written(tokens, "by-round")
+        best = best.withColumn("rank", F.lit(k))
+        table = best if table is None else table.unionByName(best)
+    return table, tokens
+
+
+def train_discriminative(tokens: DataFrame, key: list[str], label: str, base: int, merges: int, alpha: float, top_k: int) -> DataFrame:
+    """(rank, l, r, n, score): each round merges the best scored of the ``top_k`` most frequent pairs."""
+    table = None
+    for k in range(merges):
+        scored = discriminative_pairs(tokens, key, label, alpha, top_k).withColumn("score", F.round("score", 9))
+        best = written(scored.orderBy(F.desc("score"), F.desc("n"), "l", "r").limit(1).select(F.lit(k).alias("rank"), "l", "r", "n", "score"), "best-pair")
+        table = best if table is None else table.unionByName(best)
+        one = best.select("l", "r", F.lit(base + k).alias("new_id"), F.lit(1).alias("_one"))
+        tokens = written(applied_by(tokens.withColumn("_one", F.lit(1)), key, ["_one"], one).drop("_one"), "by-round")
+    return table
 
 
 def best_pairs(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -230,3 +303,54 @@ def flat_view(seqs: DataFrame, key: list[str], order: str, budget: int, separato
     rows = cut.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, "toks"))).alias("parts"))
     joined = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p["toks"]).otherwise(F.concat(F.array(F.lit(separator)), p["toks"]))))
     return rows.select(*key, F.slice(F.concat(joined, F.array_repeat(F.lit(padding), length)), 1, length).alias("flat"))
+
+
+def prefix(merges: Merges, base: int, vocabulary: int) -> Merges:
+    """The merges of a smaller vocabulary: train once, cut often."""
+    return merges[: max(0, vocabulary - base)]
+
+
+def subsample(seqs: DataFrame, key: list[str], cap: int, seed: int = 42) -> DataFrame:
+    """As many sequences as keep about ``cap`` tokens: n * cap / total of them, by a hash of the key; all if they fit."""
+    size = seqs.agg(F.count("*").alias("n"), F.sum(F.size("toks")).alias("total")).first()
+    if not size.total or size.total <= cap:
+        return seqs
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)).cast("binary"))
+    return seqs.orderBy(order, *key).limit(max(1, size.n * cap // size.total))
+
+
+def first_of_each(seqs: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """At most ``n`` sequences of each data set."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return seqs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def save_vocabulary(spark: SparkSession, merges: Merges, base: int, path: str) -> None:
+    merge_table(spark, merges, base).withColumn("base", F.lit(base)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[Merges, int]:
+    """(merges, base); a vocabulary is as long as its merges, which the driver holds in any case."""
+    rows = spark.read.schema("rank int, l int, r int, new_id int, base int").json(path).orderBy("rank").collect()
+    return [(x.l, x.r) for x in rows], (rows[0].base if rows else 0)
+
+
+def two_level(seqs: DataFrame, base: int, first: int, second: int) -> tuple[Merges, Merges, DataFrame]:
+    """Merges of level one (up to ``first`` ids), of level two over its tokens (up to ``second``), and the level-two sequences."""
+    one = train(seqs, base, first)
+    level = written(tokenise(seqs, one, base), "level-one")
+    two = train(level, base + len(one), second)
+    return one, two, tokenise(level, two, base + len(one))
+
+
+def channel_view(seqs: DataFrame, key: list[str], column: str, length: int, padding: int) -> DataFrame:
+    """Each channel's sequence cut or padded to ``length``, and which places hold a token."""
+    full = F.slice(F.concat(column, F.array_repeat(F.lit(padding), length)), 1, length)
+    return seqs.select(*key, full.alias("toks"), F.least(F.size(column), F.lit(length)).alias("n_tokens"))
+
+
+def component_view(seqs: DataFrame, key: list[str], order: str, separator: int, padding: int, length: int) -> DataFrame:
+    """Sequences of a key joined in order, a separator after each, padded or cut to ``length``."""
+    rows = seqs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, "toks"))).alias("parts"))
+    joined = F.flatten(F.transform("parts", lambda p: F.concat(p["toks"], F.array(F.lit(separator)))))
+    return rows.select(*key, F.slice(F.concat(joined, F.array_repeat(F.lit(padding), length)), 1, length).alias("flat"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +35,19 @@ NORMALISERS = {
 }
 
 
-def adaptive_edges(normalised: DataFrame, bins: int, exact_rows: int | None = None) -> DataFrame:
-    """One row: edges at equal shares of ``z``, ties joined. Give ``exact_rows`` to approximate above that many rows."""
+def adaptive_edges(normalised: DataFrame, bins: int, method: str = "exact") -> DataFrame:
+    """One row: edges at equal shares of ``z``, ties joined.
+
+    ``exact`` counts distinct values first; ``sketch`` is Spark's approximate
+    percentile with a rank error of one in a million, in bounded memory.
+    """
     shares = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    if exact_rows is not None and normalised.count() > exact_rows:
+    if method == "sketch":
         return normalised.agg(F.percentile_approx("z", shares, 1_000_000).alias("edges")).select(F.array_distinct("edges").alias("edges"))
-    each = normalised.agg(F.percentile("z", shares).alias("edges"))
+    if method != "exact":
+        raise ValueError(f"unknown method {method!r}")
+    counts = normalised.groupBy("z").agg(F.count("*").alias("n"))
+    each = counts.agg(F.percentile("z", shares, F.col("n")).alias("edges"))
     return each.select(F.array_distinct(F.transform("edges", lambda e: F.round(e, 9))).alias("edges"))
 
 
@@ -73,6 +81,33 @@ def quality(decoded: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def quality_grid(normalised: DataFrame, methods: tuple[str, ...], bin_counts: tuple[int, ...]) -> DataFrame:
+    """``quality`` of every method and number of bins, each sample read once and exploded to the grid."""
+    parts = []
+    for method in methods:
+        for bins in bin_counts:
+            coded = quantise(normalised, method, bins)
+            parts.append(dequantise(coded, method, bins).select(F.lit(method).alias("method"), F.lit(bins).alias("n_bins"), "z", "z_hat"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return quality(out, ["method", "n_bins"])
+
+
+def denormalise(decoded: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``x_hat`` in the units of ``x``: the z-norm of ``by`` undone."""
+    w = Window.partitionBy(*(by or ROW))
+    return decoded.withColumn("x_hat", F.col("z_hat") * F.greatest(F.stddev_pop("x").over(w), F.lit(S.EPS)) + F.avg("x").over(w))
+
+
+def quantise_range(samples: DataFrame, bins: int) -> DataFrame:
+    """``code`` by uniform bins between the least and greatest ``x`` of the data."""
+    ends = samples.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    low, high = F.col("low"), F.col("high")
+    code = F.floor((F.col("x") - low) / (high - low + F.lit(S.STEP)) * bins)
+    return samples.join(F.broadcast(ends)).withColumn("code", F.least(F.greatest(code, F.lit(0)), F.lit(bins - 1)).cast("int")).drop("low", "high")  # one row
+
+
 def delta(samples: DataFrame) -> DataFrame:
     w = Window.partitionBy(*ROW).orderBy("t")
     return samples.withColumn("dx", F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0)))
@@ -164,12 +199,204 @@ def hjorth(samples: DataFrame) -> DataFrame:
 
 
 def class_covariance(samples: DataFrame) -> DataFrame:
-    """Channel covariance sums of each label: a self join of aligned samples, summed map-side."""
-    a = samples.select("subject", "trial", "t", "label", F.col("channel").alias("c1"), F.col("x").alias("x1"))
-    b = samples.select("subject", "trial", "t", F.col("channel").alias("c2"), F.col("x").alias("x2"))
-    return a.join(b, ["subject", "trial", "t"]).where("c1 <= c2").groupBy("label", "c1", "c2").agg(F.covar_pop("x1", "x2").alias("cov"), F.count("*").alias("n"))
+    """Channel covariances of each label: the channels of a time step meet once, their pairs are summed map-side."""
+    steps = samples.groupBy("subject", "trial", "t", "label").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("c"))
+    pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b["channel"] >= a["channel"]), lambda b: F.struct(a["channel"].alias("c1"), b["channel"].alias("c2"), a["x"].alias("x1"), b["x"].alias("x2")))))
+    return steps.select("label", F.inline(pairs)).groupBy("label", "c1", "c2").agg(F.covar_pop("x1", "x2").alias("cov"), F.count("*").alias("n"))
 
 
 def spatial_filter(samples: DataFrame, filters: DataFrame) -> DataFrame:
     """Components: sum of weight * x over channels, for filters (component, channel, w), a table of channels squared rows."""
     return samples.join(F.broadcast(filters), "channel").groupBy("subject", "trial", "component", "t", "label").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+
+
+def time_chunks(samples: DataFrame, seconds: int) -> DataFrame:
+    """``chunk``: number of the span of ``seconds`` since the epoch that holds ``ts``; short spans stay."""
+    return samples.withColumn("chunk", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(seconds * 1_000_000)))
+
+
+def relayout(trials: DataFrame, column: str, shape: tuple[int, int, int]) -> DataFrame:
+    """Trials (key columns, repetition, channel, t, x) of an array laid out as channel, time, repetition."""
+    channels, times, repetitions = shape
+    rows = trials.select(*[c for c in trials.columns if c != column], F.posexplode(column).alias("i", "x"))
+    return rows.select(
+        *[c for c in trials.columns if c != column], (F.col("i") % repetitions).alias("repetition"), F.floor(F.col("i") / (times * repetitions)).cast("int").alias("channel"),
+        (F.floor(F.col("i") / repetitions) % times).cast("int").alias("t"), F.col("x").cast("double").alias("x"),
+    ).where(F.col("channel") < channels)
+
+
+def select_channels(samples: DataFrame, prefix: str | None = None, without: str | None = None, first: int | None = None) -> DataFrame:
+    """Channels that start with ``prefix``, do not start with ``without``, and of those the ``first`` by name."""
+    out = samples
+    if prefix is not None:
+        out = out.where(F.col("channel").startswith(prefix))
+    if without is not None:
+        out = out.where(~F.col("channel").startswith(without))
+    if first is not None:
+        out = out.join(F.broadcast(out.select("channel").distinct().orderBy("channel").limit(first)), "channel", "left_semi")
+    return out
+
+
+def common_channels(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(channel, place) of the channels of ``one`` that ``other`` has too, in the order of ``one`` (channel, place)."""
+    return one.join(other.select("channel").distinct(), "channel", "left_semi")
+
+
+def rate_check(samples: DataFrame, rate: float, seconds: float) -> DataFrame:
+    """(row key, n, expected, ok): a row holds round(rate * seconds) + 1 samples, one more or less."""
+    expected = int(rate * seconds + 0.5) + 1
+    return samples.groupBy(*ROW).agg(F.count("*").alias("n")).select(*ROW, "n", F.lit(expected).alias("expected"), (F.abs(F.col("n") - expected) <= 1).alias("ok"))
+
+
+def arrays(samples: DataFrame, key: list[str], value: str = "x") -> DataFrame:
+    """One row for each key, its values by t as an array ``x``."""
+    return samples.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", value))), lambda s: s[value]).alias("x"))
+
+
+def assembled(samples: DataFrame, channels: list[str]) -> DataFrame:
+    """(subject, trial, channel, x): every trial has all ``channels``, all arrays the longest length; gaps are zero."""
+    rows = arrays(samples, ROW)
+    longest = rows.agg(F.max(F.size("x")).alias("longest"))
+    grid = samples.select("subject", "trial").distinct().withColumn("channel", F.explode(F.array(*map(F.lit, channels))))
+    padded_x = F.concat(F.coalesce("x", F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), F.col("longest") - F.coalesce(F.size("x"), F.lit(0))))
+    return grid.join(rows, ROW, "left").join(F.broadcast(longest)).select(*ROW, padded_x.alias("x"))  # one row
+
+
+def truncated(samples: DataFrame) -> DataFrame:
+    """Samples below the length of the shortest row."""
+    least = samples.groupBy(*ROW).agg(F.count("*").alias("n")).agg(F.min("n").alias("shortest"))
+    return samples.join(F.broadcast(least)).where(F.col("t") < F.col("shortest")).drop("shortest")  # one row
+
+
+def budgeted(samples: DataFrame, budget: int) -> DataFrame:
+    """Samples within an equal share of ``budget`` for each subject, channels in order, the last one cut."""
+    subjects = samples.select("subject").distinct().agg(F.count("*").alias("k"))
+    sizes = samples.groupBy(*ROW).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("subject").orderBy("channel", "trial").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+    share = F.floor(F.lit(budget) / F.col("k"))
+    return samples.join(before, ROW).join(F.broadcast(subjects)).where(F.col("before") + F.col("t") < share).drop("before", "k")  # one row
+
+
+def lowpass_kernel(cut: float, rate: float, taps: int) -> list[float]:
+    """Windowed-sinc low-pass of odd length, Hamming window, sum one."""
+    half, f = taps // 2, min(cut / rate, 0.499)
+    h = [(2 * f if k == 0 else math.sin(2 * math.pi * f * k) / (math.pi * k)) * (0.54 + 0.46 * math.cos(math.pi * k / half)) for k in range(-half, half + 1)]
+    return [v / sum(h) for v in h]
+
+
+def bandpass_kernel(low: float, high: float, rate: float, taps: int) -> list[float]:
+    """Difference of two low-passes, clamped below half the rate."""
+    high = min(high, 0.499 * rate)
+    return [a - b for a, b in zip(lowpass_kernel(high, rate, taps), lowpass_kernel(low, rate, taps), strict=True)]
+
+
+def notch_kernel(low: float, high: float, rate: float, taps: int) -> list[float]:
+    """All but a band."""
+    return [(k == taps // 2) - v for k, v in enumerate(bandpass_kernel(low, high, rate, taps))]
+
+
+def convolved(samples: DataFrame, kernel: list[float]) -> DataFrame:
+    """``x`` filtered by an odd, centred kernel within its row; nothing stands beyond the ends. One sort, no join."""
+    half, w = len(kernel) // 2, Window.partitionBy(*ROW).orderBy("t")
+    terms = [F.coalesce(F.lag("x", k).over(w), F.lit(0.0)) * F.lit(h) for k, h in zip(range(-half, half + 1), kernel, strict=True)]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return samples.withColumn("x", total)
+
+
+def cleaned(samples: DataFrame, rate: float, low: float = 0.5, high: float = 45.0, notches: tuple[float, ...] = (50.0, 60.0), taps: int = 33) -> DataFrame:
+    """Band-pass, then a notch of two Hz at each mains frequency below half the rate."""
+    out = convolved(samples, bandpass_kernel(low, high, rate, taps))
+    for hz in notches:
+        if hz + 1 < rate / 2:
+            out = convolved(out, notch_kernel(hz - 1, hz + 1, rate, taps))
+    return out
+
+
+def downsample(samples: DataFrame, factor: int, taps: int = 33) -> DataFrame:
+    """Low-pass below the new half rate, then every ``factor``-th sample."""
+    return decimate(convolved(samples, lowpass_kernel(0.5 / factor, 1.0, taps)), factor)
+
+
+def resample_weights(n: int, m: int) -> list[list[float]]:
+    """Weights (m rows of n) of a Fourier resampling from ``n`` to ``m`` samples: a cut or zero-filled spectrum, turned back."""
+    k = min(n, m)
+    x = np.fft.rfft(np.eye(n), axis=1)
+    y = np.zeros((n, m // 2 + 1), complex)
+    y[:, : k // 2 + 1] = x[:, : k // 2 + 1]
+    if k % 2 == 0 and n != m:
+        y[:, k // 2] *= 2.0 if m < n else 0.5
+    return (np.fft.irfft(y, m, axis=1) * (m / n)).T.tolist()
+
+
+def resampled(rows: DataFrame, n: int, m: int) -> DataFrame:
+    """Arrays ``x`` of ``n`` samples as arrays of ``m``, by the weights of a Fourier resampling."""
+    weights = F.array(*(F.array(*map(F.lit, w)) for w in resample_weights(n, m)))
+    dot = lambda w: F.aggregate(F.zip_with("x", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.where(F.size("x") == n).withColumn("x", F.transform(weights, dot))
+
+
+def psd(samples: DataFrame, size: int, rate: float) -> DataFrame:
+    """(row key, bin, hz, density): one-sided power density by Welch's method, half overlap, constant detrend."""
+    energy = sum((0.5 - 0.5 * math.cos(2 * math.pi * k / size)) ** 2 for k in range(size))
+    power = dft_power(frames(samples, size, size // 2), size, detrend=True).groupBy(*ROW, "bin").agg(F.avg("power").alias("p"))
+    both = F.when((F.col("bin") > 0) & (F.col("bin") < size // 2), 2.0).otherwise(1.0)
+    return power.select(*ROW, "bin", (F.col("bin") * (rate / size)).alias("hz"), (F.col("p") * size * both / (rate * energy)).alias("density"))
+
+
+def band_power(density: DataFrame, key: list[str], bands: dict[str, tuple[float, float]], step: float) -> DataFrame:
+    """(key, band, power): sum of densities with low <= hz <= high, times the step of frequencies; 0 without a bin."""
+    table = F.array(*(F.struct(F.lit(n).alias("band"), F.lit(a).alias("low"), F.lit(b).alias("high")) for n, (a, b) in bands.items()))
+    rows = density.withColumn("b", F.explode(table))
+    inside = (F.col("hz") >= F.col("b.low")) & (F.col("hz") <= F.col("b.high"))
+    return rows.groupBy(*key, F.col("b.band").alias("band")).agg((F.sum(F.when(inside, F.col("density")).otherwise(0.0)) * step).alias("power"))
+
+
+def spectral_vectors(samples: DataFrame, size: int, hop: int) -> DataFrame:
+    """(row key, frame, bin, z): log power of each frame, z-scored over its bins."""
+    power = dft_power(frames(samples, size, hop), size).withColumn("v", F.log1p("power"))
+    w = Window.partitionBy(*ROW, "frame")
+    return power.select(*ROW, "frame", "bin", ((F.col("v") - F.avg("v").over(w)) / F.greatest(F.stddev_pop("v").over(w), F.lit(S.EPS))).alias("z"))
+
+
+def spectral_flat(samples: DataFrame, size: int, hop: int) -> DataFrame:
+    """(row key, x): log powers of all frames, by frame and bin, as one array."""
+    power = dft_power(frames(samples, size, hop), size)
+    return power.groupBy(*ROW).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "bin", F.log1p("power").alias("v")))), lambda s: s["v"]).alias("x"))
+
+
+def frame_size(n_times: int, wanted: int) -> int:
+    """A frame is a quarter of a row at most."""
+    return max(2, min(wanted, n_times // 4))
+
+
+def fft_log_power(samples: DataFrame, n: int, rate: float, low: float, high: float) -> DataFrame:
+    """(row key, bin, log_power) of rows of ``n`` samples as one Hann frame, for low <= hz <= high."""
+    hz = F.col("bin") * (rate / n)
+    return dft_power(frames(samples, n, n), n).where((hz >= low) & (hz <= high)).select(*ROW, "bin", F.log1p("power").alias("log_power"))
+
+
+def described(before: DataFrame, after: DataFrame, rate_before: float, rate_after: float) -> DataFrame:
+    """Rows, samples, longest row in seconds and range of ``x`` before and after preprocessing."""
+    def one(s: DataFrame, name: str, rate: float) -> DataFrame:
+        n = s.groupBy(*ROW).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        return n.agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_samples"), (F.max("n") / rate).alias("seconds"), F.min("low").alias("low"), F.max("high").alias("high")).select(F.lit(name).alias("stage"), "*")
+
+    return one(before, "before", rate_before).unionByName(one(after, "after", rate_after))
+
+
+#: The band in Hz that an envelope takes for each paradigm; others fall back to the raw signal.
+PARADIGM_BANDS = {"motor": (8.0, 30.0), "sleep": (0.5, 16.0), "workload": (4.0, 13.0)}
+APPROACHES = {
+    "raw": lambda s, rate, band: s,
+    "delta": lambda s, rate, band: delta(s).withColumn("x", F.col("dx")).drop("dx"),
+    "band": lambda s, rate, band: convolved(s, bandpass_kernel(*band, rate, 17)) if band else s,
+    "block_mean": lambda s, rate, band: block_mean(s, 4),
+}
+
+
+def preprocessed(samples: DataFrame, approach: str, paradigm: str, rate: float) -> DataFrame:
+    """Samples by a named approach; bands come from the paradigm, and without one the signal stays raw."""
+    return APPROACHES[approach](samples, rate, PARADIGM_BANDS.get(paradigm))

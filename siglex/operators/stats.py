@@ -72,13 +72,20 @@ def heaps(tokens: DataFrame, unit: str) -> DataFrame:
 
 
 def jaccard(tokens: DataFrame, source: str) -> DataFrame:
-    """(a, b, shared, jaccard) of the token sets of sources."""
-    own = tokens.select(F.col(source).alias("s"), "tok").distinct()
-    sizes = own.groupBy("s").agg(F.count("*").alias("n"))
-    both = own.alias("x").join(own.alias("y"), F.col("x.tok") == F.col("y.tok")).where("x.s < y.s").groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("shared"))
-    return both.join(sizes.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b").select(
-        "a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")
-    )
+    """(a, b, shared, jaccard, specific_a, specific_b) of every two sources, those that share nothing too.
+
+    A token's sources meet in one row, so pairs are formed within it: sources
+    are few, tokens many. Specific tokens are of one source only.
+    """
+    own = tokens.groupBy("tok").agg(F.array_sort(F.collect_set(source)).alias("s"))  # no more than there are sources
+    sizes = own.select(F.explode("s").alias("s"), (F.size("s") == 1).alias("only")).groupBy("s").agg(F.count("*").alias("n"), F.count_if("only").alias("specific"))
+    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    both = own.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    names = sizes.agg(F.array_sort(F.collect_list("s")).alias("s"))  # one row, a name each
+    grid = names.select(F.inline(pairs))
+    end = lambda side: sizes.select(F.col("s").alias(side), F.col("n").alias(f"n_{side}"), F.col("specific").alias(f"specific_{side}"))
+    rows = grid.join(both, ["a", "b"], "left").join(end("a"), "a").join(end("b"), "b").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return rows.select("a", "b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"), "specific_a", "specific_b")
 
 
 def average_rank(column: str, by: list[str] | None = None) -> Column:
@@ -118,10 +125,22 @@ def bootstrap(values: DataFrame, column: str, replicates: int, alpha: float = 0.
 
 
 def leave_one_out(subjects: DataFrame) -> DataFrame:
-    """(fold, subject, part) with every subject as the test part once, by number of subject."""
+    """(fold, subject): every subject is the test part of one fold; all others are its training part (an anti join)."""
     s = subjects.select("subject").distinct()
-    folds = s.withColumn("fold", (F.row_number().over(Window.orderBy("subject")) - 1).cast("int"))
-    return folds.select("fold", F.col("subject").alias("held")).join(s).select("fold", "subject", F.when(F.col("subject") == F.col("held"), "test").otherwise("train").alias("part"))
+    return s.withColumn("fold", (F.row_number().over(Window.orderBy("subject")) - 1).cast("int")).select("fold", "subject")  # one row for each subject
+
+
+def split(rows: DataFrame, folds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of one fold: all but the subjects of the fold, and those."""
+    held = folds.where(F.col("fold") == fold).select("subject")
+    return rows.join(held, "subject", "left_anti"), rows.join(held, "subject", "left_semi")
+
+
+def split_sizes(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, subject, n_test, n_train) of every subject that is held out."""
+    n = rows.groupBy("subject").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    return folds.join(n, "subject").join(F.broadcast(total)).select("fold", "subject", F.col("n").alias("n_test"), (F.col("total") - F.col("n")).alias("n_train"))  # one row
 
 
 def group_folds(subjects: DataFrame, k: int, seed: int) -> DataFrame:
@@ -172,3 +191,144 @@ def elbow(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def best_of(results: DataFrame, by: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc(value), *[c for c in results.columns if c not in (*by, value)])
     return results.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def artifact_tokens(vocabulary: DataFrame, base: int, share: float = 0.95) -> DataFrame:
+    """(token, distance) of ids whose base codes reach further from the centre than the ``share`` percentile of all non-zero distances."""
+    centre = F.lit((base - 1) / 2)
+    far = vocabulary.select("token", F.array_max(F.transform("base_seq", lambda c: F.abs(c - centre))).alias("distance"))
+    cut = far.where("distance > 0").agg(F.percentile("distance", F.lit(share)).alias("cut"))
+    return far.join(F.broadcast(cut)).where("distance > cut").select("token", "distance")  # one row
+
+
+def masked(hist: DataFrame, key: list[str], tokens: DataFrame) -> DataFrame:
+    """A histogram without ``tokens``, its shares summing to one again."""
+    left = hist.join(F.broadcast(tokens.select("token")), "token", "left_anti")  # ids of one vocabulary
+    return left.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*key)))
+
+
+def power_law_ks(counts: DataFrame) -> DataFrame:
+    """Greatest distance between the cumulative shares of counts by rank and those of the fitted power law (ranks of one vocabulary)."""
+    fit = zipf(counts)
+    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token"))).join(F.broadcast(fit))  # one row
+    law = ranked.withColumn("p", F.pow("rank", F.col("slope")))
+    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy()
+    return law.select((F.sum("n").over(w) / F.sum("n").over(every)).alias("seen"), (F.sum("p").over(w) / F.sum("p").over(every)).alias("fitted")).agg(F.max(F.abs(F.col("seen") - F.col("fitted"))).alias("ks"), F.count("*").alias("n_ranks"))
+
+
+def bonferroni(tests: DataFrame, rho: str, n: str, by: list[str] | None = None) -> DataFrame:
+    """``t`` of each rank correlation, its two-sided p by the normal law, and p times the number of tests, at most 1."""
+    t = F.col(rho) * F.sqrt((F.col(n) - 2) / F.greatest(1 - F.col(rho) * F.col(rho), F.lit(1e-12)))
+    p = 2 * normal_tail(F.abs("t"))
+    return tests.withColumn("t", t).withColumn("p", p).withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p") * F.count("*").over(Window.partitionBy(*(by or [])))))
+
+
+def normal_tail(z: Column) -> Column:
+    """Upper tail of the normal law by a rational approximation, right to 1e-7."""
+    k = 1 / (1 + 0.2316419 * z)
+    b = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+    series = sum((c * F.pow(k, F.lit(i + 1)) for i, c in enumerate(b)), F.lit(0.0))
+    return F.exp(-z * z / 2) / 2.5066282746310002 * series
+
+
+def permutation_test(rows: DataFrame, x: str, y: str, id_column: str, permutations: int, seed: int = 42) -> DataFrame:
+    """(observed, p) of the correlation of two columns against shuffles of ``y`` by a hash of row and shuffle."""
+    observed = rows.agg(F.corr(x, y).alias("observed"))
+    reps = rows.select(id_column, x, y, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(id_column).cast("string")).cast("binary"))
+    one = reps.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(id_column)))
+    two = reps.select("rep", y, F.row_number().over(Window.partitionBy("rep").orderBy(order, id_column)).alias("i"))
+    each = one.drop(y).join(two, ["rep", "i"]).groupBy("rep").agg(F.corr(x, y).alias("rho"))
+    return each.join(F.broadcast(observed)).agg(F.first("observed").alias("observed"), ((F.count_if(F.abs("rho") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))  # one row
+
+
+def compared_pairs(values: DataFrame, group: list[str], unit: str, method: str, value: str) -> DataFrame:
+    """(group, method1, method2, n, diff, cohens_dz, place) of every two methods over the units both have, ranked by effect."""
+    rows = values.groupBy(*group, unit).agg(F.array_sort(F.collect_list(F.struct(F.col(method).alias("m"), F.col(value).alias("v")))).alias("a"))  # one entry a method
+    pairs = F.flatten(F.transform("a", lambda x: F.transform(F.filter("a", lambda y: y["m"] > x["m"]), lambda y: F.struct(x["m"].alias("method1"), y["m"].alias("method2"), (x["v"] - y["v"]).alias("d")))))
+    out = rows.select(*group, F.inline(pairs)).groupBy(*group, "method1", "method2").agg(F.count("*").alias("n"), F.avg("d").alias("diff"), F.coalesce(F.avg("d") / F.nullif(F.stddev_samp("d"), F.lit(0.0)), F.lit(0.0)).alias("cohens_dz"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.round(F.abs("cohens_dz"), 9)), "method1", "method2")))
+
+
+def auc(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Area under the curve of rows (by, hit, score), by average ranks; 0.5 without both kinds."""
+    ranked = scores.withColumn("_r", average_rank("score", by))
+    out = ranked.groupBy(*by).agg(F.sum(F.when(F.col("hit"), F.col("_r")).otherwise(0.0)).alias("r"), F.count_if("hit").alias("p"), F.count("*").alias("n"))
+    return out.select(*by, F.coalesce((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0)), F.lit(0.5)).alias("auc"))
+
+
+def confusion(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, y, p, n): how often each class was given for each."""
+    return predictions.groupBy(*by, "y", "p").agg(F.count("*").alias("n"))
+
+
+def seed_summary(folds: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Mean and deviation of each measure over folds, a 95 % interval of its mean by the normal law, and the number of folds."""
+    out = []
+    for v in values:
+        half = 1.96 * F.coalesce(F.stddev_samp(v), F.lit(0.0)) / F.sqrt(F.count(v))
+        out += [F.avg(v).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_std"), (F.avg(v) - half).alias(f"{v}_ci_low"), (F.avg(v) + half).alias(f"{v}_ci_high")]
+    return folds.groupBy(*key).agg(*out, F.count("*").alias("n_folds"))
+
+
+def compression(sequences: DataFrame, tokens: DataFrame, key: list[str], rate: float) -> DataFrame:
+    """Mean codes for each token over rows, and a token's mean length in milliseconds."""
+    n = sequences.select(*key, F.size("toks").alias("n_codes")).join(tokens.select(*key, F.size("toks").alias("n_tokens")), key)
+    return n.agg(F.avg(F.col("n_codes") / F.col("n_tokens")).alias("ratio"), (F.avg(F.col("n_codes") / F.col("n_tokens")) * (1000 / rate)).alias("token_ms"))
+
+
+def stratified_subsample(rows: DataFrame, label: str, key: str, cap: int) -> DataFrame:
+    """At most about ``cap`` rows with the labels' shares kept, at least one of each, by a hash of the key."""
+    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_size"))
+    total = sizes.agg(F.sum("_size").alias("_total"))
+    quota = sizes.join(F.broadcast(total)).select(label, F.greatest(F.lit(1), F.floor(F.col("_size") * F.lit(cap) / F.col("_total"))).alias("_quota"))  # one row
+    return rows.withColumn("_n", F.row_number().over(w)).join(F.broadcast(quota), label).where("_n <= _quota").drop("_n", "_quota")  # one row a label
+
+
+def go_no_go(results: DataFrame, value: str, threshold: float = 0.70) -> DataFrame:
+    """Whether the best result passes."""
+    return results.agg(F.max(value).alias("best")).withColumn("decision", F.when(F.col("best") > threshold, "GO").otherwise("NO-GO"))
+
+
+def quality_gates(quality: DataFrame, bins: int = 256, good: float = 20.0, bad: float = 15.0) -> DataFrame:
+    """``gate`` of each method at ``bins``: pass above ``good`` dB, fail below ``bad``."""
+    return quality.where(F.col("n_bins") == bins).withColumn("gate", F.when(F.col("sqnr_db") > good, "pass").when(F.col("sqnr_db") < bad, "fail").otherwise("warn"))
+
+
+def grouped_folds(trials: DataFrame, k: int) -> DataFrame:
+    """(subject, fold): subjects largest first, each to the fold whose label counts it evens out most.
+
+    Only the table of subjects and labels reaches the driver, never a trial.
+    """
+    counts = trials.groupBy("subject", "label").count().collect()
+    labels = sorted({c.label for c in counts})
+    of: dict[object, list[int]] = {}
+    for c in counts:
+        of.setdefault(c.subject, [0] * len(labels))[labels.index(c.label)] = c["count"]
+    total = [sum(v[i] for v in of.values()) or 1 for i in range(len(labels))]
+    folds, place = [[0] * len(labels) for _ in range(k)], []
+    for subject, own in sorted(of.items(), key=lambda x: (-sum(x[1]), str(x[0]))):
+        def spread(f: int, own: list[int] = own) -> tuple[float, int, int]:
+            shares = [[(n + (own[i] if g == f else 0)) / total[i] for i, n in enumerate(fold)] for g, fold in enumerate(folds)]
+            mean = [sum(s[i] for s in shares) / k for i in range(len(labels))]
+            return sum((s[i] - mean[i]) ** 2 for s in shares for i in range(len(labels))), sum(folds[f]), f
+
+        best = min(range(k), key=spread)
+        folds[best] = [a + b for a, b in zip(folds[best], own, strict=True)]
+        place.append((subject, best))
+    return trials.sparkSession.createDataFrame(place, f"subject {trials.schema['subject'].dataType.simpleString()}, fold int")
+
+
+def concatenated(hist: DataFrame, bigrams: DataFrame, key: list[str]) -> DataFrame:
+    """(key, tokens, bigrams): two feature sets of each row side by side, as sparse lists of (feature, share)."""
+    one = hist.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("token", "share"))).alias("tokens"))
+    two = bigrams.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("l", "r", "share"))).alias("bigrams"))
+    return one.join(two, key, "left").withColumn("bigrams", F.coalesce("bigrams", F.array().cast(two.schema["bigrams"].dataType)))
+
+
+def mean_compression(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Mean length of sequences before merging over that after it."""
+    n = lambda s: s.agg(F.avg(F.size("toks")).alias("n"))
+    return n(before).join(F.broadcast(n(after).withColumnRenamed("n", "m"))).select((F.col("n") / F.col("m")).alias("compression"))  # one row each

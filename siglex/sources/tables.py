@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,19 +54,57 @@ def lineitem_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def doc_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, subject, trial, chars) of the documents that have text."""
+    d = table(spark, sf_dir, "documents").where("text is not null and text <> ''")
+    return d.select(F.col("lang").alias("dataset"), F.col("source").alias("subject"), F.col("doc_id").alias("trial"), F.filter(F.split("text", ""), lambda c: c != "").alias("chars"))
+
+
+def char_counts(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
+    """(by, tok, n): how often each character occurs, counted before any code is given."""
+    rows = doc_chars(spark, sf_dir).select(*by, F.explode("chars").alias("ch")).groupBy(*by, "ch").agg(F.count("*").alias("n"))
+    codes = alphabet(rows)
+    return rows.join(F.broadcast(codes), "ch").select(*by, "tok", "n")  # no more rows than Unicode has characters
+
+
+def alphabet(chars: DataFrame) -> DataFrame:
+    """(ch, tok): ranks of the distinct characters by their UTF-8 bytes; at most as many as Unicode has."""
+    return chars.select("ch").distinct().withColumn("tok", (F.row_number().over(Window.orderBy(F.encode("ch", "UTF-8"))) - 1).cast("int"))
+
+
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of documents as codes: (dataset, subject, trial, pos, tok); codes are ranks of distinct characters."""
-    d = table(spark, sf_dir, "documents").where("text is not null and text <> ''")
-    chars = d.select(F.col("lang").alias("dataset"), F.col("source").alias("subject"), F.col("doc_id").alias("trial"), F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
-    alphabet = chars.select("ch").distinct()
-    codes = alphabet.withColumn("tok", (F.row_number().over(Window.orderBy(F.encode("ch", "UTF-8"))) - 1).cast("int"))  # as many rows as there are characters
-    return chars.join(codes, "ch").select("dataset", "subject", "trial", "pos", "tok")
+    d = doc_chars(spark, sf_dir)
+    codes = alphabet(d.select(F.explode(F.array_distinct("chars")).alias("ch")))
+    return d.select("dataset", "subject", "trial", F.posexplode("chars").alias("pos", "ch")).join(F.broadcast(codes), "ch").select("dataset", "subject", "trial", "pos", "tok")
+
+
+#: Data sets by name.
+LOADERS = {"events_signal": events_signal, "events_trials": events_trials, "embed_trials": embed_trials, "lineitem_multi": lineitem_multi}
+#: Rate, classes, paradigm and validation of each data set.
+REGISTRY = (
+    ("events_signal", 1.0, 5, "workload", "kfold"), ("events_trials", 1.0, 5, "workload", "kfold"),
+    ("embed_trials", 64.0, 10, "motor", "loso"), ("lineitem_multi", 1.0, 3, "sleep", "kfold"),
+)
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """(dataset, rate, n_classes, paradigm, validation)."""
+    return spark.createDataFrame(REGISTRY, "dataset string, rate double, n_classes int, paradigm string, validation string")
+
+
+def load_dataset(spark: SparkSession, sf_dir: str, name: str, subjects: list | None = None, max_subjects: int | None = None) -> DataFrame:
+    """The samples of a named data set, of the given subjects, or of the first ``max_subjects``."""
+    samples = LOADERS[name](spark, sf_dir)
+    if subjects is not None:
+        samples = samples.where(F.col("subject").isin(subjects))
+    return samples if max_subjects is None else first_subjects(samples, max_subjects)
 
 
 def first_subjects(samples: DataFrame, n: int) -> DataFrame:
     """Only the ``n`` least subjects."""
     few = samples.select("subject").distinct().orderBy("subject").limit(n)
-    return samples.join(few, "subject", "left_semi")
+    return samples.join(F.broadcast(few), "subject", "left_semi")  # n rows
 
 
 def load_summary(samples: DataFrame) -> DataFrame:
@@ -103,3 +146,47 @@ def latest_results(df: DataFrame, key: list[str], at: str) -> DataFrame:
 def pending(grid: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Configurations without a result."""
     return grid.join(done, key, "left_anti")
+
+
+def grouped_names(df: DataFrame, column: str, classes: dict[str, str]) -> DataFrame:
+    """``df`` with ``stage``: several names of ``column`` stand for one class; rows without a class go."""
+    names = F.create_map(*(F.lit(v) for pair in classes.items() for v in pair))
+    return df.withColumn("stage", names[F.col(column)]).where("stage is not null")
+
+
+def save_csv(path: str, *parts: DataFrame) -> None:
+    """Result tables under the union of their columns, as CSV with a header."""
+    union_results(*parts).write.mode("overwrite").option("header", True).csv(path)
+
+
+def load_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def save_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def config_hash(*columns: str) -> Column:
+    """A digest of a configuration; equal ones share it."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+
+
+def logged(results: DataFrame, experiment: str, config: list[str]) -> DataFrame:
+    """Results with the name of the experiment, the digest of their configuration and the time of the run."""
+    return results.withColumn("experiment", F.lit(experiment)).withColumn("config", config_hash(*config)).withColumn("logged_at", F.current_timestamp())
+
+
+def materialised(spark: SparkSession, folder: str, params: dict[str, object], made: Callable[[], DataFrame]) -> DataFrame:
+    """``made()`` as a table named by the digest of its parameters; built once, read ever after."""
+    name = hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()
+    path = f"{folder}/features-{name}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        made().write.parquet(path)
+        return spark.read.parquet(path)

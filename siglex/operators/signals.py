@@ -354,6 +354,14 @@ def band_power(density: DataFrame, key: list[str], bands: dict[str, tuple[float,
     return rows.groupBy(*key, F.col("b.band").alias("band")).agg((F.sum(F.when(inside, F.col("density")).otherwise(0.0)) * step).alias("power"))
 
 
+def band_distortion(decoded: DataFrame, size: int, rate: float, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """(band, distortion_pct): mean over rows of the relative change of band power between ``z`` and ``z_hat``."""
+    power = lambda c, name: band_power(psd(decoded.withColumn("x", F.col(c)), size, rate), ROW, bands, rate / size).withColumnRenamed("power", name)
+    both = power("z", "before").join(power("z_hat", "after"), [*ROW, "band"])
+    change = F.when(F.col("before") > 0, F.abs(F.col("before") - F.col("after")) / F.col("before") * 100).otherwise(0.0)
+    return both.groupBy("band").agg(F.avg(change).alias("distortion_pct"))
+
+
 def spectral_vectors(samples: DataFrame, size: int, hop: int) -> DataFrame:
     """(row key, frame, bin, z): log power of each frame, z-scored over its bins."""
     power = dft_power(frames(samples, size, hop), size).withColumn("v", F.log1p("power"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,10 +110,11 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("z", (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
 
 
-def holm(tests: DataFrame, p: str) -> DataFrame:
-    """``p`` times the number of tests not yet passed, at most 1."""
-    n = F.count("*").over(Window.partitionBy())
-    return tests.withColumn("p_holm", F.least(F.lit(1.0), F.col(p) * (n - F.row_number().over(Window.orderBy(p)) + 1)))
+def holm(tests: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
+    """``p`` times the number of tests of its family not yet passed, at most 1."""
+    of = Window.partitionBy(*(by or []))  # a family of tests, never data rows
+    first = F.rank().over(of.orderBy(F.round(p, 12)))
+    return tests.withColumn("p_holm", F.least(F.lit(1.0), F.col(p) * (F.count("*").over(of) - first + 1)))
 
 
 def bootstrap(values: DataFrame, column: str, replicates: int, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -332,3 +335,50 @@ def mean_compression(before: DataFrame, after: DataFrame) -> DataFrame:
     """Mean length of sequences before merging over that after it."""
     n = lambda s: s.agg(F.avg(F.size("toks")).alias("n"))
     return n(before).join(F.broadcast(n(after).withColumnRenamed("n", "m"))).select((F.col("n") / F.col("m")).alias("compression"))  # one row each
+
+
+def bootstrap_ci(values: DataFrame, by: list[str], column: str, replicates: int, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(by, mean, low, high): draws of n with replacement by a seeded hash, for the results of one configuration (folds by seeds)."""
+    sets = values.groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("a"))
+    reps = sets.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    mean = F.aggregate(F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: F.get("a", (drawn(i) % F.size("a")).cast("int"))), F.lit(0.0), lambda s, v: s + v) / F.size("a")
+    each = reps.select(*by, "a", mean.alias("m")).groupBy(*by).agg(F.first("a").alias("a"), F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    return each.select(*by, (F.aggregate("a", F.lit(0.0), lambda s, v: s + v) / F.size("a")).alias("mean"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def paired_tests(results: DataFrame, group: list[str], unit: list[str], method: str, value: str, least: int = 5) -> DataFrame:
+    """Signed-rank test of every two methods of a group over common units (``least`` or more), with Holm's p."""
+    rows = results.groupBy(*group, *unit).agg(F.array_sort(F.collect_list(F.struct(F.col(method).alias("m"), F.col(value).alias("v")))).alias("a"))  # one entry a method
+    pairs = F.flatten(F.transform("a", lambda x: F.transform(F.filter("a", lambda y: y["m"] > x["m"]), lambda y: F.struct(x["m"].alias("method1"), y["m"].alias("method2"), F.round(x["v"] - y["v"], 9).alias("d")))))
+    tests = wilcoxon(rows.select(*group, F.inline(pairs)), [*group, "method1", "method2"]).where(F.col("n") >= least)
+    return holm(tests.withColumn("p", 2 * normal_tail(F.abs("z"))), "p", group)
+
+
+def token_spectra(vocabulary: DataFrame, base: int, rate: float, low: float, high: float, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """Of every merged token's waveform (bin midpoints on low..high, mean removed): dominant Hz, spectral entropy, share of power in each band."""
+    step = (high - low) / base
+    x = F.transform("base_seq", lambda c: F.lit(low) + (c + 0.5) * step)
+    waves = vocabulary.where("base_len > 1").select("token", F.col("base_len").alias("n"), x.alias("x"))
+    waves = waves.withColumn("m", F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.col("n"))
+    bins = waves.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("n") / 2)).cast("int"))))
+    part = lambda f: F.aggregate(F.zip_with("x", F.sequence(F.lit(0), F.col("n") - 1), lambda v, t: (v - F.col("m")) * f(2 * math.pi * F.col("k") * t / F.col("n"))), F.lit(0.0), lambda s, v: s + v)
+    power = bins.select("token", "k", "n", (F.pow(part(F.cos), F.lit(2)) + F.pow(part(F.sin), F.lit(2))).alias("p")).withColumn("hz", F.col("k") * rate / F.col("n"))
+    total = F.sum("p").over(Window.partitionBy("token"))
+    share = power.withColumn("q", F.coalesce(F.col("p") / F.nullif(total, F.lit(0.0)), F.lit(0.0)))
+    entropy = F.sum(F.when(F.col("q") > 0, -F.col("q") * F.log2("q")).otherwise(0.0))
+    return share.groupBy("token").agg(
+        F.max_by("hz", F.struct(F.round("p", 9), -F.col("k"))).alias("dominant_hz"), entropy.alias("entropy"),
+        *(F.sum(F.when((F.col("hz") >= a) & (F.col("hz") <= b), F.col("q")).otherwise(0.0)).alias(name) for name, (a, b) in bands.items()),
+    )
+
+
+def token_shapes(vocabulary: DataFrame) -> DataFrame:
+    """(token, length, mean, std, activity, mobility) of every token's base codes."""
+    a = F.col("base_seq")
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    variance = lambda x: F.when(F.size(x) > 0, mean(F.transform(x, lambda v: F.pow(v - mean(x), F.lit(2))))).otherwise(0.0)
+    steps = F.zip_with(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: (x - y).cast("double"))
+    return vocabulary.select("token", F.col("base_len").alias("length"), mean(F.transform(a, lambda v: v.cast("double"))).alias("mean"), variance(F.transform(a, lambda v: v.cast("double"))).alias("activity"), variance(steps).alias("step_variance")).select(
+        "token", "length", "mean", F.sqrt("activity").alias("std"), "activity", F.when(F.col("activity") > 0, F.sqrt(F.col("step_variance") / F.col("activity"))).otherwise(0.0).alias("mobility")
+    )

@@ -76,7 +76,7 @@ def dequantise(coded: DataFrame, method: str, bins: int) -> DataFrame:
 def quality(decoded: DataFrame, by: list[str]) -> DataFrame:
     """mse, rmse, sqnr_db and correlation of ``z_hat``."""
     error = F.pow(F.col("z") - F.col("z_hat"), 2)
-    return decoded.groupBy(*by).agg(F.avg(error).alias("mse"), F.avg(F.pow("z", F.lit(2))).alias("power"), F.corr("z", "z_hat").alias("pearson")).select(
+    return decoded.groupBy(*by).agg(F.avg(error).alias("mse"), F.avg(F.pow("z", F.lit(2))).alias("power"), S.correlation("z", "z_hat").alias("pearson")).select(
         *by, "mse", F.sqrt("mse").alias("rmse"), (10 * F.log10(F.col("power") / F.greatest("mse", F.lit(1e-20)))).alias("sqnr_db"), "pearson"
     )
 

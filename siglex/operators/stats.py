@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siglex.functions import scalar as S
+
 
 def histogram(tokens: DataFrame, key: list[str]) -> DataFrame:
     """(key, token, n, share): counts by key, shares sum to one."""
@@ -99,7 +101,7 @@ def average_rank(column: str, by: list[str] | None = None) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     ranked = df.withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
-    return ranked.groupBy(*(by or [])).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*(by or [])).agg(S.correlation("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
 def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -237,12 +239,12 @@ def normal_tail(z: Column) -> Column:
 
 def permutation_test(rows: DataFrame, x: str, y: str, id_column: str, permutations: int, seed: int = 42) -> DataFrame:
     """(observed, p) of the correlation of two columns against shuffles of ``y`` by a hash of row and shuffle."""
-    observed = rows.agg(F.corr(x, y).alias("observed"))
+    observed = rows.agg(S.correlation(x, y).alias("observed"))
     reps = rows.select(id_column, x, y, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(id_column).cast("string")).cast("binary"))
     one = reps.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(id_column)))
     two = reps.select("rep", y, F.row_number().over(Window.partitionBy("rep").orderBy(order, id_column)).alias("i"))
-    each = one.drop(y).join(two, ["rep", "i"]).groupBy("rep").agg(F.corr(x, y).alias("rho"))
+    each = one.drop(y).join(two, ["rep", "i"]).groupBy("rep").agg(S.correlation(x, y).alias("rho"))
     return each.join(F.broadcast(observed)).agg(F.first("observed").alias("observed"), ((F.count_if(F.abs("rho") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))  # one row
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -78,16 +79,30 @@ class Discriminant:
 
 def discriminant(train: DataFrame, ridge: float = 1e-3) -> Discriminant:
     """Class means and pooled covariance by one aggregation (sums of features and of their products)."""
-    rows = train.select("label", vector_to_array("features").alias("x"))
-    n = rows.select(F.size("x").alias("n")).first().n
-    products = rows.select("label", "x", F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b))).alias("xx"))
-    sums = products.groupBy("label").agg(F.count("*").alias("n"), *(F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(n)), *(F.sum(F.col("xx")[i]).alias(f"p{i}") for i in range(n * n))).orderBy("label").collect()  # a row a class
-    counts = np.array([r["n"] for r in sums], float)
-    mean = np.array([[r[f"x{i}"] for i in range(n)] for r in sums]) / counts[:, None]
-    second = sum(np.array([r[f"p{i}"] for i in range(n * n)]).reshape(n, n) for r in sums)
-    pooled = (second - sum(c * np.outer(m, m) for c, m in zip(counts, mean, strict=True))) / max(1.0, counts.sum() - len(sums))
+    rows = train.select(F.col("label").cast("long").alias("label"), vector_to_array("features").alias("x"))
+    first = rows.select(F.size("x").alias("n")).first()
+    if first is None:
+        raise ValueError("no rows to fit on")
+    n = first.n
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, x = batch.column(0).to_numpy(), np.asarray(batch.column(1).flatten()).reshape(-1, n)
+            for c in np.unique(y):
+                own = x[y == c]
+                values = np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), c)), pa.array(np.arange(len(values))), pa.array(values)], ["label", "i", "v"])
+
+    sums: dict[int, np.ndarray] = {}
+    for r in rows.mapInArrow(moments, "label long, i long, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect():  # classes times squared features
+        sums.setdefault(r.label, np.zeros(1 + n + n * n))[r.i] = r.v
+    labels = sorted(sums)
+    counts = np.array([sums[c][0] for c in labels])
+    mean = np.array([sums[c][1 : n + 1] for c in labels]) / counts[:, None]
+    second = sum(sums[c][n + 1 :].reshape(n, n) for c in labels)
+    pooled = (second - sum(c * np.outer(m, m) for c, m in zip(counts, mean, strict=True))) / max(1.0, counts.sum() - len(labels))
     weights = np.linalg.solve(pooled + ridge * np.trace(pooled) / n * np.eye(n) + 1e-12 * np.eye(n), mean.T).T
-    return Discriminant(np.array([r["label"] for r in sums]), weights, -0.5 * (weights * mean).sum(1) + np.log(counts / counts.sum()))
+    return Discriminant(np.array(labels), weights, -0.5 * (weights * mean).sum(1) + np.log(counts / counts.sum()))
 
 
 def spatial_filters(samples: DataFrame, components: int) -> DataFrame:

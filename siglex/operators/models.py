@@ -59,21 +59,37 @@ def codes(rows: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, KMeansMod
     return model.transform(rows), model
 
 
-def envelope(samples: DataFrame, rate: float, low: float, high: float) -> DataFrame:
-    """Amplitude of the analytic signal within [low, high] Hz of every row, by FFT in Arrow batches."""
+def multiband_envelope(samples: DataFrame, rate: float, bands: dict[str, tuple[float, float]], factor: int = 1) -> DataFrame:
+    """Amplitude of the analytic signal of every row within each band, as channels ``channel:band``, every ``factor``-th sample.
+
+    Rows of a batch that are equally long go through one FFT as a matrix.
+    """
     rows = samples.groupBy("subject", "trial", "channel", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(4).to_pylist():
-                x = np.array(x, float)
-                spectrum = np.fft.fft(x - x.mean())
-                hz = np.fft.fftfreq(len(x), 1 / rate)
-                out.append(np.abs(np.fft.ifft(np.where((hz >= low) & (hz <= high), 2 * spectrum, 0))).tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, pa.list_(pa.float64()))], batch.schema.names)
-
-    return rows.mapInArrow(run, rows.schema)
+            column = batch.column(4)
+            sizes, flat = column.value_lengths().to_numpy(), np.asarray(column.flatten(), float)
+            ends = np.cumsum(sizes)
+            for n in np.unique(sizes[sizes > 0]):
+                own = np.flatnonzero(sizes == n)
+                x = flat[(ends[own] - n)[:, None] + np.arange(n)]
+                spectrum, hz = np.fft.fft(x - x.mean(1, keepdims=True), axis=1), np.fft.fftfreq(n, 1 / rate)
+                part = batch.take(pa.array(own))
+                for name, (low, high) in bands.items():
+                    y = np.abs(np.fft.ifft(np.where((hz >= low) & (hz <= high) & (hz > 0), 2 * spectrum, 0), axis=1))[:, ::factor]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array([name] * len(own)), lists], [*batch.schema.names[:4], "band", "x"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:4]) + ", band string, x array<double>"
+    out = rows.mapInArrow(run, schema)
+    return out.select("subject", "trial", F.concat_ws(":", "channel", "band").alias("channel"), "label", F.posexplode("x").alias("t", "x"))
+
+
+def envelope(samples: DataFrame, rate: float, low: float, high: float, factor: int = 1) -> DataFrame:
+    """``multiband_envelope`` of one band, under the channels' own names."""
+    e = multiband_envelope(samples, rate, {"": (low, high)}, factor)
+    return e.withColumn("channel", F.regexp_replace("channel", ":$", ""))
 
 
 def _trials(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,11 +140,6 @@ def bpe_train_relaxed(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.merge_table(spark, bpe.train(bpe.sequences(coded, ["subject", "channel"]), 64, 96, relaxed=8), 64)
 
 
-def envelope_mean(spark: SparkSession, sf: str) -> DataFrame:
-    e = envelope(T.embed_trials(spark, sf), 64.0, 4.0, 12.0)
-    return e.select("trial", "label", F.aggregate("x", F.lit(0.0), lambda a, v: a + v, lambda a: a / F.size("x")).alias("mean"))
-
-
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return stats.bootstrap(T.table(spark, sf, "events").select("event_id", "value"), "value", 100)
 
@@ -140,6 +151,5 @@ QUERIES = {
     "spatial_tokens": spatial_tokens,
     "spectral_tokens": spectral_tokens,
     "bpe_train_relaxed": bpe_train_relaxed,
-    "envelope": envelope_mean,
     "bootstrap_ci": bootstrap_ci,
 }

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from siglex.operators import signals
+from siglex.operators import models, signals
 from siglex.plans.common import CODES, EMB, KEY, LI, SIGNAL, UNI, ZSQL, codes, query, r, z_of
 from siglex.sources import shared
 from siglex.sources import tables as T
@@ -236,3 +236,19 @@ def _(spark, sf):
 def _(spark, sf):
     table = spark.createDataFrame([(c, ch, w) for c, ws in FILTERS.items() for ch, w in ws.items()], "component string, channel string, w double")
     return signals.spatial_filter(T.lineitem_multi(spark, sf), table).select("subject", "trial", "component", "t", "x")
+
+
+def _envelope_sql(low: float, high: float, k: str) -> str:
+    """CTE e{k} (trial, t, x): the amplitude of the analytic signal within the band, by sums over its bins."""
+    return f"""k{k} AS (SELECT unnest(range(1, 32)) AS k), s{k} AS (SELECT trial, k, sum(x * cos(2 * pi() * k * t / 64)) AS re, -sum(x * sin(2 * pi() * k * t / 64)) AS im FROM e, k{k} WHERE k BETWEEN {low} AND {high} GROUP BY trial, k),
+e{k} AS (SELECT trial, m AS t, sqrt(pow(sum(re * cos(2 * pi() * k * m / 64) - im * sin(2 * pi() * k * m / 64)), 2) + pow(sum(re * sin(2 * pi() * k * m / 64) + im * cos(2 * pi() * k * m / 64)), 2)) / 32 AS x FROM s{k}, (SELECT unnest(range(64)) AS m) GROUP BY trial, m)"""
+
+
+@query("envelope", EMB + ", " + _envelope_sql(4, 12, "n") + f" SELECT trial, t // 4 AS t, {r('x', 'x')} FROM en WHERE t % 4 = 0")
+def _(spark, sf):
+    return models.envelope(T.embed_trials(spark, sf), 64.0, 4.0, 12.0, 4).select("trial", "t", "x")
+
+
+@query("envelope_multiband", EMB + ", " + _envelope_sql(4, 8, "a") + ", " + _envelope_sql(8, 13, "b") + f" SELECT trial, channel, t, {r('x', 'x')} FROM (SELECT trial, 'e:theta' AS channel, t, x FROM ea UNION ALL SELECT trial, 'e:alpha', t, x FROM eb)")
+def _(spark, sf):
+    return models.multiband_envelope(T.embed_trials(spark, sf), 64.0, {"theta": (4.0, 8.0), "alpha": (8.0, 13.0)}).select("trial", "channel", "t", "x")

@@ -24,7 +24,14 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def _edges(links: DataFrame) -> DataFrame:
-    return links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
+    return links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is below one other at most and no node is both above and below: then no round changes anything."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("above")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("above")))
+    nodes = ends.groupBy("node").agg(F.min("above").alias("x"), F.max("above").alias("y"), F.bool_or(F.col("above").isNull()).alias("centre"))
+    return not nodes.where("x < y or centre and x is not null").agg(F.count("*")).first()[0]
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -36,24 +43,22 @@ def contracted(links: DataFrame) -> DataFrame:
     """Links (a, b) with the components of ``links`` after one round of large-star and small-star, a > b.
 
     Their least b for each a is a label: equal labels are of one component,
-    while unequal ones may be too until the rounds have ended.
+    while unequal ones may be too until the rounds have ended. ``links`` are
+    read several times, so they should be a written table.
     """
-    return _round(written(_edges(links), "links")).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    return _round(_edges(links)).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b); the component is its least node.
 
     Alternating large-star and small-star rounds; each round's edges are written
-    to the shared folder, and only their number and checksum reach the driver.
-    Links of a node with itself or with null are ignored; no links, no rows.
+    to the shared folder, and only the number of nodes that are not yet in a star
+    reaches the driver. Links of a node with itself or with null are ignored; no
+    links, no rows.
     """
-    edges, seen = written(_edges(links), "links"), None
-    while True:
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == seen or not state[0]:
-            break
-        seen = state
+    edges = written(_edges(links).distinct(), "links")
+    while not _are_stars(edges):
         edges = written(_round(edges), "links")
     return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

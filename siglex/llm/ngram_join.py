@@ -258,7 +258,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("cid").alias("b"), F.col("vector").alias("vy"), F.col("shingles").alias("y"))
     y = sets.select(F.col("cid").alias("a"), F.col("vector").alias("vx"), F.col("shingles").alias("x"))
     size = lambda c: F.octet_length(c) / 8
-    rows = pairs.select("a", "b").join(x, "b").join(y, "a")
+    rows = pairs.select("a", "b").join(x, "b").join(y, "a")  # last by a: a member that a large bucket offers is the b of many pairs
     return map_arrow(rows.select("a", "b", "vx", "vy", size("x").cast("long").alias("n"), size("y").cast("long").alias("m"), "x", "y"), checked, "a long, b long")
 
 
@@ -348,10 +348,10 @@ def partners(labelled: DataFrame, turn: int) -> DataFrame:
     tried here are left to ``bucket_pairs``, unless the turns make them one component.
     """
     offered = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("b"), "label")).alias("o"), F.min("label").alias("x"), F.max("label").alias("y"))
-    offered = written(offered.where("x < y").select("key", "o.b", F.col("o.label").alias("other")), "offered")
-    pairs = labelled.join(offered, "key").where("label <> other").select(F.col("cid").alias("a"), "b").distinct()
-    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= PARTNERS).select("a", "b")
+    offered = offered.where("x < y").select("key", "o.b", F.col("o.label").alias("other"))
+    pairs = labelled.join(offered, "key").where("label <> other").select(F.col("cid").alias("a"), "b")
+    nth = F.dense_rank().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))  # a pair of several buckets counts once
+    return pairs.withColumn("nth", nth).where(F.col("nth") <= PARTNERS).select("a", "b").distinct()
 
 
 def bucket_pairs(members: DataFrame) -> DataFrame:
@@ -446,7 +446,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     keyed = each.join(classes, ["s1", "s2"]).select("cid", "s1", "s2", "n", "vector", F.explode("keys").alias("key"))
     keyed = written(keyed.select("key", "cid"), "keys")
     several = keyed.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("key")
-    members = written(keyed.join(written(several, "shared-keys"), "key"), "members")
+    members = written(keyed.join(several, "key"), "members")
     in_buckets = members.select("cid").distinct().join(classes, "cid").select("cid", "s1", "s2")
     sets = written(sets_of(docs, in_buckets), "sets")
     labelled, links = members.withColumn("label", F.col("cid")), None
@@ -455,10 +455,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
         links = written(contracted(new if links is None else links.unionByName(new)), "links")
         labels = links.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("component"))
         labelled = written(members.join(labels, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label")), "labelled")
-    open_keys = written(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key", F.col("x").alias("home")), "open-keys")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key", F.col("x").alias("home"))
     vectors = full.join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).groupBy("cid").agg(F.min("n").alias("n"), F.min("vector").alias("vector"))
     at_home = labelled.join(open_keys, "key").groupBy("home", "cid").agg(F.min("label").alias("label"), F.collect_list("key").alias("keys"))  # no more keys than a prefix has
-    rest = at_home.join(vectors, "cid")
+    rest = written(at_home.join(vectors, "cid"), "rest")
     more = written(verified(written(bucket_pairs(rest), "bucket-pairs"), sets), "more-links")
     final = components(links.unionByName(more))
     of_class = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from siglex.sources.shared import written
 
 Merges = list[tuple[int, int]]
-#: Pairs of a round that reach the driver; those beyond only bound how many merges a round may take.
-HEAD = 4096
 
 
 def pair_counts(tokens: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
@@ -71,36 +69,69 @@ def merged(seq: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
 NEVER = np.iinfo(np.int64).max
 
 
+def _chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of places ``at`` (ascending) with their ranks, those that merge if each rank takes what it can, in order, from the left."""
+    out = []
+    while len(at):
+        next_to = np.concatenate([[False], at[1:] == at[:-1] + 1])
+        starts = np.flatnonzero(~next_to | np.concatenate([[True], rank[1:] != rank[:-1]]))
+        own, joined = rank[starts], next_to[starts]
+        left = np.where(joined, np.concatenate([[NEVER], own[:-1]]), NEVER)
+        right = np.where(np.append(joined[1:], False), np.append(own[1:], NEVER), NEVER)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
+        taken = ((own < left) & (own < right))[run] & ((np.arange(len(at)) - starts[run]) % 2 == 0)
+        out.append(at[taken])
+        beside = np.concatenate([taken[1:] & next_to[1:], [False]]) | np.concatenate([[False], taken[:-1]]) & next_to
+        at, rank = at[~taken & ~beside], rank[~taken & ~beside]
+    return np.sort(np.concatenate(out)) if out else at
+
+
 def apply_merges(seq: np.ndarray, merges: Merges, base: int, first: int = 0) -> np.ndarray:
     """All merges in rank order, negative values as separators.
 
-    A place whose pair ranks before both overlapping ones is merged before
-    them in any case, so all such places go at once; runs of one pair (a, a)
-    merge every second place from the left. Passes end where no pair is known.
+    A wave takes the least rank that is there and those after it, up to the first
+    that may read an id the wave makes; what these ranks merge is settled by the
+    pairs as they stand, so they go together. Ranks are looked up again
+    only beside what was merged.
     """
-    if not merges:
+    if not merges or len(seq) < 2:
         return seq
     pairs = np.array(merges, np.int64)
     keys = (pairs[:, 0] << 32) | pairs[:, 1]
     order = np.argsort(keys)
     keys = keys[order]
-    while len(seq) > 1:
-        key = np.where((seq[:-1] < 0) | (seq[1:] < 0), -1, (seq[:-1] << 32) | seq[1:])
+    reader = np.full(len(merges), NEVER)  # the first rank that reads what a rank makes
+    for k in range(len(merges) - 1, -1, -1):
+        for x in merges[k]:
+            if x >= base + first:
+                reader[x - base - first] = k
+
+    def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = np.where((left < 0) | (right < 0), -1, (left.astype(np.int64) << 32) | right)
         place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        rank = np.where(keys[place] == key, order[place], NEVER)
-        starts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
-        own = rank[starts]
-        beside = np.concatenate([[NEVER], own, [NEVER]])
-        least = (own < beside[:-2]) & (own < beside[2:])
-        if not least.any():
+        return np.where(keys[place] == key, order[place], NEVER)
+
+    rank = ranks(seq[:-1], seq[1:])
+    seq = seq.copy()
+    while len(seq) > 1:
+        known = np.flatnonzero(rank != NEVER)
+        if not len(known):
             break
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rank))))
-        at = np.flatnonzero(least[run] & ((np.arange(len(rank)) - starts[run]) % 2 == 0))
-        seq = seq.copy()
+        there = np.flatnonzero(np.bincount(rank[known], minlength=1))
+        bound = np.concatenate([[NEVER], np.minimum.accumulate(reader[there])])
+        over = np.flatnonzero(there >= bound[:-1])
+        limit = bound[over[0]] if len(over) else NEVER
+        known = known[rank[known] < limit]
+        at = _chosen(known, rank[known])
         seq[at] = base + first + rank[at]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
+        rank = np.concatenate([rank, [NEVER]])[keep][:-1]
+        new = at - np.arange(len(at))
+        new = np.concatenate([new - 1, new])
+        new = new[(new >= 0) & (new < len(rank))]
+        rank[new] = ranks(seq[new], seq[new + 1])
     return seq
 
 
@@ -126,95 +157,21 @@ def tokenise(seqs: DataFrame, merges: Merges, base: int, first: int = 0, column:
     return seqs.mapInArrow(run, schema)
 
 
-def accepted(head: list[tuple[int, int, int]], floor: int, limit: int, relaxed: bool = False) -> Merges:
-    """Merges of one round, from pairs (l, r, n) by (-n, l, r); counts beyond the head are ``floor`` at most.
-
-    Exact: the first pair always; a further one only while it shares no token with
-    an accepted pair in the way that changes its count, and counts more than any
-    pair that touches an accepted one, so that no new pair can come before it.
-    Relaxed: conflicting pairs are passed over and the bound is ignored.
-    """
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    out: Merges = []
-    bound = 0
-    for l, r, n in head:
-        if len(out) == limit:
-            break
-        clash = l in rights or r in lefts
-        if out and not relaxed and (clash or n <= max(bound, floor)):
-            break
-        if out and clash:
-            continue
-        out.append((l, r))
-        lefts.add(l)
-        rights.add(r)
-        taken = set(out)
-        if not relaxed:
-            bound = max([n if a == b == l == r else m for a, b, m in head if ((a, b) not in taken and (a in rights or b in lefts)) or (a, b) == (l, r) == (l, l)], default=0)
-    return out
-
-
-def _stepped(seqs: DataFrame, new: Merges, base: int, first: int) -> DataFrame:
-    """Rows of sequences after ``new`` merges (toks) and, beside them, pair counts of each batch (l, r, n): one pass, one table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = batch.column(0)
-            offsets = np.asarray(col.offsets)
-            flat = np.asarray(col.values)[offsets[0] : offsets[-1]].astype(np.int64)
-            out = apply_merges(np.insert(flat, offsets[1:] - offsets[0], -1), new, base, first)
-            ends = np.flatnonzero(out == -1)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)), pa.array(out[out != -1].astype(np.int32)))
-            inside = (out[:-1] >= 0) & (out[1:] >= 0)
-            key, n = np.unique((out[:-1][inside] << 32) | out[1:][inside], return_counts=True)
-            rows, pairs = len(lists), len(key)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([lists, pa.nulls(pairs, lists.type)]),
-                    *(pa.concat_arrays([pa.nulls(rows, x.type), x]) for x in (pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64)))),
-                ],
-                ["toks", "l", "r", "n"],
-            )
-
-    return seqs.select("toks").mapInArrow(run, "toks array<int>, l int, r int, n long")
-
-
 def train(seqs: DataFrame, base: int, vocabulary: int, relaxed: int = 0, selection: str = "greedy", progress: list | None = None) -> Merges:
     """Merges up to ``vocabulary`` ids by greedy counts; ties by (l, r). Stops where no pair occurs twice.
 
-    Each round writes the merged sequences and their pair counts as one table
-    of the shared folder. ``relaxed`` > 0 takes up to so many merges a round, an
-    approximation for large vocabularies. ``selection="lazy_heap"`` takes one
-    merge a round, and a pair of base ids only while all of its first
-    occurrences are still there. ``progress`` receives rows (step, l, r, new_id,
-    pair_count, total_tokens after the round).
+    Training is by count differences over weighted distinct sequences (``merges``): equal to
+    one merge at a time, with a job for some merges each. ``relaxed`` > 0 takes up to so many
+    merges a round without looking at what they do to each other's order, an
+    approximation. ``selection="lazy_heap"`` takes a pair of base ids only while all
+    of its first occurrences are still there. ``progress`` receives rows (step, l, r,
+    new_id, pair_count, total_tokens after the step). Tables of the training are removed.
     """
+    from siglex.operators import merges
+
     if selection not in ("greedy", "lazy_heap"):
         raise ValueError(f"unknown selection {selection!r}")
-    merges: Merges = []
-    table = written(_stepped(seqs, [], base, 0), "merge-round")
-    whole = None
-    while base + len(merges) < vocabulary:
-        counts = table.where("l is not null").groupBy("l", "r").agg(F.sum("n").alias("n"))
-        if selection == "lazy_heap":
-            whole = written(counts, "first-pairs") if whole is None else whole
-            there = counts.join(F.broadcast(whole.withColumnRenamed("n", "n_first")), ["l", "r"], "left")  # at most base squared pairs
-            counts = there.where((F.col("l") >= base) | (F.col("r") >= base) | (F.col("n") == F.col("n_first"))).drop("n_first")
-        top = counts.orderBy(F.desc("n"), "l", "r").limit(HEAD).collect()
-        head = [(x.l, x.r, x.n) for x in top if x.n > 1]
-        if not head:
-            break
-        floor = head[-1][2] if len(top) == HEAD else 0
-        limit = 1 if selection == "lazy_heap" else vocabulary - base - len(merges)
-        new = accepted(head, floor, min(limit, relaxed) if relaxed else limit, bool(relaxed))
-        table = written(_stepped(table.where("toks is not null"), new, base, len(merges)), "merge-round")
-        if progress is not None:
-            n_of = {(l, r): n for l, r, n in head}
-            total = table.where("toks is not null").agg(F.sum(F.size("toks"))).first()[0]
-            progress += [(len(merges) + k, *pair, base + len(merges) + k, n_of[pair], total) for k, pair in enumerate(new)]
-        merges += new
-    return merges
+    return merges.train(seqs, base, vocabulary, relaxed, selection, progress)
 
 
 def best_by(tokens: DataFrame, key: list[str], by: list[str], new: int) -> tuple[DataFrame, DataFrame]:
@@ -278,6 +235,12 @@ def merge_table(spark: SparkSession, merges: Merges, base: int) -> DataFrame:
     return spark.createDataFrame([(k, l, r, base + k) for k, (l, r) in enumerate(merges)], "rank int, l int, r int, new_id int")
 
 
+def progress_table(spark: SparkSession, progress: list, tokens: int) -> DataFrame:
+    """(step, l, r, new_id, pair_count, total_tokens, compression) of a training that began with so many tokens."""
+    rows = spark.createDataFrame(progress, "step int, l int, r int, new_id int, pair_count long, total_tokens long")
+    return rows.withColumn("compression", F.lit(tokens) / F.col("total_tokens"))
+
+
 def vocabulary_table(spark: SparkSession, merges: Merges, base: int) -> DataFrame:
     """(token, base_seq, base_len) of every id."""
     known = {k: [k] for k in range(base)}
@@ -325,6 +288,18 @@ def first_of_each(seqs: DataFrame, by: list[str], order: list[str], n: int) -> D
     return seqs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def by_corpus_size(seqs: DataFrame, order: list[str], sizes: tuple[int | None, ...], base: int, vocabulary: int) -> DataFrame:
+    """(n_sequences, rank, l, r, new_id, n, total_tokens): a vocabulary for each corpus size, of the first sequences in ``order``; None takes all."""
+    table = None
+    for size in sizes:
+        some = written(seqs if size is None else seqs.orderBy(*order).limit(size), "corpus-size")
+        progress: list = []
+        train(some, base, vocabulary, progress=progress)
+        rows = seqs.sparkSession.createDataFrame(progress, "rank int, l int, r int, new_id int, n long, total_tokens long").withColumn("n_sequences", F.lit(some.count()))
+        table = rows if table is None else table.unionByName(rows)
+    return table
+
+
 def save_vocabulary(spark: SparkSession, merges: Merges, base: int, path: str) -> None:
     merge_table(spark, merges, base).withColumn("base", F.lit(base)).coalesce(1).write.mode("overwrite").json(path)
 

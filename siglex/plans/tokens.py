@@ -35,11 +35,11 @@ def _(spark, sf):
     return v.select("token", F.array_join(F.transform("base_seq", lambda c: c.cast("string")), " ").alias("base_seq"), "base_len")
 
 
-@query("training_progress", train_sql(MERGES) + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS step, l, r, {BINS + k}::BIGINT AS new_id, n AS pair_count FROM p{k}" for k in range(MERGES)))
+@query("training_progress", train_sql(MERGES) + ", whole AS (SELECT count(*) AS n FROM c) " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS step, p{k}.l, p{k}.r, {BINS + k}::BIGINT AS new_id, p{k}.n AS pair_count, (SELECT count(*) FROM q{k}) AS total_tokens, round(whole.n / (SELECT count(*) FROM q{k}), 9) AS compression FROM p{k}, whole" for k in range(MERGES)))
 def _(spark, sf):
-    progress: list = []
-    bpe.train(_seqs(spark, sf), BINS, VOCABULARY, progress=progress)
-    return spark.createDataFrame(progress, "step int, l int, r int, new_id int, pair_count long, total_tokens long").drop("total_tokens")
+    seqs, progress = _seqs(spark, sf), []
+    bpe.train(seqs, BINS, VOCABULARY, progress=progress)
+    return bpe.progress_table(spark, progress, seqs.agg(F.sum(F.size("toks"))).first()[0]).withColumn("compression", F.round("compression", 9))
 
 
 def _lazy_sql(m: int) -> str:
@@ -134,14 +134,24 @@ def _(spark, sf):
 SIZES = (10, 25, 50, 100)
 
 
-@query("bpe_corpus_sizes", CODES + ", k AS (SELECT subject, channel, row_number() OVER (ORDER BY subject, channel) AS i FROM (SELECT DISTINCT subject, channel FROM c)), " + ", ".join(f"c{n} AS (SELECT c.* FROM c JOIN k USING (subject, channel) WHERE i <= {n})" for n in SIZES) + " " + " UNION ALL ".join(f"SELECT {n}::BIGINT AS n_sequences, l, r, n FROM {_first_pair_sql(f'c{n}')}" for n in SIZES))
+def _sizes_sql() -> str:
+    parts = [CODES, "k AS (SELECT subject, channel, row_number() OVER (ORDER BY subject, channel) AS i FROM (SELECT DISTINCT subject, channel FROM c))"]
+    rows = []
+    for n in (*SIZES, "all"):
+        parts.append(f"c{n} AS (SELECT c.* FROM c JOIN k USING (subject, channel)" + (")" if n == "all" else f" WHERE i <= {n})"))
+        source = f"c{n}"
+        for j in range(MERGES):
+            k = f"{n}x{j}"
+            parts.append(f"p{k} AS (SELECT * FROM {_first_pair_sql(source)})")
+            parts.append(merge_sql(source, k, f"p{k}.l", f"p{k}.r", BINS + j, f", p{k}"))
+            source = f"q{k}"
+            rows.append(f"SELECT (SELECT count(*) FROM k{'' if n == 'all' else f' WHERE i <= {n}'}) AS n_sequences, {j}::BIGINT AS rank, l, r, n, (SELECT count(*) FROM q{k}) AS total_tokens FROM p{k}")
+    return ",\n".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+@query("bpe_corpus_sizes", _sizes_sql())
 def _(spark, sf):
-    seqs, parts = _seqs(spark, sf), []
-    for n in SIZES:
-        progress: list = []
-        bpe.train(seqs.orderBy(*KEY).limit(n), BINS, BINS + 1, progress=progress)
-        parts += [(n, p[1], p[2], p[4]) for p in progress]
-    return spark.createDataFrame(parts, "n_sequences int, l int, r int, n long")
+    return bpe.by_corpus_size(_seqs(spark, sf), KEY, (*SIZES, None), BINS, VOCABULARY).select("n_sequences", "rank", "l", "r", "n", "total_tokens")
 
 
 def _discriminative_sql(m: int, alpha: float, top: int) -> str:

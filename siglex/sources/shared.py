@@ -30,3 +30,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     place = path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def removed(spark: SparkSession, place: str) -> None:
+    """Delete a table that nothing reads any more, by the file system of its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -38,12 +38,6 @@ def mu_value(code: Column, bins: int, mu: float = 255.0, span: float = 4.0) -> C
     return mu_expand(uniform_value(code, bins, -1.0, 1.0), mu) * F.lit(span)
 
 
-def edge_code(z: Column, edges: Column) -> Column:
-    """Number of inner edges at or below ``z`` (bins are open on the right)."""
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    return F.size(F.filter(inner, lambda e: e <= z))
-
-
 def correlation(x: str, y: str) -> Column:
     """Pearson's correlation as an aggregate; null where one side does not vary."""
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

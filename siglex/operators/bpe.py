@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siglex.operators import ranks
 from siglex.sources.shared import written
 
 Merges = list[tuple[int, int]]
@@ -278,8 +279,13 @@ def subsample(seqs: DataFrame, key: list[str], cap: int, seed: int = 42) -> Data
     size = seqs.agg(F.count("*").alias("n"), F.sum(F.size("toks")).alias("total")).first()
     if not size.total or size.total <= cap:
         return seqs
+    keep = max(1, size.n * cap // size.total)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)).cast("binary"))
-    return seqs.orderBy(order, *key).limit(max(1, size.n * cap // size.total))
+    marked = seqs.withColumn("_h", F.conv(F.substring(order, 1, 13), 16, 10).cast("double"))  # 52 bits, whole in a double
+    last = ranks.ranked(marked, "_h", [keep - 1])[keep - 1]
+    below = marked.where(F.col("_h") < last)
+    ties = marked.where(F.col("_h") == last).orderBy(order, *key).limit(keep - below.count())
+    return below.unionByName(ties).drop("_h")
 
 
 def first_of_each(seqs: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siglex.operators import bpe, signals, stats
+from siglex.operators import bpe, signals, spectra, stats
 from siglex.sources import tables as T
 
 
@@ -128,8 +128,7 @@ def spatial_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def spectral_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Log-power frames as vectors, 16 codes, counts by label."""
-    power = signals.dft_power(signals.frames(T.embed_trials(spark, sf), 16, 8), 16)
-    rows = power.select("trial", "frame", F.col("bin").alias("t"), F.log1p("power").alias("x"))
+    rows = spectra.binned(T.embed_trials(spark, sf), 16, 8, finish=np.log1p).select("trial", "frame", F.col("bin").alias("t"), F.col("power").alias("x"))
     coded, _ = codes(dense(rows, ["trial", "frame"], 9), 16)
     return coded.groupBy("code").agg(F.count("*").alias("n"))
 

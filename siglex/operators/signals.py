@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siglex.functions import scalar as S
+from siglex.operators import ranks, spectra
 
 ROW = ["subject", "trial", "channel"]
 
@@ -38,17 +40,37 @@ NORMALISERS = {
 def adaptive_edges(normalised: DataFrame, bins: int, method: str = "exact") -> DataFrame:
     """One row: edges at equal shares of ``z``, ties joined.
 
-    ``exact`` counts distinct values first; ``sketch`` is Spark's approximate
-    percentile with a rank error of one in a million, in bounded memory.
+    ``exact`` selects the ranks by refined histograms (``ranks``), without a task that
+    holds all values; ``sketch`` is Spark's approximate percentile with a rank
+    error of one in a million.
     """
-    shares = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
+    shares = [k / bins for k in range(bins + 1)]
     if method == "sketch":
-        return normalised.agg(F.percentile_approx("z", shares, 1_000_000).alias("edges")).select(F.array_distinct("edges").alias("edges"))
+        return normalised.agg(F.percentile_approx("z", F.array(*map(F.lit, shares)), 1_000_000).alias("edges")).select(F.array_distinct("edges").alias("edges"))
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
-    counts = normalised.groupBy("z").agg(F.count("*").alias("n"))
-    each = counts.agg(F.percentile("z", shares, F.col("n")).alias("edges"))
-    return each.select(F.array_distinct(F.transform("edges", lambda e: F.round(e, 9))).alias("edges"))
+    return _edge_row(normalised.sparkSession, _fitted(normalised, [bins])[bins])
+
+
+def _edge_row(spark: SparkSession, edges: list[float]) -> DataFrame:
+    return spark.createDataFrame([(edges,)], "edges array<double>")
+
+
+def _fitted(normalised: DataFrame, bin_counts: list[int]) -> dict[int, list[float]]:
+    """Adaptive edges of several numbers of bins by one selection of ranks."""
+    shares = sorted({k / b for b in bin_counts for k in range(b + 1)})
+    at = dict(zip(shares, ranks.quantiles(normalised, "z", shares), strict=False))
+    return {b: sorted({round(at[k / b], 9) for k in range(b + 1) if k / b in at}) for b in bin_counts}
+
+
+def edge_codes(normalised: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """A column for each name: the number of inner edges at or below ``z`` (bins are open on the right), by binary search."""
+    cut = {name: e[1:-1] for name, e in edges.items() if len(e) > 2}
+    out = normalised
+    if cut:
+        splits = [[-math.inf, *inner, math.inf] for inner in cut.values()]
+        out = Bucketizer(splitsArray=splits, inputCols=["z"] * len(cut), outputCols=list(cut), handleInvalid="keep").transform(out)
+    return out.withColumns({name: F.when(F.col("z").isNotNull(), F.col(name) if name in cut else F.lit(0)).cast("int") for name in edges})
 
 
 def quantise(normalised: DataFrame, method: str, bins: int, edges: DataFrame | None = None) -> DataFrame:
@@ -59,8 +81,8 @@ def quantise(normalised: DataFrame, method: str, bins: int, edges: DataFrame | N
     if method == "mu_law":
         return normalised.withColumn("code", S.mu_code(z, bins))
     if method == "adaptive":
-        fitted = (edges if edges is not None else adaptive_edges(normalised, bins)).first()["edges"]  # bins + 1 numbers
-        return normalised.withColumn("code", S.edge_code(z, F.lit(fitted)))
+        fitted = edges.first()["edges"] if edges is not None else _fitted(normalised, [bins])[bins]  # bins + 1 numbers at most
+        return edge_codes(normalised, {"code": fitted})
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -82,16 +104,25 @@ def quality(decoded: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quality_grid(normalised: DataFrame, methods: tuple[str, ...], bin_counts: tuple[int, ...]) -> DataFrame:
-    """``quality`` of every method and number of bins, each sample read once and exploded to the grid."""
-    parts = []
+    """``quality`` of every method and number of bins: one pass sums n, z and z^2 of every code, from which all measures follow."""
+    z, grid = F.col("z"), []
+    if "adaptive" in methods:
+        normalised = edge_codes(normalised, {f"_{b}": e for b, e in _fitted(normalised, list(bin_counts)).items()})
     for method in methods:
-        for bins in bin_counts:
-            coded = quantise(normalised, method, bins)
-            parts.append(dequantise(coded, method, bins).select(F.lit(method).alias("method"), F.lit(bins).alias("n_bins"), "z", "z_hat"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return quality(out, ["method", "n_bins"])
+        for b in bin_counts:
+            code = {"uniform": lambda b=b: S.uniform_code(z, b, -4.0, 4.0), "mu_law": lambda b=b: S.mu_code(z, b), "adaptive": lambda b=b: F.col(f"_{b}")}[method]()
+            grid.append(F.struct(F.lit(method).alias("method"), F.lit(b).alias("n_bins"), code.alias("code")))
+    codes = normalised.where("z is not null").select("z", F.explode(F.array(*grid)).alias("c")).groupBy("c.method", "c.n_bins", "c.code").agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(z * z).alias("q"))
+    n_bins, code = F.col("n_bins").cast("double"), F.col("code")
+    middle = lambda low, high: F.lit(low) + (code + F.lit(0.5)) * (F.lit(high - low) / n_bins)
+    value = F.when(F.col("method") == "uniform", middle(-4.0, 4.0)).when(F.col("method") == "mu_law", S.mu_expand(middle(-1.0, 1.0)) * F.lit(4.0)).otherwise(F.col("s") / F.col("n"))
+    v = codes.withColumn("v", value).withColumn("e", F.greatest(F.col("q") - 2 * F.col("v") * F.col("s") + F.col("n") * F.col("v") * F.col("v"), F.lit(0.0)))
+    total = v.groupBy("method", "n_bins").agg(*(F.sum(x).alias(name) for name, x in (("n", F.col("n")), ("s", F.col("s")), ("q", F.col("q")), ("e", F.col("e")), ("v", F.col("n") * F.col("v")), ("vv", F.col("n") * F.col("v") * F.col("v")), ("zv", F.col("s") * F.col("v")))))
+    n = F.col("n")
+    spread = lambda q, m: F.greatest(F.col(q) / n - F.pow(F.col(m) / n, 2), F.lit(0.0))
+    pearson = (F.col("zv") / n - F.col("s") / n * F.col("v") / n) / F.nullif(F.sqrt(spread("q", "s") * spread("vv", "v")), F.lit(0.0))
+    mse = F.col("e") / n
+    return total.select("method", "n_bins", mse.alias("mse"), F.sqrt(mse).alias("rmse"), (10 * F.log10(F.col("q") / n / F.greatest(mse, F.lit(1e-20)))).alias("sqnr_db"), pearson.alias("pearson"))
 
 
 def denormalise(decoded: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -169,21 +200,9 @@ def frames(samples: DataFrame, size: int, hop: int) -> DataFrame:
     return out.withColumn("_n", F.count("*").over(w)).where(F.col("_n") == size).drop("_n")
 
 
-def dft_power(framed: DataFrame, size: int, detrend: bool = False) -> DataFrame:
-    """Hann-windowed power |X|^2 / size of every frame and bin, as sums over a frame's samples and the bins."""
-    w = Window.partitionBy(*ROW, "frame")
-    x = F.col("x") - F.avg("x").over(w) if detrend else F.col("x")
-    hann = 0.5 - 0.5 * F.cos(F.lit(2 * math.pi) * F.col("k") / F.lit(size))
-    y = framed.withColumn("y", x * hann).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(size // 2))))
-    angle = F.lit(2 * math.pi / size) * ((F.col("k") * F.col("bin")) % size)
-    return y.groupBy(*ROW, "frame", "bin").agg(F.sum(F.col("y") * F.cos(angle)).alias("re"), F.sum(F.col("y") * F.sin(angle)).alias("im")).select(
-        *ROW, "frame", "bin", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / size).alias("power")
-    )
-
-
 def welch_bands(samples: DataFrame, size: int, rate: float, bands: dict[str, tuple[float, float]]) -> DataFrame:
-    """Mean power of each band [low, high) over half-overlapping, detrended frames; 0 where it has no bin."""
-    psd = dft_power(frames(samples, size, size // 2), size, detrend=True).groupBy(*ROW, "bin").agg(F.avg("power").alias("power"))
+    """Mean log power of each band [low, high) over half-overlapping, detrended frames; 0 where it has no bin."""
+    psd = spectra.mean_power(samples, size, size // 2)
     hz = F.col("bin") * F.lit(rate / size)
     return psd.groupBy(*ROW).agg(*(F.coalesce(F.avg(F.when((hz >= low) & (hz < high), F.log1p("power"))), F.lit(0.0)).alias(name) for name, (low, high) in bands.items()))
 
@@ -341,7 +360,7 @@ def resampled(rows: DataFrame, n: int, m: int) -> DataFrame:
 def psd(samples: DataFrame, size: int, rate: float) -> DataFrame:
     """(row key, bin, hz, density): one-sided power density by Welch's method, half overlap, constant detrend."""
     energy = sum((0.5 - 0.5 * math.cos(2 * math.pi * k / size)) ** 2 for k in range(size))
-    power = dft_power(frames(samples, size, size // 2), size, detrend=True).groupBy(*ROW, "bin").agg(F.avg("power").alias("p"))
+    power = spectra.mean_power(samples, size, size // 2).withColumnRenamed("power", "p")
     both = F.when((F.col("bin") > 0) & (F.col("bin") < size // 2), 2.0).otherwise(1.0)
     return power.select(*ROW, "bin", (F.col("bin") * (rate / size)).alias("hz"), (F.col("p") * size * both / (rate * energy)).alias("density"))
 
@@ -364,15 +383,13 @@ def band_distortion(decoded: DataFrame, size: int, rate: float, bands: dict[str,
 
 def spectral_vectors(samples: DataFrame, size: int, hop: int) -> DataFrame:
     """(row key, frame, bin, z): log power of each frame, z-scored over its bins."""
-    power = dft_power(frames(samples, size, hop), size).withColumn("v", F.log1p("power"))
-    w = Window.partitionBy(*ROW, "frame")
-    return power.select(*ROW, "frame", "bin", ((F.col("v") - F.avg("v").over(w)) / F.greatest(F.stddev_pop("v").over(w), F.lit(S.EPS))).alias("z"))
+    return spectra.binned(samples, size, hop, finish=spectra.log_scaled).withColumnRenamed("power", "z")
 
 
 def spectral_flat(samples: DataFrame, size: int, hop: int) -> DataFrame:
     """(row key, x): log powers of all frames, by frame and bin, as one array."""
-    power = dft_power(frames(samples, size, hop), size)
-    return power.groupBy(*ROW).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "bin", F.log1p("power").alias("v")))), lambda s: s["v"]).alias("x"))
+    power = spectra.spectra(samples, size, hop, finish=np.log1p)
+    return power.groupBy(*ROW).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame", "power"))), lambda s: s["power"])).alias("x"))
 
 
 def frame_size(n_times: int, wanted: int) -> int:
@@ -382,8 +399,8 @@ def frame_size(n_times: int, wanted: int) -> int:
 
 def fft_log_power(samples: DataFrame, n: int, rate: float, low: float, high: float) -> DataFrame:
     """(row key, bin, log_power) of rows of ``n`` samples as one Hann frame, for low <= hz <= high."""
-    hz = F.col("bin") * (rate / n)
-    return dft_power(frames(samples, n, n), n).where((hz >= low) & (hz <= high)).select(*ROW, "bin", F.log1p("power").alias("log_power"))
+    bins = [k for k in range(n // 2 + 1) if low <= k * (rate / n) <= high]
+    return spectra.binned(samples.where(F.col("t") < n), n, n, finish=np.log1p, bins=bins).select(*ROW, "bin", F.col("power").alias("log_power"))
 
 
 def described(before: DataFrame, after: DataFrame, rate_before: float, rate_after: float) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siglex.functions import scalar as S
-from siglex.operators import bpe, models, signals, stats
+from siglex.operators import bpe, models, signals, spectra, stats
 from siglex.plans.common import BANDS, BINS, CH, CODES, EMB, KEY, LI, MERGES, MU, MUCODE, MUVAL, QUERIES, SIGNAL, SQL, UNI, ZSQL, Query, codes, merge_sql, merges, query, r, train_sql, vocabulary_sql, z_of
 from siglex.sources import tables as T
 
@@ -171,8 +172,7 @@ p AS (SELECT trial, frame, bin, (pow(sum(y * cos(2 * pi() / 16 * ((k * bin) % 16
 
 @query("stft_frames", _FRAMES.format(detrend="") + f" SELECT trial, frame, bin, {r('ln(1 + power)', 'log_power')} FROM p")
 def _(spark, sf):
-    framed = signals.frames(T.embed_trials(spark, sf), 16, 8)
-    return signals.dft_power(framed, 16).select("trial", "frame", "bin", F.log1p("power").alias("log_power"))
+    return spectra.binned(T.embed_trials(spark, sf), 16, 8, finish=np.log1p).select("trial", "frame", "bin", F.col("power").alias("log_power"))
 
 
 @query("welch_bands", _FRAMES.format(detrend=" - avg(x) OVER (PARTITION BY trial, frame)") + ", q AS (SELECT trial, bin * 4.0 AS hz, avg(power) AS power FROM p GROUP BY trial, bin) SELECT trial, " + ", ".join(r(f"coalesce(avg(ln(1 + power)) FILTER (hz >= {a} AND hz < {b}), 0)", n) for n, (a, b) in BANDS.items()) + " FROM q GROUP BY trial")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siglex.functions import scalar as S
+from siglex.sources.shared import written
 
 
 def histogram(tokens: DataFrame, key: list[str]) -> DataFrame:
@@ -263,6 +264,32 @@ def auc(scores: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, F.coalesce((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0)), F.lit(0.5)).alias("auc"))
 
 
+def running(rows: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Rows with ``{value}_before``: the sum of a value over the rows of ``by`` that come earlier in ``order``.
+
+    Rows are dealt by ranges of (by, order) and written; each part's totals (one row a part
+    and key) are added up, and a part adds its own rows to what stands before it. No part
+    holds all rows of a key. Rows of equal order stay in one part, in any order.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_part", *by).agg(*(F.sum(v).alias(f"_{v}") for v in values))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_part", *by, *(F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values))
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(carried, ["_part", *by]) if by else dealt.join(carried, "_part")
+    return out.withColumns({f"{v}_before": F.col(f"_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).select(*rows.columns, *(f"{v}_before" for v in values))
+
+
+def auc_by_counts(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Area under the curve of rows (by, hit, score) from counts of equal scores and running sums; null where one kind is missing."""
+    counts = scores.groupBy(*by, "score").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    below = running(counts, by, ["score"], ["misses"])
+    won = F.col("hits") * (F.col("misses_before") + F.col("misses") / 2)
+    out = below.groupBy(*by).agg(F.sum(won).alias("won"), F.sum("hits").alias("p"), F.sum("misses").alias("n"))
+    return out.select(*by, (F.col("won") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"))
+
+
 def confusion(predictions: DataFrame, by: list[str]) -> DataFrame:
     """(by, y, p, n): how often each class was given for each."""
     return predictions.groupBy(*by, "y", "p").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siglex.operators import bpe, models, signals, stats
+from siglex.operators import bpe, models, signals, stats, studies
 from siglex.operators import pipelines as P
 from siglex.plans.common import BINS, KEY, MERGES, codes, merges, query, r, train_sql, vocabulary_sql
 from siglex.plans.shape import BANDS
@@ -168,14 +168,14 @@ def _(spark, sf):
     return P.study({"states": P.histogram_rows(tokens, 20)}).join(F.broadcast(stats.mean_compression(seqs, tokens)))  # one row
 
 
+def _multi(spark, sf) -> DataFrame:
+    return T.lineitem_multi(spark, sf).withColumn("label", F.ascii("label"))
+
+
 @study("spatial_filter_tokens")
 def _(spark, sf):
-    s = signals.zscore(T.lineitem_multi(spark, sf)).withColumn("x", F.col("z")).withColumn("label", F.ascii("label")).drop("z")
-    out = {}
-    for n in (1, 2):
-        components = signals.spatial_filter(s, P.spatial_filters(s, n)).withColumnRenamed("component", "channel")
-        out[f"components{n}"] = P.histogram_rows(P.tokenised(P.coded(components), B, V), V)
-    return P.study(out)
+    """Filters and merges of each fold's training subjects, for one and two components a class."""
+    return studies.spatial_filter_tokens(_multi(spark, sf), (1, 2), 2, B, V, steps=30)
 
 
 def _states(spark, sf) -> DataFrame:
@@ -187,8 +187,35 @@ def _states(spark, sf) -> DataFrame:
 
 @study("spatial_states")
 def _(spark, sf):
-    seqs = _states(spark, sf)
-    return P.study({"states": P.histogram_rows(seqs, 16), "states_merged": P.histogram_rows(P.tokenised(seqs, 16, 20), 20)})
+    """Codebook and merges of each fold's training subjects."""
+    return studies.spatial_states(_multi(spark, sf), ["quantity", "extendedprice", "discount", "tax"], 2, 16, 20, factor=2, steps=30)
+
+
+def _loso(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return studies.evaluated({"tokens": _hist(spark, sf), "psd": P.psd_rows(_embed(spark, sf), 64.0, BANDS)}, steps=30)
+
+
+@study("loso_measures")
+def _(spark, sf):
+    """Every subject held out once: accuracy, kappa and area under the curve of each, from kept probabilities."""
+    return _loso(spark, sf)[0]
+
+
+@study("loso_confusion")
+def _(spark, sf):
+    return _loso(spark, sf)[1]
+
+
+@study("loso_summary")
+def _(spark, sf):
+    return studies.summary(_loso(spark, sf)[0], ["condition"])
+
+
+@study("downstream_features")
+def _(spark, sf):
+    """Token histograms, windows, bigrams and their union beside band powers, every subject held out once; seeds and folds are parameters of the callable."""
+    s = _embed(spark, sf)
+    return studies.summary(studies.downstream(s, B, V, lambda x: P.psd_rows(x, 64.0, BANDS), steps=12)[0], ["condition"])
 
 
 @study("transfer_study")

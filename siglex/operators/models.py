@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siglex.operators import bpe, signals, spectra, stats
+from siglex.operators import bpe, filters, signals, spectra, stats
 from siglex.sources import tables as T
 
 
@@ -60,7 +60,7 @@ def codes(rows: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, KMeansMod
 
 
 def multiband_envelope(samples: DataFrame, rate: float, bands: dict[str, tuple[float, float]], factor: int = 1) -> DataFrame:
-    """Amplitude of the analytic signal of every row within each band, as channels ``channel:band``, every ``factor``-th sample.
+    """Amplitude of the analytic signal of every row within each band, as channels ``channel:band``, resampled by 1 / ``factor`` behind a low-pass.
 
     Rows of a batch that are equally long go through one FFT as a matrix.
     """
@@ -77,13 +77,14 @@ def multiband_envelope(samples: DataFrame, rate: float, bands: dict[str, tuple[f
                 spectrum, hz = np.fft.fft(x - x.mean(1, keepdims=True), axis=1), np.fft.fftfreq(n, 1 / rate)
                 part = batch.take(pa.array(own))
                 for name, (low, high) in bands.items():
-                    y = np.abs(np.fft.ifft(np.where((hz >= low) & (hz <= high) & (hz > 0), 2 * spectrum, 0), axis=1))[:, ::factor]
+                    y = np.abs(np.fft.ifft(np.where((hz >= low) & (hz <= high) & (hz > 0), 2 * spectrum, 0), axis=1))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
                     yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array([name] * len(own)), lists], [*batch.schema.names[:4], "band", "x"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:4]) + ", band string, x array<double>"
     out = rows.mapInArrow(run, schema)
-    return out.select("subject", "trial", F.concat_ws(":", "channel", "band").alias("channel"), "label", F.posexplode("x").alias("t", "x"))
+    long = out.select("subject", "trial", F.concat_ws(":", "channel", "band").alias("channel"), "label", F.posexplode("x").alias("t", "x"))
+    return filters.rational(long, 1, factor)
 
 
 def envelope(samples: DataFrame, rate: float, low: float, high: float, factor: int = 1) -> DataFrame:

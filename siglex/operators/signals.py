@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siglex.functions import scalar as S
-from siglex.operators import ranks, spectra
+from siglex.operators import filters, ranks, spectra
 
 ROW = ["subject", "trial", "channel"]
 
@@ -316,45 +317,36 @@ def notch_kernel(low: float, high: float, rate: float, taps: int) -> list[float]
 
 
 def convolved(samples: DataFrame, kernel: list[float]) -> DataFrame:
-    """``x`` filtered by an odd, centred kernel within its row; nothing stands beyond the ends. One sort, no join."""
-    half, w = len(kernel) // 2, Window.partitionBy(*ROW).orderBy("t")
-    terms = [F.coalesce(F.lag("x", k).over(w), F.lit(0.0)) * F.lit(h) for k, h in zip(range(-half, half + 1), kernel, strict=True)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return samples.withColumn("x", total)
-
-
-def cleaned(samples: DataFrame, rate: float, low: float = 0.5, high: float = 45.0, notches: tuple[float, ...] = (50.0, 60.0), taps: int = 33) -> DataFrame:
-    """Band-pass, then a notch of two Hz at each mains frequency below half the rate."""
-    out = convolved(samples, bandpass_kernel(low, high, rate, taps))
-    for hz in notches:
-        if hz + 1 < rate / 2:
-            out = convolved(out, notch_kernel(hz - 1, hz + 1, rate, taps))
-    return out
+    """``x`` filtered by an odd, centred kernel within its row; nothing stands beyond the ends."""
+    return filters.convolved(samples, kernel)
 
 
-def downsample(samples: DataFrame, factor: int, taps: int = 33) -> DataFrame:
-    """Low-pass below the new half rate, then every ``factor``-th sample."""
-    return decimate(convolved(samples, lowpass_kernel(0.5 / factor, 1.0, taps)), factor)
+def cleaned(samples: DataFrame, rate: float, low: float = 0.5, high: float = 45.0, notches: tuple[float, ...] = (50.0, 60.0), taps: int | None = None, to_rate: float | None = None) -> DataFrame:
+    """Band-pass, then a notch of two Hz at each mains frequency below half the rate, then resampling if asked.
+
+    Without ``taps`` a kernel is as long as an edge at ``low`` that falls off within ``low`` Hz
+    needs. All kernels are symmetric, so no phase moves; they are one kernel, as filters in a row are.
+    """
+    taps = taps or filters.taps_for(rate, low)
+    kernel = np.array(bandpass_kernel(low, high, rate, taps))
+    for hz in notches:
+        if hz + 1 < rate / 2:
+            kernel = np.convolve(kernel, notch_kernel(hz - 1, hz + 1, rate, taps))
+    out = convolved(samples, kernel)
+    if to_rate is None or to_rate == rate:
+        return out
+    share = Fraction(to_rate / rate).limit_denominator(1000)
+    return filters.rational(out, share.numerator, share.denominator)
 
 
-def resample_weights(n: int, m: int) -> list[list[float]]:
-    """Weights (m rows of n) of a Fourier resampling from ``n`` to ``m`` samples: a cut or zero-filled spectrum, turned back."""
-    k = min(n, m)
-    x = np.fft.rfft(np.eye(n), axis=1)
-    y = np.zeros((n, m // 2 + 1), complex)
-    y[:, : k // 2 + 1] = x[:, : k // 2 + 1]
-    if k % 2 == 0 and n != m:
-        y[:, k // 2] *= 2.0 if m < n else 0.5
-    return (np.fft.irfft(y, m, axis=1) * (m / n)).T.tolist()
+def downsample(samples: DataFrame, up: int, down: int) -> DataFrame:
+    """Polyphase resampling by up / down behind its own low-pass."""
+    return filters.rational(samples, up, down)
 
 
 def resampled(rows: DataFrame, n: int, m: int) -> DataFrame:
-    """Arrays ``x`` of ``n`` samples as arrays of ``m``, by the weights of a Fourier resampling."""
-    weights = F.array(*(F.array(*map(F.lit, w)) for w in resample_weights(n, m)))
-    dot = lambda w: F.aggregate(F.zip_with("x", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.where(F.size("x") == n).withColumn("x", F.transform(weights, dot))
+    """Arrays ``x`` of ``n`` samples as arrays of ``m``, by Fourier resampling."""
+    return filters.fourier_resampled(rows, n, m)
 
 
 def psd(samples: DataFrame, size: int, rate: float) -> DataFrame:
@@ -412,16 +404,50 @@ def described(before: DataFrame, after: DataFrame, rate_before: float, rate_afte
     return one(before, "before", rate_before).unionByName(one(after, "after", rate_after))
 
 
-#: The band in Hz that an envelope takes for each paradigm; others fall back to the raw signal.
-PARADIGM_BANDS = {"motor": (8.0, 30.0), "sleep": (0.5, 16.0), "workload": (4.0, 13.0)}
-APPROACHES = {
-    "raw": lambda s, rate, band: s,
-    "delta": lambda s, rate, band: delta(s).withColumn("x", F.col("dx")).drop("dx"),
-    "band": lambda s, rate, band: convolved(s, bandpass_kernel(*band, rate, 17)) if band else s,
-    "block_mean": lambda s, rate, band: block_mean(s, 4),
-}
-
-
-def preprocessed(samples: DataFrame, approach: str, paradigm: str, rate: float) -> DataFrame:
-    """Samples by a named approach; bands come from the paradigm, and without one the signal stays raw."""
-    return APPROACHES[approach](samples, rate, PARADIGM_BANDS.get(paradigm))
+#: The band in Hz of an envelope for each paradigm, of any other one, and the bands of several envelopes.
+PARADIGM_BANDS = {"motor": (8.0, 30.0), "sleep": (0.5, 30.0), "ssvep": (6.0, 20.0), "p300": (1.0, 20.0), "workload": (8.0, 30.0)}
+OTHER_BAND = (8.0, 30.0)
+SEVERAL_BANDS = {"theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0)}
+VIEW_RATE = 64.0  # Hz of the downsampled view and of envelopes
+SPECTRAL_SECONDS, SPECTRAL_BAND = 1.0, (1.0, 45.0)
+
+APPROACHES = ("raw", "downsample", "envelope", "spectral", "delta", "multiband")
+
+
+def to_rate(samples: DataFrame, rate: float, target: float = VIEW_RATE) -> DataFrame:
+    """Polyphase resampling between two whole rates."""
+    return filters.rational(samples, int(target), int(rate))
+
+
+def spectral_view(samples: DataFrame, rate: float, n_times: int) -> DataFrame:
+    """Log powers of half-overlapping frames of a second, or a quarter of a row, within 1 to 45 Hz; ``t`` counts frames, then bins."""
+    size = frame_size(n_times, int(rate * SPECTRAL_SECONDS))
+    bins = [k for k in range(size // 2 + 1) if SPECTRAL_BAND[0] <= k * rate / size <= SPECTRAL_BAND[1]]
+    place = F.array_position(F.array(*map(F.lit, bins)), F.col("bin")) - 1
+    power = spectra.binned(samples, size, max(1, size // 2), finish=np.log1p, bins=bins).withColumn("t", (F.col("frame") * len(bins) + place).cast("int"))
+    names = [c for c in samples.columns if c not in (*ROW, "t", "x")]
+    out = power.select(*ROW, "t", F.col("power").alias("x"))
+    return out.join(samples.select(*ROW, *names).distinct(), ROW) if names else out
+
+
+def preprocessed(samples: DataFrame, approach: str, paradigm: str, rate: float, n_times: int) -> DataFrame:
+    """Samples by one of six named approaches; an envelope takes its paradigm's band, kept below 0.9 of half the rate, and stays raw where nothing is left of it."""
+    from siglex.operators import models
+
+    safe = lambda band: (band[0], min(band[1], 0.9 * rate / 2))
+    if approach == "downsample":
+        return to_rate(samples, rate)
+    if approach == "spectral":
+        return spectral_view(samples, rate, n_times)
+    if approach == "delta":
+        return delta(samples).withColumn("x", F.col("dx")).drop("dx")
+    if approach == "envelope":
+        low, high = safe(PARADIGM_BANDS.get(paradigm, OTHER_BAND))
+        return to_rate(models.envelope(samples, rate, low, high), rate) if low < high else samples
+    if approach == "multiband":
+        bands = {name: safe(band) for name, band in SEVERAL_BANDS.items()}
+        bands = {name: band for name, band in bands.items() if band[0] < band[1]}
+        return to_rate(models.multiband_envelope(samples, rate, bands), rate) if bands else samples
+    if approach != "raw":
+        raise ValueError(f"unknown approach {approach!r}")
+    return samples

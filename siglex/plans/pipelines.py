@@ -153,7 +153,7 @@ def _(spark, sf):
 def _(spark, sf):
     s, out = _embed(spark, sf), {}
     for a in signals.APPROACHES:
-        view = signals.preprocessed(s, a, "motor", 64.0)
+        view = signals.preprocessed(s, a, "motor", 128.0, 64)
         view = view if "label" in view.columns else view.join(s.select(*P.TRIAL).distinct(), ["subject", "trial"])
         out[a] = P.histogram_rows(P.tokenised(P.coded(view), B, V), V)
     return P.study(out)

@@ -155,20 +155,32 @@ def _(spark, sf):
 
 
 # --- transforms ---
-def _fir_sql(source: str, kernel: list[float], name: str) -> str:
-    half = len(kernel) // 2
-    terms = " + ".join(f"coalesce(lag(x, {k}) OVER w, 0) * ({h!r})::DOUBLE" for k, h in zip(range(-half, half + 1), kernel, strict=True))
-    return f"{name} AS (SELECT trial, t, {terms} AS x FROM {source} WINDOW w AS (PARTITION BY trial ORDER BY t))"
+def _sinc_sql(name: str, cut: float, half: int) -> str:
+    """CTE (k, v): a Hamming-windowed sinc low-pass of 2 half + 1 taps, sum one."""
+    return f"{name} AS (SELECT k, v / sum(v) OVER () AS v FROM (SELECT k, (CASE WHEN k = 0 THEN 2 * {cut}::DOUBLE ELSE sin(2 * pi() * {cut}::DOUBLE * k) / (pi() * k) END) * (0.54 + 0.46 * cos(pi() * k / {half})) AS v FROM (SELECT unnest(range(-{half}, {half} + 1)) AS k)))"
 
 
-@query("bandpass_notch", EMB + ", " + _fir_sql("e", signals.bandpass_kernel(0.5, 24.0, 64.0, 17), "f0") + ", " + _fir_sql("f0", signals.notch_kernel(15.0, 17.0, 64.0, 17), "f1") + f" SELECT trial, t, {r('x', 'x')} FROM f1")
+def _polyphase_sql(name: str, source: str, down: int, by: str = "trial") -> str:
+    """CTE (by, t, x): a Kaiser-windowed low-pass (beta 5, ten samples of the slower rate on each side) at every ``down``-th sample."""
+    half = 10 * down
+    bessel = lambda x: f"list_sum(list_transform(range(30), lambda j: pow(({x}) / 2, 2 * j) / pow(factorial(j::INT)::DOUBLE, 2)))"
+    return f"""h{name} AS (SELECT k, v / sum(v) OVER () AS v FROM (SELECT k, (CASE WHEN k = 0 THEN 1.0 / {down} ELSE sin(pi() * k / {down}) / (pi() * k) END) * {bessel(f'5 * sqrt(1 - pow(k / {half}.0, 2))')} AS v FROM (SELECT unnest(range(-{half}, {half} + 1)) AS k))),
+{name} AS (SELECT {by}, a.t // {down} AS t, sum(b.x * v) AS x FROM (SELECT {by}, t FROM {source} WHERE t % {down} = 0) a JOIN {source} b USING ({by}) JOIN h{name} ON k = a.t - b.t GROUP BY {by}, a.t)"""
+
+
+_BAND = [_sinc_sql("l0", 0.5 / 64, 212), _sinc_sql("l1", 24 / 64, 212), _sinc_sql("l2", 15 / 64, 212), _sinc_sql("l3", 17 / 64, 212)]
+_CLEAN = ", ".join(_BAND) + """, band AS (SELECT l1.k, l1.v - l0.v AS v FROM l0 JOIN l1 USING (k)), notch AS (SELECT l2.k, (l2.k = 0)::INT - (l3.v - l2.v) AS v FROM l2 JOIN l3 USING (k)),
+kernel AS (SELECT a.k + b.k AS k, sum(a.v * b.v) AS v FROM band a, notch b WHERE abs(a.k + b.k) < 64 GROUP BY 1)"""
+
+
+@query("bandpass_notch", EMB + ", " + _CLEAN + f" SELECT trial, a.t, {r('sum(b.x * v)', 'x')} FROM e a JOIN e b USING (trial) JOIN kernel ON k = a.t - b.t GROUP BY trial, a.t")
 def _(spark, sf):
-    return signals.cleaned(T.embed_trials(spark, sf), 64.0, 0.5, 24.0, (16.0, 60.0), 17).select("trial", "t", "x")
+    return signals.cleaned(T.embed_trials(spark, sf), 64.0, 0.5, 24.0, (16.0, 60.0)).select("trial", "t", "x")
 
 
-@query("downsample_polyphase", EMB + ", " + _fir_sql("e", signals.lowpass_kernel(0.25, 1.0, 17), "f0") + f" SELECT trial, t // 2 AS t, {r('x', 'x')} FROM f0 WHERE t % 2 = 0")
+@query("downsample_polyphase", EMB + ", " + _polyphase_sql("f0", "e", 2) + f" SELECT trial, t, {r('x', 'x')} FROM f0")
 def _(spark, sf):
-    return signals.downsample(T.embed_trials(spark, sf), 2, 17).select("trial", "t", "x")
+    return signals.downsample(T.embed_trials(spark, sf), 1, 2).select("trial", "t", "x")
 
 
 @query("resample_fft", EMB + f""", m AS (SELECT unnest(range(24)) AS m), k AS (SELECT unnest(range(1, 12)) AS k), w AS (SELECT m, t, (1 + 2 * (SELECT sum(cos(2 * pi() * k * (m / 24.0 - t / 64.0))) FROM k) + 2 * cos(pi() * m) * cos(2 * pi() * 12 * t / 64.0)) / 64.0 AS w FROM m, (SELECT unnest(range(64)) AS t))
@@ -217,14 +229,6 @@ def _(spark, sf):
     return signals.segments(T.embed_trials(spark, sf), 24).groupBy("subject", "label", "trial", "segment").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
 
 
-@query("preprocess_approaches", EMB + ", " + _fir_sql("e", signals.bandpass_kernel(8.0, 30.0, 64.0, 17), "f0") + f""", a AS (SELECT 'raw' AS approach, trial, x FROM e UNION ALL SELECT 'delta', trial, coalesce(x - lag(x) OVER (PARTITION BY trial ORDER BY t), 0) FROM e
-UNION ALL SELECT 'band', trial, x FROM f0 UNION ALL SELECT 'block_mean', trial, avg(x) FROM e GROUP BY trial, t // 4) SELECT approach, trial, count(*) AS n, {r('sum(x * x)', 'energy')} FROM a GROUP BY approach, trial""")
-def _(spark, sf):
-    s = T.embed_trials(spark, sf)
-    parts = [signals.preprocessed(s, a, "motor", 64.0).select(F.lit(a).alias("approach"), "trial", "x") for a in signals.APPROACHES]
-    return T.union_results(*parts).groupBy("approach", "trial").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("energy"))
-
-
 @query("describe_preprocessing", EMB + f""", d AS (SELECT trial, t // 2 AS t, x FROM e WHERE t % 2 = 0), a AS (SELECT 'before' AS stage, 64.0 AS rate, trial, count(*) AS n, min(x) AS low, max(x) AS high FROM e GROUP BY trial UNION ALL SELECT 'after', 32.0, trial, count(*), min(x), max(x) FROM d GROUP BY trial)
 SELECT stage, count(*) AS n_rows, sum(n)::BIGINT AS n_samples, {r('max(n) / max(rate)', 'seconds')}, {r('min(low)', 'low')}, {r('max(high)', 'high')} FROM a GROUP BY stage""")
 def _(spark, sf):
@@ -244,7 +248,20 @@ def _envelope_sql(low: float, high: float, k: str) -> str:
 e{k} AS (SELECT trial, m AS t, sqrt(pow(sum(re * cos(2 * pi() * k * m / 64) - im * sin(2 * pi() * k * m / 64)), 2) + pow(sum(re * sin(2 * pi() * k * m / 64) + im * cos(2 * pi() * k * m / 64)), 2)) / 32 AS x FROM s{k}, (SELECT unnest(range(64)) AS m) GROUP BY trial, m)"""
 
 
-@query("envelope", EMB + ", " + _envelope_sql(4, 12, "n") + f" SELECT trial, t // 4 AS t, {r('x', 'x')} FROM en WHERE t % 4 = 0")
+_VIEWS = ", ".join([
+    _polyphase_sql("d2", "e", 2), _envelope_sql(4, 15, "v"), _polyphase_sql("n2", "ev", 2), *(f"{_envelope_sql(a, b, n)}, {_polyphase_sql(n + '2', 'e' + n, 2)}" for n, a, b in (("w", 2, 4), ("x", 4, 6), ("y", 7, 15))),
+])
+
+
+@query("preprocess_approaches", _FRAMED.format(detrend="") + ", " + _VIEWS + f""", a AS (SELECT 'raw' AS approach, trial, x FROM e UNION ALL SELECT 'delta', trial, coalesce(x - lag(x) OVER (PARTITION BY trial ORDER BY t), 0) FROM e UNION ALL SELECT 'downsample', trial, x FROM d2
+UNION ALL SELECT 'envelope', trial, x FROM n2 UNION ALL SELECT 'spectral', trial, ln(1 + power) FROM p WHERE bin BETWEEN 1 AND 5 UNION ALL SELECT 'multiband', trial, x FROM (SELECT * FROM w2 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM y2)) SELECT approach, trial, count(*) AS n, {r('sum(x * x)', 'energy')} FROM a GROUP BY approach, trial""")
+def _(spark, sf):
+    s = T.embed_trials(spark, sf)
+    parts = [signals.preprocessed(s, a, "motor", 128.0, 64).select(F.lit(a).alias("approach"), "trial", "x") for a in signals.APPROACHES]
+    return T.union_results(*parts).groupBy("approach", "trial").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("energy"))
+
+
+@query("envelope", EMB + ", " + _envelope_sql(4, 12, "n") + ", " + _polyphase_sql("n4", "en", 4) + f" SELECT trial, t, {r('x', 'x')} FROM n4")
 def _(spark, sf):
     return models.envelope(T.embed_trials(spark, sf), 64.0, 4.0, 12.0, 4).select("trial", "t", "x")
 

@@ -130,6 +130,29 @@ def components(rows: DataFrame, k: int, n: int) -> np.ndarray:
     return np.stack(out)
 
 
+def wide_components(rows: DataFrame, n: int, more: int = 10, rounds: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """((n, features) principal components, their variances) of rows with many features, without a matrix of features squared.
+
+    A random range finder with power rounds: each round one job sums X'X Q for a thin Q (n + ``more`` columns),
+    which the driver makes orthonormal; the last solves the small matrix Q'X'X Q.
+    """
+    held = plain(rows).select("features")
+    first = summed(held, [], lambda p: {0: np.vstack([p["x"].sum(0), np.full(p["x"].shape[1], len(p["x"]))])})[0]
+    mean, total = first[0] / first[1, 0], first[1, 0]
+    d = len(mean)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, min(d, n + more))))[0]
+
+    def products(p: Batch, q: np.ndarray) -> dict[int, np.ndarray]:
+        x = p["x"] - mean
+        return {0: x.T @ (x @ q)}
+
+    for _ in range(rounds):
+        q = np.linalg.qr(summed(held, [], lambda p, q=q: products(p, q))[0])[0]
+    value, vector = np.linalg.eigh(q.T @ summed(held, [], lambda p: products(p, q))[0] / total)
+    own = (q @ vector[:, ::-1][:, :n]).T
+    return own * np.where(own[np.arange(len(own)), np.abs(own).argmax(1)] < 0, -1, 1)[:, None], value[::-1][:n]
+
+
 def transformed(rows: DataFrame, function: Callable[[int, np.ndarray], np.ndarray], k: int, training: bool = True) -> DataFrame:
     """Rows (.., fold, model, features) as each fold's fit sees them: ``function(model, matrix)``; with ``training`` false only those held out."""
     names = [c for c in rows.columns if c != "features"]

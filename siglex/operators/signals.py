@@ -235,6 +235,23 @@ def time_chunks(samples: DataFrame, seconds: int) -> DataFrame:
     return samples.withColumn("chunk", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(seconds * 1_000_000)))
 
 
+def span_chunks(samples: DataFrame, spans: DataFrame, seconds: int) -> DataFrame:
+    """Samples (subject, ts, ..) with ``label``, ``start`` and ``chunk`` of every whole chunk of an annotated span (subject, start, end, label) that holds them.
+
+    A span is cut from its start into chunks of ``seconds``; what is left at its end, spans
+    shorter than a chunk and samples outside all spans go. Spans may overlap: a sample then stands in each. An
+    interval join cut to buckets of a chunk's length, of which a chunk meets two.
+    """
+    size = F.lit(seconds * 1_000_000).cast("long")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    whole = spans.withColumn("_low", micros("start")).withColumn("_n", F.floor((micros("end") - F.col("_low")) / size).cast("int")).where("_n > 0")
+    chunks = whole.select("subject", "label", "start", "_low", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk")).withColumn("_low", F.col("_low") + F.col("chunk") * size)
+    buckets = F.array_distinct(F.array(F.floor(F.col("_low") / size), F.floor((F.col("_low") + size - 1) / size)))
+    c = chunks.withColumn("_bucket", F.explode(buckets))
+    s = samples.withColumn("_at", micros("ts")).withColumn("_bucket", F.floor(F.col("_at") / size))
+    return s.join(c, ["subject", "_bucket"]).where((F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_low") + size)).drop("_bucket", "_at", "_low")
+
+
 def relayout(trials: DataFrame, column: str, shape: tuple[int, int, int]) -> DataFrame:
     """Trials (key columns, repetition, channel, t, x) of an array laid out as channel, time, repetition."""
     channels, times, repetitions = shape

@@ -6,7 +6,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siglex.operators import bpe, models, signals, stats, studies
+from siglex.operators import bpe, folds, models, signals, stats, studies
 from siglex.operators import pipelines as P
 from siglex.plans.common import BINS, KEY, MERGES, codes, merges, query, r, train_sql, vocabulary_sql
 from siglex.plans.shape import BANDS
@@ -111,8 +111,9 @@ def _(spark, sf):
 
 @study("pca_reduction")
 def _(spark, sf):
-    rows = P.reduced(P.array_rows(_embed(spark, sf), ["t"], "x", _embed(spark, sf)), 8)
-    return rows.select("trial", F.size(P.vector_to_array("features")).alias("n_features"))
+    """Eight components of the trials' samples by the random range finder, with their variances."""
+    found, variance = folds.wide_components(shared.written(P.array_rows(_embed(spark, sf), ["t"], "x", _embed(spark, sf)), "trials"), 8)
+    return spark.createDataFrame([(k + 1, float(v), [float(w) for w in c]) for k, (v, c) in enumerate(zip(variance, found, strict=True))], "component int, variance double, weights array<double>")
 
 
 @study("baseline_models")

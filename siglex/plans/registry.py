@@ -243,7 +243,7 @@ def _(spark, sf):
     return stats.zipf(T.char_counts(spark, sf, []).withColumnRenamed("tok", "token"))
 
 
-@query("heaps_curve", CH + ", n AS (SELECT trial, count(*) AS n FROM d GROUP BY trial), f AS (SELECT trial, count(*) AS fresh FROM (SELECT min(trial) AS trial FROM d GROUP BY tok) GROUP BY trial) SELECT trial, (sum(n) OVER (ORDER BY trial))::BIGINT AS n_tokens, (sum(coalesce(fresh, 0)) OVER (ORDER BY trial))::BIGINT AS n_unique FROM n LEFT JOIN f USING (trial)")
+@query("heaps_curve", CH + ", n AS (SELECT trial, count(*) AS n FROM d GROUP BY trial), f AS (SELECT trial, count(*) AS fresh FROM (SELECT min(trial) AS trial FROM d GROUP BY tok) GROUP BY trial) SELECT trial, n_tokens, n_unique FROM (SELECT trial, (sum(n) OVER w)::BIGINT AS n_tokens, (sum(coalesce(fresh, 0)) OVER w)::BIGINT AS n_unique, row_number() OVER w AS i, count(*) OVER () AS total FROM n LEFT JOIN f USING (trial) WINDOW w AS (ORDER BY trial)) WHERE i * 200 // total <> (i - 1) * 200 // total")
 def _(spark, sf):
     return stats.heaps(T.doc_tokens(spark, sf), "trial")
 

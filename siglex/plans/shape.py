@@ -46,6 +46,16 @@ def _(spark, sf):
     return T.grouped_names(T.table(spark, sf, "orders"), "o_orderpriority", STAGES).groupBy("stage", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
+@query("span_chunks", f"""WITH sp AS (SELECT user_id, event_type AS label, min(ts) AS a, max(ts) AS b FROM events GROUP BY ALL), ch AS (SELECT user_id, label, a, unnest(range((epoch_us(b) - epoch_us(a)) // 86400000000)) AS chunk FROM sp)
+SELECT user_id, label, chunk, count(*) AS n, {r('sum(value)', 'total')} FROM ch JOIN events e USING (user_id) WHERE epoch_us(e.ts) >= epoch_us(a) + chunk * 86400000000 AND epoch_us(e.ts) < epoch_us(a) + (chunk + 1) * 86400000000 GROUP BY ALL""".replace("WITH ", "", 1))
+def _(spark, sf):
+    """Spans of each user and event type from its first to its last event, overlapping; whole days of each."""
+    e = T.table(spark, sf, "events").withColumnRenamed("user_id", "subject")
+    spans = e.groupBy("subject", F.col("event_type").alias("label")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    rows = signals.span_chunks(e.select("subject", "ts", "value"), spans, 86400)
+    return rows.groupBy(F.col("subject").alias("user_id"), "label", "chunk").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 @query("fixed_chunks", f"SELECT user_id, epoch_us(ts) // 86400000000 AS chunk, count(*) AS n, {r('sum(value)', 'total')} FROM events GROUP BY ALL")
 def _(spark, sf):
     return signals.time_chunks(T.table(spark, sf, "events"), 86400).groupBy("user_id", "chunk").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -132,8 +142,9 @@ def _(spark, sf):
 def _(spark, sf):
     place, params = shared.path(spark, "features"), {"method": "uniform", "bins": 16, "table": sf}
     made = lambda: codes(spark, sf).groupBy(*KEY, F.col("tok").alias("token")).agg(F.count("*").alias("n"))
-    T.materialised(spark, place, params, made)
-    return T.materialised(spark, place, params, made)  # read, not made again
+    inputs = (T.table(spark, sf, "events"),)
+    T.materialised(spark, place, params, made, inputs)
+    return T.materialised(spark, place, params, made, inputs)  # read, not made again
 
 
 # --- quantisation, normalisation ---

@@ -36,3 +36,16 @@ def removed(spark: SparkSession, place: str) -> None:
     """Delete a table that nothing reads any more, by the file system of its path."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, place: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def moved(spark: SparkSession, place: str, to: str) -> bool:
+    """Rename a table; false where ``to`` is there already."""
+    if exists(spark, to):
+        return False
+    path, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (place, to))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).rename(path, target)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siglex.sources import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -181,12 +183,26 @@ def logged(results: DataFrame, experiment: str, config: list[str]) -> DataFrame:
     return results.withColumn("experiment", F.lit(experiment)).withColumn("config", config_hash(*config)).withColumn("logged_at", F.current_timestamp())
 
 
-def materialised(spark: SparkSession, folder: str, params: dict[str, object], made: Callable[[], DataFrame]) -> DataFrame:
-    """``made()`` as a table named by the digest of its parameters; built once, read ever after."""
-    name = hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()
-    path = f"{folder}/features-{name}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        made().write.parquet(path)
-        return spark.read.parquet(path)
+def content_digest(rows: DataFrame) -> str:
+    """A digest of a table's schema and rows, whatever their order: their number and the sums of two hashes of each, added up map-side."""
+    columns = sorted(rows.columns)
+    each = [F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in columns)).cast("decimal(38,0)") for seed in (1, 2)]
+    total = rows.agg(F.count("*").alias("n"), *(F.sum(h).alias(f"h{k}") for k, h in enumerate(each))).first()
+    text = json.dumps([[(c, rows.schema[c].dataType.simpleString()) for c in columns], *(str(v) for v in total)])
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def materialised(spark: SparkSession, folder: str, params: dict[str, object], made: Callable[[], DataFrame], inputs: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """``made()`` as a table named by the digests of its parameters and of the content of its inputs; built once, read ever after.
+
+    A changed row of an input gives another name. The table is written aside and moved to
+    its name when whole, so that no reader meets half of it; if another writer came first, its table is read.
+    """
+    key = json.dumps([params, [content_digest(d) for d in inputs]], sort_keys=True)
+    name = hashlib.sha256(key.encode()).hexdigest()
+    place, aside = f"{folder}/features-{name}", f"{folder}/features-{name}-{uuid.uuid4().hex}"
+    if not shared.exists(spark, place):
+        made().write.parquet(aside)
+        if not shared.moved(spark, aside, place):
+            shared.removed(spark, aside)
+    return spark.read.parquet(place)

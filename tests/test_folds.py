@@ -118,3 +118,12 @@ def test_spatial_studies(spark):
     assert np.mean([x.accuracy for x in tokens if x.condition == "log_variance"]) > 0.8
     states = studies.spatial_states(s, ["c0", "c1", "c2"], 2, codes=4, vocabulary=5, steps=4).collect()
     assert len(states) == 4 and all(0 <= x.auc <= 1 for x in states)
+
+
+def test_random_range_finder(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(150, 60)) * np.concatenate([[30, 20, 12, 8], np.full(56, 0.3)]) @ np.linalg.qr(r.normal(size=(60, 60)))[0] + 500
+    found, variance = folds.wide_components(spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>").repartition(3), 4)
+    value, vector = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.allclose(np.linalg.svd(found @ vector[:, ::-1][:, :4])[1], 1, atol=1e-9)  # no angle between the subspaces
+    assert np.allclose(variance, value[::-1][:4], rtol=1e-9)

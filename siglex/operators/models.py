@@ -106,7 +106,7 @@ def logreg_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rf_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.classification(cross_validated(_trials(spark, sf), _subject_folds(spark, sf), "subject", lambda d: forest(d, 10, 5), 3), ["fold"])
+    return stats.classification(cross_validated(_trials(spark, sf), _subject_folds(spark, sf), "subject", lambda d: forest(d, 200, 20), 3), ["fold"])
 
 
 def kmeans_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,10 +140,6 @@ def bpe_train_relaxed(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.merge_table(spark, bpe.train(bpe.sequences(coded, ["subject", "channel"]), 64, 96, relaxed=8), 64)
 
 
-def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap(T.table(spark, sf, "events").select("event_id", "value"), "value", 100)
-
-
 QUERIES = {
     "logreg_cv": logreg_cv,
     "rf_cv": rf_cv,
@@ -151,5 +147,4 @@ QUERIES = {
     "spatial_tokens": spatial_tokens,
     "spectral_tokens": spectral_tokens,
     "bpe_train_relaxed": bpe_train_relaxed,
-    "bootstrap_ci": bootstrap_ci,
 }

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglex.operators import bpe, models, signals, stats
+from siglex.operators import bpe, folds, models, signals, stats
 from siglex.sources.shared import written
 from siglex.sources.tables import union_results
 
@@ -78,24 +77,19 @@ class Discriminant:
 
 
 def discriminant(train: DataFrame, ridge: float = 1e-3) -> Discriminant:
-    """Class means and pooled covariance by one aggregation (sums of features and of their products)."""
-    rows = train.select(F.col("label").cast("long").alias("label"), vector_to_array("features").alias("x"))
-    first = rows.select(F.size("x").alias("n")).first()
-    if first is None:
+    """Class means and pooled covariance by one aggregation: sums of features and of their products, one matrix a class and task."""
+    rows = folds.plain(train).select(F.col("label").cast("long").alias("label"), "features")
+
+    def moments(p: folds.Batch) -> dict[int, np.ndarray]:
+        return {int(c): np.vstack([x.T @ x, x.sum(0), np.full(x.shape[1], len(x))]) for c in np.unique(p["label"]) for x in [p["x"][p["label"] == c]]}
+
+    found = folds.summed(rows, ["label"], moments)
+    if not found:
         raise ValueError("no rows to fit on")
-    n = first.n
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y, x = batch.column(0).to_numpy(), np.asarray(batch.column(1).flatten()).reshape(-1, n)
-            for c in np.unique(y):
-                own = x[y == c]
-                values = np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), c)), pa.array(np.arange(len(values))), pa.array(values)], ["label", "i", "v"])
-
-    sums: dict[int, np.ndarray] = {}
-    for r in rows.mapInArrow(moments, "label long, i long, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect():  # classes times squared features
-        sums.setdefault(r.label, np.zeros(1 + n + n * n))[r.i] = r.v
+    n = next(iter(found.values())).shape[1]
+    if n > folds.WIDEST:
+        raise ValueError(f"{n} features: products are summed for up to {folds.WIDEST}")
+    sums = {c: np.concatenate([[m[n + 1, 0]], m[n], m[:n].ravel()]) for c, m in found.items()}
     labels = sorted(sums)
     counts = np.array([sums[c][0] for c in labels])
     mean = np.array([sums[c][1 : n + 1] for c in labels]) / counts[:, None]

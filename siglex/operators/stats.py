@@ -126,16 +126,6 @@ def holm(tests: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
     return tests.withColumn("p_holm", F.least(F.lit(1.0), F.col(p) * (F.count("*").over(of) - first + 1)))
 
 
-def bootstrap(values: DataFrame, column: str, replicates: int, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """(mean, low, high): Poisson resampling weights by hash, so that every row meets each replicate once and re-runs agree."""
-    reps = values.select(column, F.xxhash64(F.lit(seed), F.struct(*values.columns)).alias("h")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64("h", "rep"), F.lit(1 << 40)) / float(1 << 40)
-    cuts = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)  # of the Poisson law of mean 1
-    k = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    means = reps.withColumn("k", k).groupBy("rep").agg((F.sum(F.col("k") * F.col(column)) / F.sum("k")).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
-
-
 def leave_one_out(subjects: DataFrame) -> DataFrame:
     """(fold, subject): every subject is the test part of one fold; all others are its training part (an anti join)."""
     s = subjects.select("subject").distinct()
@@ -184,8 +174,10 @@ def classification(predictions: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("kappa", F.when(F.col("chance") < 1, (F.col("accuracy") - F.col("chance")) / (1 - F.col("chance"))).otherwise(0.0)).drop("chance")
 
 
-def fold_summary(folds: DataFrame, key: list[str]) -> DataFrame:
-    return folds.groupBy(*key).agg(F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"), F.count("*").alias("n_folds"))
+def fold_summary(folds: DataFrame, key: list[str], values: tuple[str, ...] = ("accuracy", "kappa")) -> DataFrame:
+    """Mean and deviation of each measure over folds."""
+    each = [f(v).alias(f"{v}_{name}") for v in values for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return folds.groupBy(*key).agg(*each, F.count("*").alias("n_folds"))
 
 
 def elbow(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

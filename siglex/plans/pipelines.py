@@ -286,8 +286,8 @@ def _(spark, sf):
 
 @study("ablation_grid")
 def _(spark, sf):
-    rows = {f"B{b}_V{v}": _hist(spark, sf, bins=b, size=v) for b, v in ((8, 12), (16, 22))}
-    return T.union_results(*(P.study(rows, m).withColumn("model", F.lit(m)) for m in ("logreg", "lda")))
+    rows = {f"B{b}_V{v}": _hist(spark, sf, bins=b, size=v) for b in (8, 16) for v in (20, 28)}
+    return T.union_results(*(P.study(rows, m).withColumn("model", F.lit(m)) for m in ("logreg", "forest")))
 
 
 @study("ablation_subjects")
@@ -304,13 +304,13 @@ def _(spark, sf):
 @study("ablation_corpus")
 def _(spark, sf):
     seqs = P.coded(_embed(spark, sf))
-    return P.study({f"corpus{n}": P.histogram_rows(P.tokenised(seqs, B, V, seqs.orderBy("trial").limit(n)), V) for n in (50, 200)})
+    return P.study({f"corpus{n or '_all'}": P.histogram_rows(P.tokenised(seqs, B, V, seqs.orderBy("trial").limit(n) if n else seqs), V) for n in (25, 50, 100, 200, None)})
 
 
 @study("ablation_windows")
 def _(spark, sf):
     t, out = bpe.exploded(shared.written(_tokens(spark, sf), "tokens"), P.TRIAL), {}
-    for w in (2, 5):
+    for w in (1, 2, 4, 8):
         own = stats.windowed(t, P.TRIAL, w).withColumn("tok", F.col("window") * V + F.col("tok"))
         out[f"windows{w}"] = P.vectors(stats.histogram(own, P.TRIAL), P.TRIAL, w * V)
     return P.study(out)
@@ -318,13 +318,13 @@ def _(spark, sf):
 
 @study("ablation_normalisation")
 def _(spark, sf):
-    return P.study({n: _hist(spark, sf, norm=n) for n in ("per_row", "per_channel", "robust", "none")})
+    return P.study({n: _hist(spark, sf, norm=n) for n in ("per_row", "per_channel", "per_trial", "robust", "none")})
 
 
 @study("ablation_segments")
 def _(spark, sf):
     s, out = _embed(spark, sf), {}
-    for n in (16, 32):
+    for n in (16, 32, 64):  # the last is a whole trial
         cut = signals.segments(s, n).withColumn("trial", F.col("trial") * 1000 + F.col("segment")).withColumn("t", F.col("t_in"))
         out[f"samples{n}"] = P.histogram_rows(P.tokenised(P.coded(cut), B, V), V)
     return P.study(out)

@@ -331,10 +331,13 @@ def _(spark, sf):
     return stats.classification(labels, [])
 
 
-@query("fold_summary", f"w AS (SELECT l_returnflag AS config, l_suppkey % 5 AS fold, avg(CASE WHEN l_discount >= l_tax THEN 1.0 ELSE 0.0 END) AS accuracy FROM lineitem GROUP BY ALL) SELECT config, {r('avg(accuracy)', 'accuracy_mean')}, {r('stddev_pop(accuracy)', 'accuracy_std')}, count(*) AS n_folds FROM w GROUP BY config")
+@query("fold_summary", f"""w AS (SELECT l_returnflag AS config, l_suppkey % 5 AS fold, (l_tax >= 0.04)::INT AS y, (l_discount >= 0.05)::INT AS p FROM lineitem),
+a AS (SELECT config, fold, avg((y = p)::INT) AS accuracy, avg(y) * avg(p) + (1 - avg(y)) * (1 - avg(p)) AS chance FROM w GROUP BY ALL), k AS (SELECT *, CASE WHEN chance < 1 THEN (accuracy - chance) / (1 - chance) ELSE 0 END AS kappa FROM a)
+SELECT config, {r('avg(accuracy)', 'accuracy_mean')}, {r('stddev_pop(accuracy)', 'accuracy_std')}, {r('avg(kappa)', 'kappa_mean')}, {r('stddev_pop(kappa)', 'kappa_std')}, count(*) AS n_folds FROM k GROUP BY config""")
 def _(spark, sf):
-    w = T.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("config"), (F.col("l_suppkey") % 5).alias("fold")).agg(F.avg(F.when(F.col("l_discount") >= F.col("l_tax"), 1.0).otherwise(0.0)).alias("accuracy"))
-    return stats.fold_summary(w, ["config"])
+    high = lambda c, v: (F.col(c) >= v).cast("int")
+    w = T.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("config"), (F.col("l_suppkey") % 5).alias("fold"), high("l_tax", 0.04).alias("y"), high("l_discount", 0.05).alias("p"))
+    return stats.fold_summary(stats.classification(w, ["config", "fold"]), ["config"])
 
 
 @query("elbow", "c AS (SELECT event_type AS g, floor(value / 20)::BIGINT AS x, count(*) AS n FROM events GROUP BY ALL), y AS (SELECT g, x, sum(n) OVER (PARTITION BY g ORDER BY x) AS y FROM c), b AS (SELECT *, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) AS sx, (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) AS sy FROM y WINDOW w AS (PARTITION BY g)) SELECT g, arg_max(x, (round(abs(sx - sy), 9), -x)) AS elbow FROM b GROUP BY g")

@@ -221,12 +221,15 @@ def _(spark, sf):
     return stats.masked(stats.histogram(_tokens(spark, sf, learnt), KEY), KEY, bad)
 
 
-@query("feature_concat", train_sql(MERGES) + f""", h AS (SELECT subject, channel, count(*) AS n, count(DISTINCT tok) AS kinds FROM {LAST} GROUP BY ALL), b AS (SELECT subject, channel, count(*) AS n_bigrams FROM (SELECT subject, channel, tok, lead(tok) OVER (PARTITION BY subject, channel ORDER BY pos) AS r FROM {LAST}) WHERE r IS NOT NULL GROUP BY ALL)
-SELECT subject, channel, kinds AS n_tokens, (SELECT count(*) FROM (SELECT DISTINCT tok, r FROM (SELECT subject AS s2, channel AS c2, tok, lead(tok) OVER (PARTITION BY subject, channel ORDER BY pos) AS r FROM {LAST}) WHERE s2 = h.subject AND c2 = h.channel AND r IS NOT NULL)) AS n_bigrams FROM h""")
+@query("feature_concat", train_sql(MERGES) + f""", g AS (SELECT subject, channel, tok, lead(tok) OVER (PARTITION BY subject, channel ORDER BY pos) AS r FROM {LAST}),
+f AS (SELECT subject, channel, tok::VARCHAR AS feature, count(*) AS n FROM g GROUP BY ALL), b AS (SELECT subject, channel, tok || ':' || r AS feature, count(*) AS n FROM g WHERE r IS NOT NULL GROUP BY ALL)
+SELECT subject, channel, feature, {r('n / sum(n) OVER (PARTITION BY subject, channel)', 'share')} FROM f UNION ALL SELECT subject, channel, feature, {r('n / sum(n) OVER (PARTITION BY subject, channel)', 'share')} FROM b""")
 def _(spark, sf):
     t = _tokens(spark, sf)
     both = stats.concatenated(stats.histogram(t, KEY), stats.capped_bigrams(t, KEY, VOCABULARY), KEY)
-    return both.select(*KEY, F.size("tokens").alias("n_tokens"), F.size("bigrams").alias("n_bigrams"))
+    one = F.transform("tokens", lambda x: F.struct(x["token"].cast("string").alias("feature"), x["share"].alias("share")))
+    two = F.transform("bigrams", lambda x: F.struct(F.concat_ws(":", x["l"].cast("string"), x["r"].cast("string")).alias("feature"), x["share"].alias("share")))
+    return both.select(*KEY, F.inline(F.concat(one, two)))
 
 
 @query("spectral_compression", train_sql(MERGES) + f" SELECT {r('(SELECT avg(n) FROM (SELECT count(*) AS n FROM c GROUP BY subject, channel)) / (SELECT avg(n) FROM (SELECT count(*) AS n FROM ' + LAST + ' GROUP BY subject, channel))', 'compression')}")

@@ -77,11 +77,12 @@ def test_filters_keep_their_band(spark):
     assert power(signals.cleaned(s, 64.0, 0.5, 31.0, (20.0, 50.0), 63))[1] > 0.3
 
 
-def test_fourier_resampling_of_a_sine_is_the_sine():
+def test_fourier_resampling_of_a_sine_is_the_sine(spark):
     for n, m in ((64, 32), (64, 24), (32, 64)):
-        w = np.array(signals.resample_weights(n, m))
         x, y = (np.cos(2 * np.pi * 3 * np.arange(k) / k + 0.4) for k in (n, m))
-        assert np.allclose(w @ x, y)
+        rows = spark.createDataFrame([(k, (k * x).tolist()) for k in (1, 2)] + [(3, [1.0])], "k int, x array<double>")
+        got = {r.k: r.x for r in signals.resampled(rows, n, m).collect()}
+        assert got.keys() == {1, 2} and all(np.allclose(got[k], k * y) for k in got)
 
 
 def test_models_tell_two_states_apart(spark):

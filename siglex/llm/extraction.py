@@ -120,8 +120,15 @@ def labelled(page: str, mark: int) -> tuple[list[list[float]], list[int]]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, per_page: int = LAYOUTS) -> boosting.Trees | None:
-    """Trees from at most ``sample`` pages with a mark, taken by a hash of id, address and page; None if none has a marked article."""
-    rows = pages.where(F.col("html").rlike(MARK)).where(F.regexp_replace("html", HIDDEN, "").rlike(MARK)).select("html", F.xxhash64("page_id", "url", "html").alias("h")).orderBy("h").limit(sample).select("html", "h").collect()
+    """Trees from at most ``sample`` pages with a mark, taken by a hash of id, address and page; None if none has a marked article.
+
+    The hashes are chosen first, so that only the chosen pages travel; repeated rows are one page.
+    """
+    marked = F.col("html").rlike(MARK) & F.regexp_replace("html", HIDDEN, "").rlike(MARK)
+    hashed = pages.select("html", F.xxhash64("page_id", "url", "html").alias("h"))
+    least = [r.h for r in hashed.where(marked).select("h").distinct().orderBy("h").limit(sample).collect()]
+    chosen = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.first("html").alias("html")) if least else None
+    rows = sorted(chosen.collect(), key=lambda r: r.h) if least else []
     x: list[list[float]] = []
     y: list[int] = []
     for row in rows:

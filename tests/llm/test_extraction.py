@@ -74,3 +74,16 @@ def test_all_siblings_of_a_tag_count():
     nodes, _ = dom.parse("<div>" + "<ul></ul>" * 70 + "<p>a</p>" * 184 + "</div>")
     shares = {(x.tag, f[14]) for x, f in zip(nodes, dom.features(nodes), strict=True) if x.tag in ("p", "ul")}
     assert shares == {("ul", 70 / 254), ("p", 184 / 254)}
+
+
+def test_training_pages_are_chosen_by_hash_and_repeated_rows_count_once(spark):
+    page = lambda k: f"<html><body><nav>menu {k}</nav><article><p>{' '.join(f'word{k}x{i}' for i in range(60))}</p></article><footer>end</footer></body></html>"
+    rows = [(k, f"u{k}", page(k)) for k in range(12)] + [(0, "u0", page(0))] * 40 + [(99, "u", None), (98, "v", "")]
+    kinds = "page_id long, url string, html string"
+    one = extraction.train(spark.createDataFrame(rows, kinds).repartition(5), sample=6)
+    other = extraction.train(spark.createDataFrame(rows[:12], kinds), sample=6)
+    assert one is not None
+    probe = spark.createDataFrame([(1, "x", page(77)), (1, "x", page(77))], kinds)
+    texts = [[r.text for r in extraction.main_text(probe, t).collect()] for t in (one, other)]
+    assert texts[0] == texts[1] and len(texts[0]) == 2 and texts[0][0] == texts[0][1]
+    assert extraction.train(spark.createDataFrame(rows[-2:], kinds)) is None

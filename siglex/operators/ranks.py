@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siglex.sources import shared
+
 PARTS = 4096  # of a range, in all wanted ranges together at least four each
-LEAST = 1 << 16  # values of a range that are counted one by one
+LEAST = 1 << 18  # values of a range that are counted one by one
 
 
 def _part(v: Column, low: Column, high: Column, parts: int) -> Column:
@@ -14,22 +18,33 @@ def _part(v: Column, low: Column, high: Column, parts: int) -> Column:
     return F.when(high > low, F.least(F.floor((v - low) / (high - low) * parts), F.lit(parts - 1))).otherwise(0).cast("int")
 
 
-def ranked(rows: DataFrame, value: str, ranks: list[int], least: int = LEAST) -> dict[int, float]:
+def ranked(rows: DataFrame, value: str, ranks: list[int] | Callable[[int], list[int]], least: int = LEAST) -> dict[int, float]:
     """The values of ranks (0 is the least) among all ``value`` of a table that are neither null nor NaN; a rank beyond the last gives the last.
 
     Each round cuts every range that holds a wanted rank into equal parts and counts them,
     map-side, with their least and greatest values; parts with few values or a single
     one are counted by value in the end. No task sees more than what is in one
-    part, and the driver one row for each wanted rank and round.
+    part, and the driver one row for each wanted rank and round. The values are written
+    once, so that what makes them is not done again each round. ``ranks`` may be
+    made from the number of values.
     """
-    v = rows.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    spark = rows.sparkSession
+    place = shared.path(spark, "values")
+    rows.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)").write.parquet(place)
+    try:
+        return _selected(spark.read.schema("v double").parquet(place), ranks, least)
+    finally:
+        shared.removed(spark, place)
+
+
+def _selected(v: DataFrame, ranks: list[int] | Callable[[int], list[int]], least: int) -> dict[int, float]:
     whole = v.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
     if not whole.n:
         return {}
-    wanted = {k: min(max(k, 0), whole.n - 1) for k in ranks}
+    wanted = {k: min(max(k, 0), whole.n - 1) for k in (ranks(whole.n) if callable(ranks) else ranks)}
     open_ = [(0, whole.low, whole.high, 0, whole.n)]  # id, least, greatest, values before, values
     out: dict[int, float] = {}
-    table, spark = v.withColumn("id", F.lit(0)), rows.sparkSession
+    table, spark = v.withColumn("id", F.lit(0)), v.sparkSession
     while open_:
         for _, low, high, before, n in open_:
             if low == high:
@@ -37,8 +52,11 @@ def ranked(rows: DataFrame, value: str, ranks: list[int], least: int = LEAST) ->
         open_ = [r for r in open_ if r[1] < r[2]]
         if not open_:
             break
-        ranges = F.broadcast(spark.createDataFrame(open_, "id int, low double, high double, before long, n long"))  # one row a wanted rank at most
-        held = table.join(ranges, "id")
+        if len(open_) == 1:  # as in the first round
+            held = table.where(F.col("id") == open_[0][0]).withColumns(dict(zip(("low", "high", "before"), map(F.lit, open_[0][1:4]), strict=True)))
+        else:
+            ranges = spark.createDataFrame(open_, "id int, low double, high double, before long, n long")
+            held = table.join(F.broadcast(ranges), "id")  # one row a wanted rank at most
         fine = max(r[4] for r in open_) <= least
         if fine:
             cut = held.groupBy("id", "before", "v").agg(F.count("*").alias("c"))
@@ -64,9 +82,13 @@ def ranked(rows: DataFrame, value: str, ranks: list[int], least: int = LEAST) ->
 
 def quantiles(rows: DataFrame, value: str, shares: list[float], least: int = LEAST) -> list[float]:
     """Quantiles by linear interpolation between neighbouring ranks; empty without values."""
-    n = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).count()
-    if not n:
-        return []
-    places = [s * (n - 1) for s in shares]
-    at = ranked(rows, value, sorted({k for p in places for k in (int(p), min(int(p) + 1, n - 1))}), least)
+    n = 0
+
+    def neighbours(count: int) -> list[int]:
+        nonlocal n
+        n = count
+        return sorted({k for s in shares for k in (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1))})
+
+    at = ranked(rows, value, neighbours, least)
+    places = [s * (n - 1) for s in shares] if n else []
     return [at[int(p)] if p == int(p) else (int(p) + 1 - p) * at[int(p)] + (p - int(p)) * at[int(p) + 1] for p in places]

@@ -118,6 +118,23 @@ def downstream(samples: DataFrame, bins: int, vocabulary: int, baseline: Callabl
     return evaluated(sets | {"baseline": baseline(samples)}, k, seeds, **fit)
 
 
+def transfer(datasets: dict[str, DataFrame], bins: int, vocabulary: int, k: int, seed: int = 42, **fit) -> DataFrame:
+    """(source, target, fold, measures): every data set's trials as histograms of tokens under every data set's merges, the native ones where both agree.
+
+    Codes mean the same in all sets, as all are normalised by row and quantised alike; classifiers are fitted and held out within the target.
+    """
+    seqs = {name: P.coded(s, "uniform", bins) for name, s in datasets.items()}
+    learnt = {name: bpe.train(s, bins, vocabulary) for name, s in seqs.items()}
+    rows = []
+    for target, s in seqs.items():
+        of, n = subject_folds(s, k, seed)
+        for source, merges in learnt.items():
+            p = predicted(P.histogram_rows(bpe.tokenise(s, merges, bins), vocabulary), of, n, **fit)
+            labels = sorted(r.y for r in p.select("y").distinct().collect())
+            rows.append(folds.measures(p, labels).select(F.lit(source).alias("source"), F.lit(target).alias("target"), "fold", *MEASURES))
+    return union_results(*rows)
+
+
 def summary(measured: DataFrame, key: list[str]) -> DataFrame:
     """Mean, deviation and interval of every measure over folds and seeds."""
     return stats.seed_summary(measured, key, MEASURES)

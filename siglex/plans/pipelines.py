@@ -227,6 +227,13 @@ def _(spark, sf):
     return P.study({"native": P.histogram_rows(P.tokenised(two, B, V), V), "transferred": P.histogram_rows(P.tokenised(two, B, V, one), V)})
 
 
+@study("transfer_matrix")
+def _(spark, sf):
+    """Merges of each of three data sets on the trials of each."""
+    sets = {"embed_trials": _embed(spark, sf), "lineitem_multi": _multi(spark, sf), "events_trials": T.events_trials(spark, sf)}
+    return studies.summary(studies.transfer(sets, B, V, 2, steps=8), ["source", "target"])
+
+
 @study("feature_improvements")
 def _(spark, sf):
     t = shared.written(_tokens(spark, sf), "tokens")

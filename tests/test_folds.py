@@ -40,7 +40,7 @@ def test_a_held_out_subject_changes_nothing_in_its_folds_fit(spark):
     fits = []
     for changed in (None, 5):  # held out by fold 2
         held = folds.placed(rows_of(spark, changed), of)
-        fits.append((*folds.scales(held, 3), folds.components(held, 3, 2), folds.codebooks(held, 3, 5), folds.logistic(held, 3, steps=4).weights))
+        fits.append((*folds.scales(held, 3), folds.components(held, 3, 2), folds.codebooks(held, 3, 5, rounds=3), folds.logistic(held, 3, steps=3).weights))
     for one, other in zip(*fits, strict=True):
         assert np.allclose(one[2], other[2], rtol=1e-6, atol=1e-6)  # a shift common to all folds leaves rounding in the components
         assert not np.allclose(one[0], other[0])
@@ -51,7 +51,7 @@ def test_a_held_out_subject_changes_nothing_in_its_folds_fit(spark):
     tokens = []
     for c in (None, 3):
         coded = P.coded(folds.zscored(samples_of(spark, c)))
-        tokens.append({(r.subject, r.trial): r.features for r in studies.token_rows(coded, of, 2, 16, 20).where("model = 1 and fold <> 1").collect()})
+        tokens.append({(r.subject, r.trial): r.features for r in studies.token_rows(coded, of, 2, 16, 17).where("model = 1 and fold <> 1").collect()})
     assert tokens[0] == tokens[1]
 
 
@@ -113,10 +113,10 @@ def test_running_sums(spark):
 
 def test_spatial_studies(spark):
     s = samples_of(spark)
-    tokens = studies.spatial_filter_tokens(s, (1,), 2, vocabulary=18, steps=6).collect()
-    assert {(x.condition, x.fold) for x in tokens} == {(c, f) for c in ("tokens1", "log_variance") for f in range(2)}
-    assert np.mean([x.accuracy for x in tokens if x.condition == "log_variance"]) > 0.8
-    states = studies.spatial_states(s, ["c0", "c1", "c2"], 2, codes=4, vocabulary=5, steps=4).collect()
+    z = folds.zscored(s)
+    variance = studies.in_folds(lambda of, k: folds.spatial_rows(z, of, k, 1), z, 2, steps=6).collect()
+    assert {x.fold for x in variance} == {0, 1} and np.mean([x.accuracy for x in variance]) > 0.8
+    states = studies.spatial_states(s, ["c0", "c1", "c2"], 2, codes=3, vocabulary=4, steps=2).collect()
     assert len(states) == 4 and all(0 <= x.auc <= 1 for x in states)
 
 
@@ -127,3 +127,11 @@ def test_random_range_finder(spark):
     value, vector = np.linalg.eigh(np.cov(x.T, bias=True))
     assert np.allclose(np.linalg.svd(found @ vector[:, ::-1][:, :4])[1], 1, atol=1e-9)  # no angle between the subspaces
     assert np.allclose(variance, value[::-1][:4], rtol=1e-9)
+
+
+def test_transfer_has_every_source_and_target(spark):
+    s = samples_of(spark).where("channel <> 'c2'")
+    named = s.where("channel = 'c0'").withColumn("label", F.concat(F.lit("k"), F.col("label").cast("string")))
+    got = studies.transfer({"a": s, "b": named}, 16, 18, 2, steps=3).collect()
+    assert {(x.source, x.target, x.fold) for x in got} == {(a, b, f) for a in "ab" for b in "ab" for f in range(2)}
+    assert all(0 <= x.accuracy <= 1 for x in got)

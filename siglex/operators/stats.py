@@ -236,17 +236,6 @@ def normal_tail(z: Column) -> Column:
     return F.exp(-z * z / 2) / 2.5066282746310002 * series
 
 
-def permutation_test(rows: DataFrame, x: str, y: str, id_column: str, permutations: int, seed: int = 42) -> DataFrame:
-    """(observed, p) of the correlation of two columns against shuffles of ``y`` by a hash of row and shuffle."""
-    observed = rows.agg(S.correlation(x, y).alias("observed"))
-    reps = rows.select(id_column, x, y, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(id_column).cast("string")).cast("binary"))
-    one = reps.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(id_column)))
-    two = reps.select("rep", y, F.row_number().over(Window.partitionBy("rep").orderBy(order, id_column)).alias("i"))
-    each = one.drop(y).join(two, ["rep", "i"]).groupBy("rep").agg(S.correlation(x, y).alias("rho"))
-    return each.join(F.broadcast(observed)).agg(F.first("observed").alias("observed"), ((F.count_if(F.abs("rho") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))  # one row
-
-
 def compared_pairs(values: DataFrame, group: list[str], unit: str, method: str, value: str) -> DataFrame:
     """(group, method1, method2, n, diff, cohens_dz, place) of every two methods over the units both have, ranked by effect."""
     rows = values.groupBy(*group, unit).agg(F.array_sort(F.collect_list(F.struct(F.col(method).alias("m"), F.col(value).alias("v")))).alias("a"))  # one entry a method
@@ -279,6 +268,13 @@ def running(rows: DataFrame, by: list[str], order: list[str], values: list[str])
     return out.withColumns({f"{v}_before": F.col(f"_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).select(*rows.columns, *(f"{v}_before" for v in values))
 
 
+def ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows with their rank from 1 by ``column``, ties averaged: running counts of equal values, met again by value; nulls have none."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    rank = running(counts, [], ["_v"], ["_n"]).select("_v", (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(rank, F.col(column) == F.col("_v"), "left").drop("_v")
+
+
 def auc_by_counts(scores: DataFrame, by: list[str]) -> DataFrame:
     """Area under the curve of rows (by, hit, score) from counts of equal scores and running sums; null where one kind is missing."""
     counts = scores.groupBy(*by, "score").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))

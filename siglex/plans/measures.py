@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siglex.operators import bpe, signals, stats
+from siglex.operators import bpe, permutations, signals, stats
 from siglex.plans.common import BINS, CH, EMB, MERGES, MUCODE, MUVAL, UNI, ZSQL, merges, query, r, train_sql, vocabulary_sql, z_of
 from siglex.plans.reports import RUNS, runs
 from siglex.plans.shape import BANDS
@@ -40,12 +40,32 @@ def _(spark, sf):
     return stats.bonferroni(stats.spearman(_levels(spark, sf), "token", "v", ["feature"]), "rho", "n").select("feature", "rho", "n", "t", "p", "p_bonferroni")
 
 
-@query("permutation_test", EMB + f""", b AS (SELECT trial AS id, label::DOUBLE AS x, avg(x) AS y FROM e GROUP BY ALL), i AS (SELECT id, x, y, row_number() OVER (ORDER BY id) AS i FROM b), q AS (SELECT unnest(range(1, 41)) AS rep),
-j AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY md5('42:' || rep || ':' || id), id) AS i FROM b, q), p AS (SELECT rep, corr(i.x, j.y) AS rho FROM i JOIN j USING (i) GROUP BY rep), o AS (SELECT corr(x, y) AS observed FROM b)
-SELECT {r('max(observed)', 'observed')}, {r('(count(*) FILTER (abs(rho) >= abs(observed)) + 1) / (count(*) + 1)', 'p')} FROM p, o""")
+def _shuffles(n: int, columns: str, seed: int = 42) -> str:
+    """CTEs over b (id, x, y): o, the correlation, and p, that of each of ``n`` keyed shuffles; a row and round a step."""
+    key = f"('0x' || substr(md5('{seed}:' || rep || ':' || (step % 6)), 1, 7))::BIGINT"
+    cube = lambda c: f"((({c} + {key}) % 2147483647) * (({c} + {key}) % 2147483647) % 2147483647 * (({c} + {key}) % 2147483647) % 2147483647 % side)"
+    return f"""i AS (SELECT {columns}, row_number() OVER (ORDER BY id) - 1 AS i FROM b), d AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS side FROM b),
+k AS (SELECT rep, i, 0 AS step, i // side AS l, i % side AS r, n, side FROM i, d, (SELECT unnest(range({n})) AS rep)
+UNION ALL SELECT rep, i, step + 1, CASE WHEN step % 2 = 0 THEN (l + {cube("r")}) % side ELSE l END, CASE WHEN step % 2 = 1 THEN (r + {cube("l")}) % side ELSE r END, n, side FROM k WHERE step = 0 OR step % 6 <> 0 OR l * side + r >= n),
+p AS (SELECT rep, corr(u.x, v.y) AS rho FROM k JOIN i u USING (i) JOIN i v ON v.i = l * side + r WHERE step > 0 AND step % 6 = 0 AND l * side + r < n GROUP BY rep), o AS (SELECT corr(x, y) AS observed FROM i)
+SELECT {r('max(observed)', 'observed')}, {r('(count(*) FILTER (abs(rho) >= abs(observed) - 1e-12::DOUBLE) + 1) / (count(*) + 1)', 'p')} FROM p, o"""
+
+
+_BY_TRIAL = "RECURSIVE " + EMB + ", b AS (SELECT trial AS id, label::DOUBLE AS x, avg(x) AS y FROM e GROUP BY ALL), "
+
+
+def _trial_means(spark, sf):
+    return T.embed_trials(spark, sf).groupBy(F.col("trial").alias("id"), F.col("label").cast("double").alias("x")).agg(F.avg("x").alias("y"))
+
+
+@query("permutation_test", _BY_TRIAL + _shuffles(40, "id, x, y"))
+def _(spark, sf):
+    return permutations.permutation_test(_trial_means(spark, sf), "x", "y", "id", 40)
+
+
+@query("permutation_test_ranks", _BY_TRIAL + _shuffles(200, "id, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS y", 7))
 def _(spark, sf):
-    rows = T.embed_trials(spark, sf).groupBy(F.col("trial").alias("id"), F.col("label").cast("double").alias("x")).agg(F.avg("x").alias("y"))
-    return stats.permutation_test(rows, "x", "y", "id", 40)
+    return permutations.rank_permutation_test(_trial_means(spark, sf), "x", "y", "id", 200, 7)
 
 
 def _psd_sql(source: str, k: str) -> str:

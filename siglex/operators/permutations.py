@@ -38,9 +38,11 @@ def places(i: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
     beyond ``n`` walk on until they fall inside, which keeps it a permutation.
     """
     side = math.isqrt(n - 1) + 1
+    if side >= 1 << 30:
+        raise ValueError(f"{n} rows: numbers up to 2^60 are placed")
 
     def added(of: np.ndarray, key: int) -> np.ndarray:
-        t = (of + key) % PRIME
+        t = of + key  # below PRIME, as sides are below 2^30
         return t * t % PRIME * t % PRIME % side
 
     out, walking = i.astype(np.int64), np.arange(len(i))
@@ -56,41 +58,52 @@ def places(i: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
     return out
 
 
+PACK = "part int, block long, shuffle binary, at binary, v binary"
+
+
+def _packed(part: int, place: np.ndarray, values: np.ndarray, shuffle: np.ndarray | None) -> pa.RecordBatch:
+    """One row a block of places: where in the block each value goes, and under which shuffle (null for the values that stay)."""
+    block, at = np.divmod(place, BLOCK)
+    order = np.argsort(block.astype(np.uint16) if block.max() < 1 << 16 else block, kind="stable")  # short keys are sorted by digits
+    block = block[order]
+    starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
+    blocks, ends = block[starts], [*starts[1:], len(place)]
+    cut = lambda v: pa.array([v[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())
+    columns = [pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.nulls(len(blocks), pa.binary()) if shuffle is None else cut(shuffle[order]), cut(at[order].astype(np.int32)), cut(values[order])]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "block", "shuffle", "at", "v"])
+
+
 def _dealt(n: int, permutations: int, seed: int):
-    """Batches of (i, x) to packs (part, block, shuffle, at, x): the values that each block of places gets under each shuffle."""
+    """Batches of (i, x, y) to packs: ``y`` where it is, once a part, and ``x`` where each shuffle of the part puts it."""
     keys = [round_keys(seed, k) for k in range(permutations)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "x"))
+            i, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "x", "y"))
             for first in range(0, permutations if len(i) else 0, TOGETHER):
                 some = range(first, min(first + TOGETHER, permutations))
+                yield _packed(first // TOGETHER, i, y, None)
                 to = np.concatenate([places(i, n, keys[k]) for k in some])
-                shuffle = np.repeat(np.arange(some.start, some.stop, dtype=np.int32), len(i))
-                order = np.argsort(to, kind="stable")
-                to, shuffle, values = to[order], shuffle[order], np.tile(x, len(some))[order]
-                blocks, starts = np.unique(to // BLOCK, return_index=True)
-                ends = [*starts[1:], len(to)]
-                at = (to % BLOCK).astype(np.int32)
-                cut = lambda a: [a[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([first // TOGETHER] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()),
-                    "shuffle": pa.array(cut(shuffle), pa.binary()), "at": pa.array(cut(at), pa.binary()), "x": pa.array(cut(values), pa.binary()),
-                })
+                yield _packed(first // TOGETHER, to, np.tile(x, len(some)), np.repeat(np.arange(some.start, some.stop, dtype=np.int32), len(i)))
 
     return run
 
 
 def _multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs with the values ``y`` of their block to (shuffle, s): sums of products, one row a shuffle and batch."""
+    """Packs in order of (part, block), those of ``y`` first, to (shuffle, s): sums of products, one row a shuffle and batch."""
+    y, now = np.zeros(BLOCK), None
     for batch in batches:
         sums: dict[int, float] = {}
-        y = batch.column("y")
-        for row in range(batch.num_rows):
-            shuffle, at = (np.frombuffer(batch.column(c)[row].as_py(), np.int32) for c in ("shuffle", "at"))
-            own = np.frombuffer(batch.column("x")[row].as_py(), np.float64) * y[row].values.to_numpy(zero_copy_only=False)[at]
+        for part, block, shuffle, at, v in zip(*(batch.column(c) for c in ("part", "block", "shuffle", "at", "v")), strict=True):
+            at, v = np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float64)
+            if not shuffle.is_valid:
+                if now != (now := (part.as_py(), block.as_py())):
+                    y[:] = 0.0
+                y[at] = v
+                continue
+            shuffle = np.frombuffer(shuffle.as_buffer(), np.int32)
             low = int(shuffle.min())
-            for k, s in enumerate(np.bincount(shuffle - low, own)):
+            for k, s in enumerate(np.bincount(shuffle - low, v * y[at])):
                 sums[low + k] = sums.get(low + k, 0.0) + s
         yield pa.RecordBatch.from_pydict({"shuffle": pa.array(sums.keys(), pa.int32()), "s": pa.array(sums.values(), pa.float64())})
 
@@ -98,16 +111,13 @@ def _multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shuffled_products(rows: DataFrame, n: int, permutations: int, seed: int = 42) -> DataFrame:
     """(shuffle, s): sums of ``x`` times the ``y`` of the place its row goes to, of rows (i, x, y) numbered from 0 to n - 1.
 
-    Rows are placed batch by batch and leave as one pack a block of places, which meets
-    the array of that block's ``y``; the shuffle carries 16 bytes for a row and shuffle.
+    Rows are placed batch by batch and leave as one pack a block of places. A task walks its
+    blocks in order, holds the ``y`` of one block and multiplies what comes to it: 16 bytes
+    are shuffled for a row and shuffle, and 12 for a row and part of ``TOGETHER`` shuffles.
     """
-    parts = range(-(-permutations // TOGETHER))
-    packs = rows.select("i", "x").mapInArrow(_dealt(n, permutations, seed), "part int, block long, shuffle binary, at binary, x binary")
-    at = F.col("i") % BLOCK
-    held = rows.groupBy(F.floor(F.col("i") / BLOCK).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "y"))), lambda e: e["y"]).alias("y"))  # BLOCK values at most
-    copies = held.select(F.explode(F.array(*map(F.lit, parts))).alias("part"), "block", "y")
-    met = packs.join(copies.hint("shuffle_hash"), ["part", "block"]).select("shuffle", "at", "x", "y")
-    return met.mapInArrow(_multiplied, "shuffle int, s double").groupBy("shuffle").agg(F.sum("s").alias("s"))
+    packs = rows.select("i", "x", "y").mapInArrow(_dealt(n, permutations, seed), PACK)
+    walked = packs.repartition("part", "block").sortWithinPartitions("part", "block", F.col("shuffle").isNotNull())
+    return walked.mapInArrow(_multiplied, "shuffle int, s double").groupBy("shuffle").agg(F.sum("s").alias("s"))
 
 
 def permutation_test(rows: DataFrame, x: str, y: str, id_column: str, permutations: int = 1000, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siglex.operators import bpe, folds, signals, stats
+from siglex.operators import bpe, folds, models, permutations, signals, stats
 from siglex.operators import pipelines as P
 from siglex.sources.shared import written
 from siglex.sources.tables import union_results
@@ -135,6 +135,86 @@ def transfer(datasets: dict[str, DataFrame], bins: int, vocabulary: int, k: int,
     return union_results(*rows)
 
 
+def hierarchy(values: DataFrame, level: str, value: str, feature: str, shuffles: int, seed: int = 42) -> DataFrame:
+    """(feature, rho, n, t, p, p_bonferroni, p_shuffled): rank correlation of each feature with the level, its p by the normal law, corrected, and by keyed shuffles of the ranks."""
+    rows = written(values.select(feature, level, value), "levels")
+    tests = written(stats.bonferroni(stats.spearman(rows, level, value, [feature]).where("rho is not null"), "rho", "n"), "tests")
+    names = sorted(x[0] for x in tests.select(feature).collect())  # names of features
+    if not names:
+        return tests.withColumn("p_shuffled", F.lit(None).cast("double"))
+    shuffled = (permutations.rank_permutation_test(rows.where(F.col(feature) == f), level, value, level, shuffles, seed).select(F.lit(f).alias(feature), F.col("p").alias("p_shuffled")) for f in names)
+    return tests.join(union_results(*shuffled), feature)
+
+
+def fitted(rows: DataFrame, of: DataFrame, k: int, model: str, **fit) -> DataFrame:
+    """Out-of-fold measures by one logistic model a fold (``logreg``, keeping probabilities) or by a model of ``pipelines.MODELS``."""
+    if model == "logreg":
+        p = predicted(rows, of, k, **fit)
+        return folds.measures(p, sorted(r.y for r in p.select("y").distinct().collect())).select("fold", *MEASURES)
+    p = written(models.cross_validated(rows, of, "subject", P.MODELS[model], k), "predictions")
+    return stats.classification(p, ["fold"]).select("fold", *MEASURES[:-1]).withColumn("auc", F.lit(None).cast("double"))
+
+
+def improvements(datasets: dict[str, DataFrame], method: str, bins: int, vocabulary: int, second: int, windows: int = 5, pairs: int = 500, share: int = 2000, transforms: tuple[str, ...] = ("raw", "log", "binary"), classifiers: tuple[str, ...] = ("logreg", "forest"), k: int | None = 5, seeds: tuple[int, ...] = (42,), parts: tuple[str, ...] = ("S1", "S2", "S3", "S4", "S5", "S6"), **fit) -> DataFrame:
+    """(part, dataset, condition, model, seed, fold, measures): six changes to the token features of every data set (subject, trial, channel, t, x, label).
+
+    S1: merged tokens and raw codes under each transform. S2: each transform under each
+    classifier. S3: histograms by window under each transform. S4: the data set's own merges
+    beside those of all data sets, ``share`` sequences of each. S5: the ``pairs`` most frequent
+    bigrams, alone and beside the tokens. S6: level one, level two (up to ``second`` ids) and
+    both side by side. Merges see no labels; scales and models are fitted inside folds.
+    """
+    seqs = {name: P.coded(s, method, bins) for name, s in datasets.items()}
+    of = {name: {seed: subject_folds(s, k, seed) for seed in (seeds if k is not None else seeds[:1])} for name, s in seqs.items()}
+    out: list[DataFrame] = []
+
+    known: dict[tuple, DataFrame] = {}
+
+    def add(part: str, name: str, condition: str, key: str, rows: DataFrame, names: tuple[str, ...] = ("logreg",)) -> None:
+        """Conditions of the same features (``key``) are fitted once."""
+        features = None
+        for model in names:
+            for seed, (held, n) in of[name].items():
+                at = (name, key, model, seed)
+                if at not in known:
+                    features = features or written(rows, "features")
+                    known[at] = fitted(features, held, n, model, **fit)
+                marks = zip(("part", "dataset", "condition", "model"), (part, name, condition, model), strict=True)
+                out.append(known[at].select(*(F.lit(v).alias(c) for c, v in marks), F.lit(seed).alias("seed"), "*"))
+
+    universal: bpe.Merges = []
+    if "S4" in parts:
+        every = union_results(*(s.select(F.lit(n).alias("dataset"), *(F.col(c).cast("string") for c in P.KEY), "toks") for n, s in seqs.items()))
+        universal = bpe.train(written(bpe.first_of_each(every, ["dataset"], P.KEY, share), "universal"), bins, vocabulary)
+    for name, s in seqs.items():
+        one, _, two = bpe.two_level(s, bins, vocabulary, second) if "S6" in parts else (bpe.train(s, bins, vocabulary), None, None)
+        tokens = written(bpe.tokenise(s, one, bins), "tokens")
+        long = bpe.exploded(tokens, P.TRIAL)
+        plain = written(P.histogram_rows(tokens, vocabulary), "shares")
+        for t in transforms:
+            if "S1" in parts:
+                add("S1", name, f"merged_{t}", f"merged_{t}", P.histogram_rows(tokens, vocabulary, t))
+                add("S1", name, f"codes_{t}", f"codes_{t}", P.histogram_rows(s, bins, t))
+            if "S2" in parts:
+                add("S2", name, t, f"merged_{t}", P.histogram_rows(tokens, vocabulary, t), classifiers)
+            if "S3" in parts:
+                cut = stats.histogram(stats.windowed(long, P.TRIAL, windows).withColumn("tok", F.col("window") * vocabulary + F.col("tok")), P.TRIAL)
+                add("S3", name, f"windows_{t}", f"windows_{t}", P.vectors(stats.transforms(cut, P.TRIAL), P.TRIAL, windows * vocabulary, t))
+        if "S4" in parts:
+            add("S4", name, "own", "merged_raw", plain)
+            add("S4", name, "universal", "universal", P.histogram_rows(bpe.tokenise(s, universal, bins), vocabulary))
+        if "S5" in parts:
+            grams = P.vectors(stats.top_bigrams(long, P.TRIAL, pairs).withColumn("token", F.dense_rank().over(Window.orderBy("l", "r")) - 1), P.TRIAL, pairs)  # so many pairs
+            add("S5", name, "bigrams", "bigrams", grams)
+            add("S5", name, "tokens_bigrams", "tokens_bigrams", P.joined(plain, grams))
+        if "S6" in parts:
+            level = written(P.histogram_rows(two, second), "level-two")
+            add("S6", name, "level_one", "merged_raw", plain)
+            add("S6", name, "level_two", "level_two", level)
+            add("S6", name, "both_levels", "both_levels", P.joined(plain, level))
+    return union_results(*out)
+
+
 def summary(measured: DataFrame, key: list[str]) -> DataFrame:
     """Mean, deviation and interval of every measure over folds and seeds."""
     return stats.seed_summary(measured, key, MEASURES)

@@ -144,10 +144,10 @@ def _(spark, sf):
 
 @study("token_hierarchy")
 def _(spark, sf):
-    v = bpe.vocabulary_table(spark, bpe.train(P.coded(_embed(spark, sf)), B, B + 12), B)
+    v = bpe.vocabulary_table(spark, bpe.train(P.coded(_embed(spark, sf)), B, B + 64), B)
     both = stats.token_shapes(v).join(stats.token_spectra(v, B, 64.0, -4.0, 4.0, BANDS), "token")
     long = both.select("token", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in ("length", "activity", "mobility", "dominant_hz", "entropy")))))
-    return stats.bonferroni(stats.spearman(long, "token", "v", ["feature"]).where("rho is not null"), "rho", "n")
+    return studies.hierarchy(long, "token", "v", "feature", 1000)
 
 
 @study("signal_views")
@@ -236,10 +236,16 @@ def _(spark, sf):
 
 @study("feature_improvements")
 def _(spark, sf):
-    t = shared.written(_tokens(spark, sf), "tokens")
-    grams = stats.top_bigrams(bpe.exploded(t, P.TRIAL), P.TRIAL, 40).withColumn("token", F.dense_rank().over(Window.orderBy("l", "r")) - 1)  # forty pairs
-    windows = stats.windowed(bpe.exploded(t, P.TRIAL), P.TRIAL, 4).withColumn("tok", F.col("window") * V + F.col("tok"))
-    return P.study({"raw": P.histogram_rows(t, V), "tfidf": P.histogram_rows(t, V, "tfidf"), "bigrams": P.vectors(grams, P.TRIAL, 40), "windowed": P.vectors(stats.histogram(windows, P.TRIAL), P.TRIAL, 4 * V)})
+    """Six changes to the token features; the universal vocabulary has a query of its own, over more data sets."""
+    sets = {"embed_trials": _embed(spark, sf)}
+    return studies.summary(studies.improvements(sets, "adaptive", B, V, V + 6, pairs=40, k=2, parts=("S1", "S2", "S3", "S5", "S6"), steps=8), ["part", "dataset", "condition", "model"])
+
+
+@study("universal_vocabulary")
+def _(spark, sf):
+    """Each data set's own merges beside those of all data sets together."""
+    sets = {"embed_trials": _embed(spark, sf), "lineitem_multi": _multi(spark, sf), "events_trials": T.events_trials(spark, sf)}
+    return studies.summary(studies.improvements(sets, "uniform", B, V, V, k=2, parts=("S4",), steps=8), ["dataset", "condition"])
 
 
 @study("ablation_quantiser")

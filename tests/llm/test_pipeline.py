@@ -5,6 +5,7 @@ against the operator's predictions; decontamination by conditions that must hold
 """
 
 import os
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -80,3 +81,40 @@ def test_stages_against_plain_python(spark, tmp_path):
             end += length
         assert end <= 2048
     assert len(pieces) <= -(-sum(wanted.values()) // 2048) + 1
+
+
+def test_nulls_ties_repeated_rows_and_clashing_columns(spark, tmp_path):
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(n))
+    near = text(60)
+    rows = [(1, near), (2, near + " ending"), (2, near + " ending"), (3, None), (3, None), (4, ""), (None, text(30)), (5, text(6000)), (6, " \n\t"), (None, near)]
+    rows += [(10 + k, f"Shared line of ten\n{text(12)}") for k in range(10)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, component long, d1 long, salt int, line string"
+    docs = spark.createDataFrame([(i, t, "xx", "s", None if t is None else len(t), "r", 0.1, 7, 8, 9, "l") for i, t in rows], schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        before = Counter((q.doc_id, q.text) for q in docs.select("doc_id", "text").collect())
+        stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "best_fit_packing":
+            pieces = Counter(q.doc_id for q in docs.where("piece = 0").collect())
+            assert pieces == Counter(k for (k, _), n in before.items() for _ in range(n))
+            break
+        assert docs.columns == schema.replace(",", "").split()[::2]
+        after = Counter((q.doc_id, q.text) for q in docs.select("doc_id", "text").collect())
+        if name == "line_dedup":
+            assert sum(after.values()) == sum(before.values()) and not any("Shared" in (t or "") for _, t in after)
+            assert after[3, None] == before[3, None] and after[4, ""] == before[4, ""]
+        if name == "ngram_join":
+            held = [(k, t) for k, t in before if t and near in t]
+            assert [p for p in after if p in held] == ([min(held, key=lambda p: (p[0] is None, p[0]))] if held else [])
+            assert all(after[p] == (before[p] if not (p[1] or "").split() else 1) for p in set(before) - set(held))
+        if name == "decontamination":
+            assert after == before
+
+
+def test_an_empty_table_stays_empty(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == 0

@@ -27,7 +27,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Lines of ten documents or more go; the documents stay.
 
     Null texts stay null, an empty text has one empty line, whose key is too short to
-    go. A line counts once a row, so repeated rows count as so many documents.
+    go. Rows of equal id and text count as one document, others as one each.
     """
     return line_dedup.without_repeated_lines(docs, min_documents=10, min_chars=1)
 

@@ -1,9 +1,11 @@
 """Features keyed by content, annotated spans, and curves over many units."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 from siglex.operators import signals, stats
+from siglex.plans import registry
 from siglex.sources import tables
 
 
@@ -44,3 +46,15 @@ def test_heaps_curve_is_cut_to_its_points(spark):
     for x in got:
         seen = [tok for u, tok in rows if u <= x.u]
         assert (x.n_tokens, x.n_unique) == (len(seen), len(set(seen)))
+
+
+def test_heaps_curve_has_every_unit(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(u, min(99, int(r.expovariate(0.1)))) for u in range(300) for _ in range(r.randint(1, 4))]
+    got = stats.heaps(spark.createDataFrame(rows, "u int, tok int").repartition(5), "u").orderBy("u").collect()
+    sizes, seen = Counter(u for u, _ in rows), [set(tok for v, tok in rows if v <= u) for u in range(300)]
+    assert [tuple(x) for x in got] == [(u, sum(sizes[v] for v in range(u + 1)), len(seen[u])) for u in range(300)]
+    texts = [(u, "ab" + chr(97 + u % 26), "x", "y") for u in range(450)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    curve = registry.queries()["heaps_curve"](spark, str(tmp_path)).orderBy("trial").collect()
+    assert [tuple(x) for x in curve] == [(u, 3 * u + 3, min(26, max(2, u + 1))) for u in range(450)]

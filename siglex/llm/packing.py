@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from siglex.llm.arrow_text import map_arrow
 from siglex.llm.scratch import partitions, written
 
-#: Chunks (runs between blanks) and words that a worker remembers the ids of; then it starts anew.
-REMEMBERED = 150_000
+#: Words of late, words before these, and odd chunks (runs between blanks) that a worker remembers the ids of, each.
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 40
 
-#: Characters on which Python's and the tokeniser's letters, digits and lower case agree: printable ASCII and Latin-1 letters.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: All but blanks and the characters on which Python's and the tokeniser's letters, digits and lower case agree: printable ASCII and Latin-1 letters.
+_ODD = "[^ -~À-ÖØ-öø-ÿ]"
+_WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ a-zß-öø-ÿ0-9]+")
 
 #: The steps of a tokeniser file for which ``_WORDS`` is the cut.
 _STEPS = (
@@ -45,7 +45,7 @@ _STEPS = (
     },
 )
 
-_memory: dict[str, ChunkIds] = {}
+_memory: dict[str, TextIds] = {}
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -53,44 +53,41 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class WordIds(dict):
-    """Word in lower case -> little-endian unsigned 32-bit ids, by the tokeniser's own model."""
+    """Word in lower case -> little-endian unsigned 32-bit ids, by the tokeniser's own model.
+
+    Once full, these words become the earlier ones, and those met again come back.
+    """
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.model, self.letters = tokenizer.model, {}
+        self.model, self.letters, self.earlier = tokenizer.model, {}, {}
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         for tail in range(0x80, 0xC0):  # UTF-8 of the Latin-1 letters; bytes of ASCII stand for themselves
             self.letters[0xC3], self.letters[tail] = alphabet.pre_tokenize_str(bytes((0xC3, tail)).decode())[0][0]
 
     def __missing__(self, word: str) -> bytes:
-        ids = _packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        ids = self.earlier.get(word)
+        if ids is None:
+            ids = _packed([t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))])
         if len(word) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.earlier = self.copy()
                 self.clear()
             self[word] = ids
         return ids
 
 
 class ChunkIds(dict):
-    """Chunk -> ids; plain chunks are cut into words here, all others go through the whole tokeniser.
-
-    The cut is that of ``_STEPS``; with a tokeniser of other steps no chunk is
-    plain. Chunks that hold a special token are not plain either.
-    """
+    """Chunk -> ids by the whole tokeniser."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
-        steps = json.loads(tokenizer.to_str())
-        self.tokenizer, self.words = tokenizer, WordIds(tokenizer) if steps["normalizer"] == _STEPS[0] and steps["pre_tokenizer"] == _STEPS[1] else None
-        self.special = [t["content"] for t in steps["added_tokens"]]
+        self.tokenizer = tokenizer
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.words is not None and _PLAIN.fullmatch(chunk) and not any(x in chunk for x in self.special):
-            ids = b"".join(map(self.words.__getitem__, _WORDS.findall(chunk.lower())))
-        else:
-            ids = _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        ids = _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if len(chunk) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -98,8 +95,38 @@ class ChunkIds(dict):
         return ids
 
 
+class TextIds:
+    """Text -> ids; stretches of plain chunks are cut into words here, all other chunks go through the whole tokeniser.
+
+    The cut is that of ``_STEPS``; with a tokeniser of other steps no chunk is
+    plain. Chunks that hold a special token are not plain either.
+    """
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        steps = json.loads(tokenizer.to_str())
+        self.chunks, self.words = ChunkIds(tokenizer), WordIds(tokenizer) if steps["normalizer"] == _STEPS[0] and steps["pre_tokenizer"] == _STEPS[1] else None
+        self.special = [t["content"] for t in steps["added_tokens"]]
+        self.odd, self.odd_or_special = re.compile(_ODD), re.compile("|".join([_ODD, *map(re.escape, self.special)]))
+
+    def __call__(self, text: str) -> bytes:
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        chunk, word = self.chunks.__getitem__, self.words.__getitem__ if self.words is not None else None
+        if word is None:
+            return b"".join(map(chunk, text.split(" ")))
+        out, at = [], 0
+        odd = self.odd_or_special if any(x in text for x in self.special) else self.odd
+        for found in odd.finditer(text):
+            if found.start() >= at:
+                begin, end = max(at, text.rfind(" ", at, found.start()) + 1), text.find(" ", found.end())
+                out += map(word, _WORDS.findall(text[at:begin].lower()))
+                at = len(text) if end < 0 else end
+                out.append(chunk(text[begin:at]))
+        out += map(word, _WORDS.findall(text[at:].lower()))
+        return b"".join(out)
+
+
 class ChunkTokenizer:
-    """Token ids of whole texts, through a memory of white-space-separated chunks.
+    """Token ids of whole texts, through memories of words and of white-space-separated chunks.
 
     The pre-tokeniser drops white space and never joins across it, so the ids
     of a text are those of its chunks in order. Chunks are cut at blank, tab and
@@ -111,13 +138,12 @@ class ChunkTokenizer:
         if path not in _memory:
             from tokenizers import Tokenizer
 
-            _memory[path] = ChunkIds(Tokenizer.from_file(path))
+            _memory[path] = TextIds(Tokenizer.from_file(path))
         self.known = _memory[path]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        get = self.known.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
+        return [self.known(t) for t in texts]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:

@@ -40,3 +40,34 @@ def test_pack_nulls_and_empty_table(spark):
     rows = packing.pack(docs, public.path("word_bpe_49k.json"), 4).collect()
     assert sorted(r["length"] for r in rows) == [1, 1, 1, 4]
     assert packing.pack(docs.where(F.lit(False)), public.path("word_bpe_49k.json"), 4).count() == 0
+
+
+def test_odd_chunks_amid_plain_words_keep_their_places():
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    whole = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    parts = ["The", "don't", "ÀÉß.", "x’s", "“q”", "日本語", "é", "<|endoftext|>", "a<|startoftext|>b", "\x1c", "\xa0", "I'LL've", "''", "12½", " ", "", "zzz" * 20, "ª", "İ", "Σς", "|"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", "\n", "\t", "\r", "  ", ""]) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    got = packing.ChunkTokenizer(public.path("word_bpe_49k.json")).ids(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_met_again_and_again_goes_to_the_model_once(monkeypatch):
+    monkeypatch.setattr(packing, "_memory", {})
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    tokenizer = packing.ChunkTokenizer(public.path("word_bpe_49k.json"))
+    words, asked = tokenizer.known.words, []
+
+    class Model:
+        def tokenize(self, word, model=words.model):
+            asked.append(word)
+            return model.tokenize(word)
+
+    words.model = Model()
+    new = ["".join(chr(97 + (k // 26**i) % 26) for i in range(3)) for k in range(200)]
+    tokenizer.ids([f"{w} often, Often; (often)" for w in new])
+    assert asked.count("often") == 1
+    assert len(words) <= 10 and len(words.earlier) <= 10

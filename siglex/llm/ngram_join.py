@@ -11,8 +11,8 @@ One R-tree over all sets would prune little, as random sets of one size lie
 alike in count space. So the points are first dealt to buckets by the shingles
 of their prefix: in any common order of shingles, two sets of similarity t
 share one of the first ``n - ceil(t n) + 1``. The order puts shingles of one
-set first, then rare, then frequent ones, read off two bit tables of fixed
-size; any order gives all pairs, this one small buckets. Members of a bucket
+set first, then rare, then frequent ones, read off two bit tables with a
+place or more for each value up to a bound; any order gives all pairs, this one small buckets. Members of a bucket
 that are one component already need no comparison, which keeps large groups of
 copies linear: rounds of linking to a few members of their buckets come first.
 """
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from siglex.llm.arrow_text import LOWER, distinct, has_bits, map_arrow, mixed, runs
 from siglex.llm.components import components, contracted
-from siglex.llm.scratch import bit_table, partitions, written
+from siglex.llm.scratch import bit_table, dropped, partitions, shuffles_removed, written
 
 WORDS = 5
 GROUPS = 256
 SATURATED = 255  # counts of a group that a byte holds; vectors beyond it bound nothing
 STRIP = 2048
-TABLE_BITS = 26
+TABLE_BITS, MOST_BITS = 26, 29  # of a bit table's places, as powers of two
 FREQUENT = 16
 LEAF = 16
 ROUNDS, PARTNERS = 3, 4  # of linking before the exact comparison
@@ -168,7 +168,17 @@ def shared_tables(docs: DataFrame, buckets: int) -> tuple[bytes, bytes]:
     blobs = map_arrow(docs.select("text"), hashed, "bucket int, rests binary")
     rows = map_arrow(blobs.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket"), counted, "h long, frequent boolean")
     rows = written(rows, "shared-shingles")
-    return bit_table(rows, F.col("h"), TABLE_BITS), bit_table(rows.where("frequent"), F.col("h"), TABLE_BITS)
+    tables = tuple(bit_table(some, F.col("h"), table_bits(some.count())) for some in (rows, rows.where("frequent")))
+    dropped(rows)
+    return tables
+
+
+def table_bits(values: int) -> int:
+    """Places of a bit table as a power of two: one or two for each value, so that 37 % or more stay unset.
+
+    A fixed size would fill up: then no shingle is known to be of one set, and all of a prefix are keys.
+    """
+    return min(MOST_BITS, max(TABLE_BITS, values.bit_length()))
 
 
 def document_key() -> tuple[Column, Column]:
@@ -434,8 +444,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     members like others; an empty table gives an empty result. Other columns
     are not read.
     """
-    spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    with shuffles_removed(docs.sparkSession):
+        return _components(docs)
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """``similar_components``; tables go when they were read for the last time."""
+    buckets = 4 * partitions(docs.sparkSession)
     rows = written(points(docs, shared_tables(docs, buckets), buckets), "points")
     full = rows.where("n > 0")
     classes = written(
@@ -447,19 +462,25 @@ def similar_components(docs: DataFrame) -> DataFrame:
     keyed = written(keyed.select("key", "cid"), "keys")
     several = keyed.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("key")
     members = written(keyed.join(several, "key"), "members")
+    dropped(keyed)
     in_buckets = members.select("cid").distinct().join(classes, "cid").select("cid", "s1", "s2")
     sets = written(sets_of(docs, in_buckets), "sets")
     labelled, links = members.withColumn("label", F.col("cid")), None
     for turn in range(ROUNDS):
-        new = written(verified(partners(labelled, turn), sets), "new-links")
+        new, before, old = written(verified(partners(labelled, turn), sets), "new-links"), links, labelled
         links = written(contracted(new if links is None else links.unionByName(new)), "links")
         labels = links.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("component"))
         labelled = written(members.join(labels, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label")), "labelled")
+        dropped(new, *([old, before] if turn else []))
+    dropped(members)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key", F.col("x").alias("home"))
     vectors = full.join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).groupBy("cid").agg(F.min("n").alias("n"), F.min("vector").alias("vector"))
     at_home = labelled.join(open_keys, "key").groupBy("home", "cid").agg(F.min("label").alias("label"), F.collect_list("key").alias("keys"))  # no more keys than a prefix has
     rest = written(at_home.join(vectors, "cid"), "rest")
-    more = written(verified(written(bucket_pairs(rest), "bucket-pairs"), sets), "more-links")
+    dropped(labelled)
+    pairs = written(bucket_pairs(rest), "bucket-pairs")
+    more = written(verified(pairs, sets), "more-links")
+    dropped(rest, pairs, sets)
     final = components(links.unionByName(more))
     of_class = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))

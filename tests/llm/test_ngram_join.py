@@ -1,10 +1,13 @@
+import os
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from siglex.llm import ngram_join
 from siglex.llm.components import components
+from siglex.llm.scratch import written
 
 
 def shingles(text):
@@ -78,3 +81,25 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(0, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rows = components(links.unionByName(spark.createDataFrame([(100, 101), (7, 7)], "a long, b long"))).collect()
     assert {r.node: r.component for r in rows} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_tables_have_a_place_for_every_shared_shingle(spark, monkeypatch):
+    """A table of fixed size fills up, so that every shingle of a prefix is a key and the keys outgrow the disk."""
+    monkeypatch.setattr(ngram_join, "TABLE_BITS", 4)
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(200)) for _ in range(20)]
+    docs = spark.createDataFrame([(2 * i + j, t + f" end{j} of it all") for i, t in enumerate(texts) for j in range(2)], "doc_id long, text string")
+    shared, frequent = ngram_join.shared_tables(docs, 8)
+    places = np.unpackbits(np.frombuffer(shared, np.uint8))
+    assert places.sum() > 1000 and places.mean() < 2 / 3  # some 4000 shingles of two documents
+    assert not np.frombuffer(frequent, np.uint8).any()
+
+
+def test_tables_of_the_join_go_after_their_last_use(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ngram_join, "written", lambda df, label: made.append((label, w := written(df, label))) or w)
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(40)], "doc_id long, text string")
+    rows = ngram_join.similar_components(docs)
+    assert len({r.component_id for r in rows.collect()}) == 20
+    left = [label for label, w in made if os.path.exists(w.inputFiles()[0].removeprefix("file://"))]
+    assert "points" in left and not set(left) & {"shared-shingles", "keys", "members", "sets", "labelled", "rest", "bucket-pairs"}

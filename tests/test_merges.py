@@ -99,3 +99,10 @@ def test_waves_are_the_fold_in_rank_order():
         assert bpe.apply_merges(np.array(text, np.int64), learnt, base).tolist() == want.tolist()
     assert bpe.apply_merges(np.array([0, 1, 2, 1]), [(0, 1), (3, 2), (2, 1)], 3).tolist() == [4, 1]
     assert bpe.apply_merges(np.array([0, 1, 3, 3]), [(0, 1), (3, 3)], 3).tolist() == [4, 3]
+
+
+def test_a_smaller_vocabulary_is_the_head_of_a_larger_one(spark):
+    r = random.Random(7)
+    seqs = spark.createDataFrame([([r.randint(0, 3) for _ in range(60)],) for _ in range(9)], "toks array<int>")
+    learnt = bpe.train(seqs, 4, 20)
+    assert all(bpe.prefix(learnt, 4, v) == bpe.train(seqs, 4, v) for v in (4, 7, 12))

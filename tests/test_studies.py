@@ -32,3 +32,9 @@ def test_hierarchy_finds_the_feature_that_grows_with_the_level(spark):
     assert set(got) == {"grows", "free"}  # what does not vary has no correlation
     assert got["grows"].p_shuffled == pytest.approx(1 / 200) and got["grows"].p_bonferroni < 0.01
     assert got["free"].p_shuffled == pytest.approx(got["free"].p, abs=0.15)
+
+
+def test_forests_of_improvements_tell_waves_apart(spark):
+    got = studies.improvements({"a": waves(spark, 2)}, "uniform", 8, 14, 18, transforms=("raw", "binary"), classifiers=("forest",), k=2, parts=("S2",)).toPandas()
+    assert len(got) == 4 and set(got["model"]) == {"forest"} and got["auc"].isna().all()
+    assert got.query("condition == 'raw'")["accuracy"].min() > 0.9

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from siglex.operators import bpe, signals
+from pyspark.sql import functions as F
+
+from siglex.operators import bpe, models, signals
 
 
 def scan(seq, left, right, new):
@@ -69,3 +71,21 @@ def test_registered_queries_run(spark, name):
     from siglex.plans import registry
 
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_wide_steps_are_normalised_as_long_ones(spark):
+    r = np.random.default_rng(11)
+    rows = [(s, "A", t, float(r.normal(s, 2)), 3.0 if s else float(t)) for s in range(3) for t in range(20)]
+    wide = spark.createDataFrame(rows, "subject int, trial string, t int, a double, b double")
+    long = wide.select("subject", "trial", "t", F.inline(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("x")) for c in "ab"))))
+    got = {(q.subject, q.t): (q.a, q.b) for q in signals.zscore_columns(wide, ["a", "b"], ["subject", "trial"]).collect()}
+    expected = {(q.subject, q.t, q.channel): q.z for q in signals.zscore(long).collect()}
+    assert all(got[s, t]["ab".index(c)] == z for (s, t, c), z in expected.items()) and len(expected) == 120
+
+
+def test_spatial_tokens_reads_lineitem_without_long_rows(spark, monkeypatch):
+    monkeypatch.setattr(models.T, "lineitem_multi", None)
+    got = models.spatial_tokens(spark, "/root/testdata/sf0.001").toPandas()
+    sizes = models.T.table(spark, "/root/testdata/sf0.001", "lineitem").groupBy("l_suppkey", "l_returnflag").count().toPandas()
+    both = got.merge(sizes, left_on=["subject", "trial"], right_on=["l_suppkey", "l_returnflag"])
+    assert len(both) == len(got) == len(sizes) and (both["n_tokens"] <= both["count"]).all() and both["n_tokens"].sum() < both["count"].sum()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siglex.operators import folds, stats, studies
 from siglex.operators import pipelines as P
+from siglex.sources.shared import written
 
 
 def rows_of(spark, changed=None, subjects=6, trials=40, classes=3):
@@ -135,3 +136,36 @@ def test_transfer_has_every_source_and_target(spark):
     got = studies.transfer({"a": s, "b": named}, 16, 18, 2, steps=3).collect()
     assert {(x.source, x.target, x.fold) for x in got} == {(a, b, f) for a in "ab" for b in "ab" for f in range(2)}
     assert all(0 <= x.accuracy <= 1 for x in got)
+
+
+def test_gathered_trials_give_what_long_samples_give(spark):
+    r = np.random.default_rng(8)
+    rows = [(s, t, "xy"[t % 2], k, *r.normal(size=3).tolist()) for s in range(4) for t in range(4) for k in range(40 - 3 * s)]
+    wide = spark.createDataFrame(rows, "subject int, trial int, label string, t int, a double, b double, c double").repartition(3)
+    names = ["a", "b", "c"]
+    long = wide.select("subject", "trial", F.inline(F.array(*(F.struct(F.lit(n).alias("channel"), F.col(n).alias("x")) for n in names))), "t", "label").where("not (channel = 'b' and t = 5)")
+    wide = wide.withColumn("b", F.when(F.col("t") != 5, F.col("b")))
+    of = spark.createDataFrame([(s, s % 2) for s in range(4)], "subject int, fold int")
+    expected, _ = folds.spatial_filters(long, of, 2, 2)
+    variances = {(q.model, q.subject, q.trial): q.features for q in folds.spatial_rows(long, of, 2, 2).collect()}
+    views = folds.filtered(long, expected, names).withColumnRenamed("component", "channel")
+    coded = {(f, q.subject, q.trial, q.channel): q.toks for f in range(2) for q in P.coded(views.where(F.col("model") == f).drop("model")).collect()}
+    for steps in (long, wide):
+        held = written(folds.series(steps, names), "series")
+        trials = folds.moments(held, 3).join(of, "subject")
+        filters = folds.patterns(trials, 3, 2, 2)
+        assert all(np.allclose(filters[f][c], w, atol=1e-8) for f, own in expected.items() for c, w in own.items())
+        got = {(q.model, q.subject, q.trial): q.features for q in folds.log_variances(trials, filters, 3, 2).collect()}
+        assert set(got) == set(variances) and all(np.allclose(got[q], v, atol=1e-8) for q, v in variances.items())
+        codes = folds.component_values(held, filters, 3, "toks", "int", lambda y, first, size: folds.uniform_codes(y, first, size, 16))
+        found = {(q.model, q.subject, q.trial, q.channel): q.toks for q in codes.collect()}
+        assert found == coded
+
+
+def test_trials_are_shuffled_once_for_all_components(spark):
+    """The components of a step meet in its row; before, a row for each step, channel, fold and component was shuffled."""
+    wide = spark.createDataFrame([(0, 0, 1, k, float(k), 1.0) for k in range(9)], "subject int, trial int, label int, t int, a double, b double")
+    held = written(folds.series(wide, ["a", "b"]), "series")
+    views = folds.component_values(held, {0: {"1:0": np.array([1.0, 2.0])}, 1: {"1:0": np.array([0.0, 1.0])}}, 2, "x", "double", lambda y, *_: y)
+    assert "Exchange" not in views._jdf.queryExecution().executedPlan().toString()
+    assert {q.model: q.x for q in views.collect()} == {0: [k + 2.0 for k in range(9)], 1: [1.0] * 9}
